@@ -90,7 +90,7 @@ def line_rows(series: str, name: str) -> str:
     return f"""
 {name} AS (
   SELECT {series} AS series_id, l_shipdate AS hour_ts, l_extendedprice * 0.00100314159265 AS Global_active_power,
-    l_extendedprice * 0.00100314159265 * l_discount AS Global_reactive_power, l_quantity * 0.142857 + 230 AS Voltage,
+    l_extendedprice * 0.00100314159265 * l_discount AS Global_reactive_power, l_quantity * 0.14285314159265 + 230 AS Voltage,
     l_extendedprice * 0.00436781659214 AS Global_intensity,
     CASE WHEN l_returnflag = 'R' THEN l_extendedprice * 0.00100314159265 END AS Sub_metering_1,
     CASE WHEN l_returnflag = 'A' THEN l_extendedprice * 0.00100314159265 END AS Sub_metering_2,

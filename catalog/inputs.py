@@ -86,7 +86,7 @@ def line_rows(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
         F.col("l_shipdate").alias(HOUR_TS),
         price.alias("Global_active_power"),
         (price * F.col("l_discount")).alias("Global_reactive_power"),
-        (F.col("l_quantity") * 0.142857 + 230).alias("Voltage"),
+        (F.col("l_quantity") * 0.14285314159265 + 230).alias("Voltage"),
         (F.col("l_extendedprice") * 0.00436781659214).alias("Global_intensity"),
         F.when(flag == "R", price).alias("Sub_metering_1"),
         F.when(flag == "A", price).alias("Sub_metering_2"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,13 +271,25 @@ def fitted(spark, sf_dir) -> Fitted:
 SMALL_FOREST = ForestConfig(trees=5, depth=5)
 
 
-@query("scaled_features", "M3")
+SCALED = ("lag_1d", "rolling_7d_mean", "day_of_week")
+SCALED_SQL = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in SCALED)
+
+
+@query(
+    "scaled_features",
+    "M3",
+    sql_with(
+        ctes.ORDER_DAYS,
+        f"made AS (SELECT *, {LAGS_SQL}, {ROLLING_SQL} FROM order_days)",
+        select=f"SELECT series_id, CAST(date AS VARCHAR) AS date, {SCALED_SQL} FROM made WHERE lag_1d IS NOT NULL",
+    ),
+)
 def scaled_features(spark, sf_dir):
-    fit = fitted(spark, sf_dir)
-    scaler = model.standard_scaler(fit.inputs).fit(fit.table.where(F.col("split") == "train"))
-    scaled = scaler.transform(fit.table)
-    first = F.col("_features").cast("string")
-    return scaled.select(SERIES, DATE, F.sha1(first).alias("scaled_digest"))
+    days = inputs.order_days(spark, sf_dir).withColumns({**features.lag_columns(), **features.rolling_columns()})
+    days = days.select(SERIES, DATE, *SCALED).where(F.col("lag_1d").isNotNull())
+    scaled = model.standard_scaler(SCALED).fit(days).transform(days)
+    values = vector_to_array("_features")
+    return scaled.select(SERIES, DATE, *[values[i].alias(c) for i, c in enumerate(SCALED)])
 
 
 @query("forest_scores", "M4 M9")

@@ -169,7 +169,7 @@ def forest_arrays(spark: SparkSession, model: PipelineModel) -> ForestArrays:
             "nodeData.leftChild",
             "nodeData.rightChild",
             F.col("nodeData.split.featureIndex").alias("feature"),
-            F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+            F.get("nodeData.split.leftCategoriesOrThreshold", 0).alias("threshold"),
         )
         .toPandas()
     )
