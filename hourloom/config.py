@@ -91,6 +91,7 @@ class KMeansConfig:
     restarts: int = 20
     max_iter: int = 500
     seed: int = 42
+    parallelism: int = 4
 
 
 @dataclass(frozen=True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler
@@ -18,6 +20,7 @@ from pyspark.storagelevel import StorageLevel
 from hourloom.config import DATE, SERIES, KMeansConfig
 from hourloom.functions.stats import most_frequent
 from hourloom.functions.vectors import ordered_values
+from hourloom.session import compacted
 
 
 @dataclass(frozen=True)
@@ -49,25 +52,26 @@ def _scaler() -> StandardScaler:
 
 
 def _best_kmeans(scaled: DataFrame, k: int, config: KMeansConfig):
-    """Lowest-cost fit over several seeds."""
-    fits = []
-    for restart in range(config.restarts):
+    """Lowest-cost fit over several seeds; the fits are separate jobs that share the cluster."""
+
+    def fit(restart: int):
         kmeans = KMeans(
             k=k, seed=config.seed + restart, maxIter=config.max_iter, featuresCol="_scaled", predictionCol="_raw_cluster"
         )
-        fit = kmeans.fit(scaled)
-        fits.append((fit.summary.trainingCost, restart, fit))
-    return min(fits, key=lambda f: f[:2])
+        model = kmeans.fit(scaled)
+        return model.summary.trainingCost, restart, model
+
+    with ThreadPoolExecutor(config.parallelism) as pool:
+        return min(pool.map(inheritable_thread_target(scaled.sparkSession)(fit), range(config.restarts)), key=lambda f: f[:2])
 
 
 def fit_profile_clusters(profiles: DataFrame, k: int, config: KMeansConfig = KMeansConfig()) -> ProfileClusters:
-    vectors = _vectors(profiles).select("_vector")
-    scaler = _scaler().fit(vectors)
-    scaled = scaler.transform(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(profiles).select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        cost, _, kmeans = _best_kmeans(scaled, k, config)
+        scaler = _scaler().fit(vectors)
+        cost, _, kmeans = _best_kmeans(compacted(scaler.transform(vectors)), k, config)
     finally:
-        scaled.unpersist()
+        vectors.unpersist()
     std, mean = np.array(scaler.std.toArray()), np.array(scaler.mean.toArray())
     centers = np.array(kmeans.clusterCenters()) * std + mean
     order = np.argsort(centers.mean(axis=1), kind="stable")
@@ -95,10 +99,10 @@ def choose_k(
 
     `compat` reads the elbow one place too far to the right, as the studied code does.
     """
-    vectors = _vectors(profiles).select("_vector")
-    scaled = Pipeline(stages=[_scaler()]).fit(vectors).transform(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(profiles).select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        candidates = list(range(2, min(max_k + 1, scaled.count() // 10)))
+        scaled = compacted(_scaler().fit(vectors).transform(vectors))
+        candidates = list(range(2, min(max_k + 1, vectors.count() // 10)))
         if not candidates:
             raise ValueError("choosing k needs at least 30 profiles")
         costs, scores = [], []
@@ -109,7 +113,7 @@ def choose_k(
             distinct = labelled.select("_raw_cluster").distinct().count()
             scores.append(float(silhouette(labelled)) if distinct > 1 else 0.0)
     finally:
-        scaled.unpersist()
+        vectors.unpersist()
     best_silhouette = candidates[int(np.argmax(scores))]
     chosen = (_elbow(candidates, costs, compat) + best_silhouette) // 2
     table = profiles.sparkSession.createDataFrame(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from hourloom.config import DATE, EXCLUDED_FROM_MODEL, SAME_DAY_COLUMNS, SERIES, TARGET
 from hourloom.functions.calendar import as_int, cycle, day_of_week, is_weekend, season
 from hourloom.operators.clean import impute_mode
+from hourloom.operators.resample import fill_steps
 
 LAGS = (1, 2, 3, 7, 14)
 
@@ -114,12 +115,7 @@ def yesterday_cluster(daily: DataFrame) -> DataFrame:
 
 def on_every_date(daily: DataFrame) -> DataFrame:
     """Adds the dates missing between a series' rows, with null values."""
-    following = F.lead(DATE).over(_by_date())
-    last_empty = F.greatest(F.coalesce(F.date_sub(following, 1), F.col(DATE)), F.col(DATE))
-    days = daily.withColumn("_day", F.explode(F.sequence(F.col(DATE), last_empty)))
-    real = F.col("_day") == F.col(DATE)
-    rest = [c for c in daily.columns if c not in (SERIES, DATE)]
-    return days.select(SERIES, F.col("_day").alias(DATE), *[F.when(real, F.col(c)).alias(c) for c in rest])
+    return fill_steps(daily, DATE, "1 DAY")
 
 
 def build_features(

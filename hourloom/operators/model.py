@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hourloom.config import DATE, SERIES, TARGET, BoostingConfig, ForestConfig
 from hourloom.operators.clean import drop_unusable
+from hourloom.session import compacted
 
 
 def _position(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -100,7 +101,7 @@ def train(rows: DataFrame, features: Sequence[str], regressor=None, scale: bool
     usable = drop_unusable(rows, target, features).select(
         *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]
     )
-    return Pipeline(stages=[*_assembler(features, scale), regressor]).fit(usable)
+    return Pipeline(stages=[*_assembler(features, scale), regressor]).fit(compacted(usable, 5_000))
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:

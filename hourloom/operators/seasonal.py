@@ -2,9 +2,8 @@
 
 A series travels as one row holding its values in date order (at most one per calendar date). The order
 grid multiplies rows, and each (series, order) fit is an independent small least-squares problem, so the
-search is spread over tasks by series and order. Fitting is the two-stage Hannan-Rissanen regression:
-a long autoregression estimates the shocks, then the values are regressed on their own lags and the
-lagged shocks, with lags 1..p, 1..q and one season back on both sides.
+search is spread over tasks by series and order. A fit minimises the squared one-step errors of
+(p,d,q)x(1,0,1,7), conditional on the first rows; undifferenced orders have a mean.
 """
 
 from __future__ import annotations
@@ -35,56 +34,90 @@ def series_rows(daily: DataFrame, target: str = TARGET) -> DataFrame:
     )
 
 
-def _lagged(values: np.ndarray, lags: Sequence[int], start: int) -> np.ndarray:
-    return np.column_stack([values[start - k : len(values) - k] for k in lags]) if lags else np.empty((len(values) - start, 0))
+def _polynomials(params: np.ndarray, p: int, q: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients by lag of w and of the shocks, from (ar, seasonal ar, ma, seasonal ma)."""
 
+    def product(short: np.ndarray, seasonal: float) -> np.ndarray:
+        return np.convolve(np.concatenate([[1.0], short]), np.concatenate([[1.0], np.zeros(period - 1), [seasonal]]))[1:]
 
-def _lags(order: int, period: int) -> list[int]:
-    return sorted({*range(1, order + 1), period})
+    return -product(-params[:p], -params[p]), product(params[p + 1 : p + 1 + q], params[p + 1 + q])
 
 
-def _fit(y: np.ndarray, p: int, d: int, q: int, period: int, trim: int) -> dict:
-    """Coefficients by lag, AIC on a sample common to every order, and what a forecast continues from."""
+def _shocks(w: np.ndarray, candidates: np.ndarray, p: int, q: int, period: int) -> np.ndarray:
+    """One-step errors under each candidate (a column per candidate), the first ones conditioned on."""
+    pairs = [_polynomials(c, p, q, period) for c in candidates]
+    centred = w[:, None] - candidates[:, -1]
+    start = p + period
+    errors = np.zeros_like(centred)
+    errors[start:] = centred[start:]
+    for k in range(1, start + 1):
+        weight = np.array([ar[k - 1] for ar, _ in pairs])
+        if weight.any():
+            errors[start:] -= weight * centred[start - k : len(w) - k]
+    lags = np.array([*range(1, q + 1), *range(period, period + q + 1)])
+    weights = np.array([ma[lags - 1] for _, ma in pairs]).T
+    with np.errstate(over="ignore", invalid="ignore"):
+        for t in range(start, len(w)):
+            errors[t] -= (weights * errors[t - lags]).sum(axis=0)
+    return errors
+
+
+def _explosive(params: np.ndarray, p: int, q: int, period: int) -> bool:
+    ar, _ = _polynomials(params, p, q, period)
+    return np.abs(np.roots(np.concatenate([[1.0], -ar]))).max(initial=0.0) > 1.0
+
+
+def _fit(y: np.ndarray, p: int, d: int, q: int, period: int, common: int, rounds: int = 15) -> dict:
+    """Damped least squares on the one-step errors; AIC on the rows that every order can score."""
     levels, w = [], np.asarray(y, dtype=float)
     for _ in range(d):
         levels.append(float(w[-1]))
         w = np.diff(w)
-    long_lag = 2 * period
-    ar_lags, ma_lags = _lags(p, period), _lags(q, period)
-    start = long_lag + period
-    if len(w) < start + 2 * (len(ar_lags) + len(ma_lags)) + 10:
+    params = np.array([*[0.1] * p, 0.9, *[-0.1] * q, -0.7, 0.0 if d else w.mean() if len(w) else 0.0])
+    free = len(params) - (1 if d else 0)
+    if len(w) < common + 2 * period + 2 * free:
         return {"reason": "too short"}
-    design = np.column_stack([np.ones(len(w) - long_lag), _lagged(w, range(1, long_lag + 1), long_lag)])
-    shocks = np.zeros(len(w))
-    shocks[long_lag:] = w[long_lag:] - design @ np.linalg.lstsq(design, w[long_lag:], rcond=None)[0]
-    for _ in range(2):
-        x = np.column_stack([np.ones(len(w) - start), _lagged(w, ar_lags, start), _lagged(shocks, ma_lags, start)])
-        beta = np.linalg.lstsq(x, w[start:], rcond=None)[0]
-        residual = w[start:] - x @ beta
-        shocks = np.concatenate([np.zeros(start), residual])
-    scored = residual[max(0, trim - d - start) :]
-    variance = max(float(np.mean(scored**2)), 1e-12)
+    scale = np.ones(len(params))
+    scale[-1] = max(float(w.std()), 1e-6)
+    start = common - d
+
+    def cost(errors: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore", invalid="ignore"):
+            return np.nan_to_num((errors[start:] ** 2).sum(axis=0), nan=np.inf)
+
+    errors = _shocks(w, params[None, :], p, q, period)[:, 0]
+    best = cost(errors[:, None])[0]
+    for _ in range(rounds):
+        nudges = np.diag(scale * 1e-5)[:free]
+        nudged = _shocks(w, params + nudges, p, q, period)
+        slopes = (nudged - errors[:, None])[start:] / (scale[:free] * 1e-5)
+        normal, pull = slopes.T @ slopes, slopes.T @ errors[start:]
+        trials = []
+        for damping in (1e-6, 1e-2, 1.0, 100.0):
+            move = np.zeros(len(params))
+            move[:free] = -np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-9), pull)
+            trials.append(params + move)
+        tried = _shocks(w, np.array(trials), p, q, period)
+        costs = [np.inf if _explosive(t, p, q, period) else c for t, c in zip(trials, cost(tried))]
+        winner = int(np.argmin(costs))
+        if not costs[winner] < best * (1 - 1e-7):
+            break
+        params, errors, best = trials[winner], tried[:, winner], costs[winner]
+    ar, ma = _polynomials(params, p, q, period)
+    variance = max(float(np.mean(errors[start:] ** 2)), 1e-12)
     return {
-        "aic": len(scored) * np.log(variance) + 2 * (len(beta) + 1),
+        "aic": (len(errors) - start) * np.log(variance) + 2 * (free + 1),
         "sigma": float(np.sqrt(variance)),
-        "intercept": float(beta[0]),
-        "ar": _spread(beta[1 : 1 + len(ar_lags)], ar_lags),
-        "ma": _spread(beta[1 + len(ar_lags) :], ma_lags),
-        "tail": w[-period:].tolist(),
-        "shocks": shocks[-period:].tolist(),
+        "intercept": float(params[-1] * (1 - ar.sum())),
+        "ar": ar.tolist(),
+        "ma": ma.tolist(),
+        "tail": w[-len(ar) :].tolist(),
+        "shocks": errors[-len(ma) :].tolist(),
         "levels": levels,
         "reason": None,
     }
 
 
-def _spread(coefficients: np.ndarray, lags: list[int]) -> list[float]:
-    """Coefficient of lag k at place k - 1, zero where the lag is unused."""
-    out = [0.0] * max(lags)
-    for value, lag in zip(coefficients, lags):
-        out[lag - 1] = float(value)
-    return out
-
-
 def _continue(fit: dict, steps: int) -> list[float]:
     """Forecasts with future shocks at zero, integrated back to the level of the series."""
     w, e = list(fit["tail"]), list(fit["shocks"])
@@ -105,18 +138,19 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
     """Fit every order on every series row; a failed fit keeps a null AIC and the reason."""
     grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q")) for p, d, q in orders])
     jobs = rows.select("*", F.explode(grid).alias("_o")).select(SERIES, "last_date", "y", "_o.*")
-    trim = 3 * period + max(d for _, d, _ in orders)
+    reach = period + max(max(p, q) for p, _, q in orders)
+    widest = max(d for _, d, _ in orders)
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(y: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
         fits = []
         for values, *order in zip(y, p, d, q):
             try:
-                fits.append(_fit(values, *(int(v) for v in order), period, trim))
+                fits.append(_fit(values, *(int(v) for v in order), period, reach + widest))
             except np.linalg.LinAlgError as error:
                 fits.append({"reason": str(error)})
         names = ["aic", "sigma", "intercept", "ar", "ma", "tail", "shocks", "levels", "reason"]
-        return pd.DataFrame(fits, columns=names)
+        return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in names})
 
     spread = jobs.repartition(SERIES, "p", "d", "q")
     fitted = spread.withColumn("_fit", fit("y", "p", "d", "q"))

@@ -40,6 +40,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def compacted(held: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
+    """Fewer partitions for a small table about to be scanned many times; large ones keep theirs."""
+    return held.coalesce(max(1, -(-held.count() // rows_per_task)))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage and outlives lost executors."""
     path = work_path(df.sparkSession, name)
