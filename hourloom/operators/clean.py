@@ -22,7 +22,8 @@ _KEYS = [SERIES, _CHUNK]
 
 def _chunked(readings: DataFrame) -> DataFrame:
     """Dated readings spread by (series, day), even if they arrive spread by series only."""
-    return readings.where(F.col(TS).isNotNull()).withColumn(_CHUNK, F.to_date(TS)).repartition(*_KEYS)
+    dated = readings.where(F.col(TS).isNotNull()).withColumns({_CHUNK: F.to_date(TS), "_us": epoch_micros(F.col(TS))})
+    return dated.where(F.col(SERIES).isNotNull() & F.col(_CHUNK).isNotNull()).repartition(*_KEYS)
 
 
 # What is remembered about a reading: row number, time in microseconds, value.
@@ -89,7 +90,8 @@ def interpolate_gaps(
     to_here = forward.rowsBetween(Window.unboundedPreceding, 0)
     from_end = Window.partitionBy(*_KEYS).orderBy(F.desc("_us")).rowsBetween(Window.unboundedPreceding, 0)
 
-    rows = _chunked(readings).withColumn("_us", epoch_micros(F.col(TS)))
+    # only the time in microseconds travels, so both readers of the chunks share one shuffle
+    rows = _chunked(readings).select(SERIES, _CHUNK, "_us", *measures, *other)
     earlier_times = {f"_us_{k}": F.lag("_us", k).over(forward) for k in range(1, hold + 1)}
     rows = rows.withColumns({"_row": F.row_number().over(forward), **earlier_times})
     edges = _chunk_edges(rows, measures, hold)
@@ -104,7 +106,7 @@ def interpolate_gaps(
 
     linked = joined.select(
         SERIES,
-        TS,
+        F.timestamp_micros("_us").cast("timestamp_ntz").alias(TS),
         "_us",
         *measures,
         *other,
@@ -142,7 +144,7 @@ def interpolate_gaps(
 
 def forward_fill(readings: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
     """Unbounded forward fill along time."""
-    rows = _chunked(readings)
+    rows = _chunked(readings).drop("_us")
     newest = rows.groupBy(*_KEYS).agg(
         *[F.max(F.when(F.col(m).isNotNull(), F.struct(TS, m)))[m].alias(f"_last_{m}") for m in measures]
     )

@@ -92,3 +92,13 @@ def test_zero_fill_adds_missing_columns(spark):
     rows = clean.zero_fill(df, ["x", "y"]).orderBy("series_id").collect()
     assert [(r["x"], r["y"]) for r in rows] == [(0.0, 0.0), (2.0, 0.0)]
     assert pd.notna(rows[0]["x"])
+
+
+def test_raw_rows_are_shuffled_once(spark, tmp_path):
+    _, readings = minute_frame(spark, {"a": with_gaps(8, 3, [70], 2), "b": [1.0, None, 2.0]})
+    readings.write.parquet(str(tmp_path / "r"))
+    for fill in (clean.interpolate_gaps, clean.forward_fill):
+        filled = fill(spark.read.parquet(str(tmp_path / "r")), POWER)
+        filled.collect()
+        plan = filled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in plan
