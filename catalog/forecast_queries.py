@@ -85,8 +85,7 @@ ahead AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_id ORDER BY date
 def scored_ahead(spark, sf_dir) -> DataFrame:
     """Stand-in forecasts: last week's values, counted as days ahead of the first one."""
     scores = inputs.lag_week_scores(spark, sf_dir)
-    by_date = F.row_number().over(features._by_date())
-    return scores.withColumn("days_ahead", by_date)
+    return scores.withColumn("days_ahead", F.row_number().over(features.by_date()))
 
 
 @query(

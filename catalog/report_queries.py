@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import ctes, inputs
@@ -9,7 +10,7 @@ from catalog.forecast_queries import ready
 from catalog.model_queries import METRICS_SQL, fitted
 from catalog.registry import query, sql_with
 from hourloom.config import DATE, SERIES, TARGET
-from hourloom.operators import features, forecast, model, report
+from hourloom.operators import anomaly, features, forecast, model, report
 
 STATISTICAL = ("anomaly_iqr", "anomaly_zscore")
 HOURS = (ctes.MINUTES, ctes.hourly("minutes"))
@@ -136,7 +137,7 @@ def consumption_histogram(spark, sf_dir):
     ),
 )
 def detections_by_method(spark, sf_dir):
-    flagged = inputs.anomaly.both_statistical_flags(inputs.order_days(spark, sf_dir), inputs.LOOSE)
+    flagged = anomaly.both_statistical_flags(inputs.order_days(spark, sf_dir), inputs.LOOSE)
     return report.detections_by_method(flagged, STATISTICAL)
 
 
@@ -215,8 +216,8 @@ def error_buckets(spark, sf_dir):
 def forecast_view(spark, sf_dir):
     """History and a stand-in forecast that repeats the last seven rows a week later."""
     days = inputs.order_days(spark, sf_dir)
-    back = F.row_number().over(features.Window.partitionBy(SERIES).orderBy(F.desc(DATE)))
-    last_date = F.max(DATE).over(features.Window.partitionBy(SERIES))
+    back = F.row_number().over(Window.partitionBy(SERIES).orderBy(F.desc(DATE)))
+    last_date = F.max(DATE).over(Window.partitionBy(SERIES))
     week = days.select(SERIES, DATE, TARGET, back.alias("r"), last_date.alias("last_date")).where(F.col("r") <= 7)
     ahead = week.select(
         SERIES,

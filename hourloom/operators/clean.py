@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import MEASURES, SERIES, TS, GapLimits
@@ -28,50 +28,55 @@ def _chunked(readings: DataFrame) -> DataFrame:
 
 # What is remembered about a reading: row number, time in microseconds, value.
 _PARTS = ("row", "us", "v")
+_IN_CHUNK = f"PARTITION BY {SERIES}, {_CHUNK} ORDER BY _us"
+_IN_SERIES = f"PARTITION BY {SERIES} ORDER BY {_CHUNK}"
 
 
-def _known(measure: str) -> dict[str, Column]:
-    """The parts of a reading where the measure is present, null elsewhere."""
-    present = F.col(measure).isNotNull()
-    return {"row": F.when(present, F.col("_row")), "us": F.when(present, F.col("_us")), "v": F.col(measure)}
+def _known(measure: str) -> dict[str, str]:
+    """The parts of a reading where the measure is present, null elsewhere (SQL text)."""
+    present = f"`{measure}` IS NOT NULL"
+    return {"row": f"IF({present}, _row, NULL)", "us": f"IF({present}, _us, NULL)", "v": f"`{measure}`"}
 
 
-def _nearest(measures: Sequence[str], prefix: str, frame) -> dict[str, Column]:
-    """Last present reading of each measure within the frame."""
-    return {f"{prefix}_{part}_{m}": F.last(c, True).over(frame) for m in measures for part, c in _known(m).items()}
+def _nearest(measures: Sequence[str], prefix: str, over: str) -> list[str]:
+    """Last present reading of each measure in the window."""
+    window = f"OVER ({over} ROWS UNBOUNDED PRECEDING)"
+    return [f"last({sql}, true) {window} AS `{prefix}_{part}_{m}`" for m in measures for part, sql in _known(m).items()]
 
 
 def _chunk_edges(rows: DataFrame, measures: Sequence[str], hold: int) -> DataFrame:
     """Per chunk: its row offset, and the nearest readings and last `hold` times outside it."""
-
-    def side(m: str, name: str) -> list[Column]:
-        edge, value = (F.min, F.min_by) if name == "first" else (F.max, F.max_by)
+    aggregates = ["max(_row) AS _n", *[f"max_by({f'_us_{k}' if k else '_us'}, _row) AS _tail_{k}" for k in range(hold)]]
+    for m in measures:
         known = _known(m)
+        for name, end in (("first", "min"), ("last", "max")):
+            aggregates += [f"{end}({known[part]}) AS `_{name}_{part}_{m}`" for part in ("row", "us")]
+            aggregates.append(f"{end}_by(`{m}`, {known['row']}) AS `_{name}_v_{m}`")
+    tail = f"array_compact(array({', '.join(f'_tail_{k}' for k in range(hold))}))" if hold else "CAST(array() AS array<bigint>)"
+    edges = rows.groupBy(*_KEYS).agg(*map(F.expr, aggregates))
+    edges = edges.selectExpr(
+        *_KEYS,
+        f"coalesce(sum(_n) OVER ({_IN_SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset",
+        f"{tail} AS _tail",
+        *[f"`_{name}_{part}_{m}`" for m in measures for name in ("first", "last") for part in _PARTS],
+    )
+
+    def outside(name: str, side: str, order: str) -> list[str]:
+        """Nearest chunk before (or after) that has the measure, with rows counted from the series' start."""
+        window = f"OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         return [
-            edge(known["row"]).alias(f"_{name}_row_{m}"),
-            edge(known["us"]).alias(f"_{name}_us_{m}"),
-            value(F.col(m), known["row"]).alias(f"_{name}_v_{m}"),
+            f"last(`_{name}_{part}_{m}`{' + _offset' if part == 'row' else ''}, true) {window} AS `_{side}_{part}_{m}`"
+            for m in measures
+            for part in _PARTS
         ]
 
-    edges = rows.groupBy(*_KEYS).agg(
-        F.max("_row").alias("_n"),
-        *[F.max_by(f"_us_{k}" if k else "_us", "_row").alias(f"_tail_{k}") for k in range(hold)],
-        *[c for m in measures for name in ("first", "last") for c in side(m, name)],
-    )
-    forward = Window.partitionBy(SERIES).orderBy(_CHUNK)
-    earlier = forward.rowsBetween(Window.unboundedPreceding, -1)
-    later = Window.partitionBy(SERIES).orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
-    tail = F.array_compact(F.array(*[f"_tail_{k}" for k in range(hold)])) if hold else F.array().cast("array<bigint>")
-    edges = edges.withColumns({"_offset": F.coalesce(F.sum("_n").over(earlier), F.lit(0)), "_tail": tail})
-    numbered = [f"_{name}_row_{m}" for m in measures for name in ("first", "last")]
-    edges = edges.withColumns({c: F.col(c) + F.col("_offset") for c in numbered})
-    backward_times = F.collect_list("_tail").over(forward.rowsBetween(-max(hold, 1), -1))
-    return edges.select(
+    times = f"collect_list(_tail) OVER ({_IN_SERIES} ROWS BETWEEN {max(hold, 1)} PRECEDING AND 1 PRECEDING)"
+    return edges.selectExpr(
         *_KEYS,
         "_offset",
-        F.flatten(F.reverse(backward_times)).alias("_tail"),
-        *[F.last(f"_last_{part}_{m}", True).over(earlier).alias(f"_before_{part}_{m}") for m in measures for part in _PARTS],
-        *[F.last(f"_first_{part}_{m}", True).over(later).alias(f"_after_{part}_{m}") for m in measures for part in _PARTS],
+        f"flatten(reverse({times})) AS _tail",
+        *outside("last", "before", _IN_SERIES),
+        *outside("first", "after", f"{_IN_SERIES} DESC"),
     )
 
 
@@ -85,61 +90,58 @@ def interpolate_gaps(
     line, and the final `back` rows take the next reading. The rest stays null.
     """
     other = [c for c in readings.columns if c not in (SERIES, TS, *measures)]
+    kept = [f"`{c}`" for c in (*measures, *other)]
     hold = limits.hold
-    forward = Window.partitionBy(*_KEYS).orderBy("_us")
-    to_here = forward.rowsBetween(Window.unboundedPreceding, 0)
-    from_end = Window.partitionBy(*_KEYS).orderBy(F.desc("_us")).rowsBetween(Window.unboundedPreceding, 0)
 
     # only the time in microseconds travels, so both readers of the chunks share one shuffle
-    rows = _chunked(readings).select(SERIES, _CHUNK, "_us", *measures, *other)
-    earlier_times = {f"_us_{k}": F.lag("_us", k).over(forward) for k in range(1, hold + 1)}
-    rows = rows.withColumns({"_row": F.row_number().over(forward), **earlier_times})
+    rows = _chunked(readings).selectExpr(
+        SERIES,
+        _CHUNK,
+        "_us",
+        *kept,
+        f"row_number() OVER ({_IN_CHUNK}) AS _row",
+        *[f"lag(_us, {k}) OVER ({_IN_CHUNK}) AS _us_{k}" for k in range(1, hold + 1)],
+    )
     edges = _chunk_edges(rows, measures, hold)
-    near = rows.withColumns({**_nearest(measures, "_prev", to_here), **_nearest(measures, "_next", from_end)})
-    joined = near.join(edges, _KEYS)
+    near = rows.selectExpr("*", *_nearest(measures, "_prev", _IN_CHUNK), *_nearest(measures, "_next", f"{_IN_CHUNK} DESC"))
 
-    def reached(inside: str, outside: str, part: str, m: str) -> Column:
-        here = F.col(f"{inside}_{part}_{m}")
-        if part == "row":
-            here = here + F.col("_offset")
-        return F.coalesce(here, F.col(f"{outside}_{part}_{m}")).alias(f"{inside}_{part}_{m}")
+    def reached(inside: str, outside: str) -> list[str]:
+        return [
+            f"coalesce(`{inside}_{part}_{m}`{' + _offset' if part == 'row' else ''}, `{outside}_{part}_{m}`) AS `{inside}_{part}_{m}`"
+            for m in measures
+            for part in _PARTS
+        ]
 
-    linked = joined.select(
+    linked = near.join(edges, _KEYS).selectExpr(
         SERIES,
-        F.timestamp_micros("_us").cast("timestamp_ntz").alias(TS),
+        f"CAST(timestamp_micros(_us) AS timestamp_ntz) AS {TS}",
         "_us",
-        *measures,
-        *other,
-        (F.col("_row") + F.col("_offset")).alias("_row"),
+        *kept,
+        "_row + _offset AS _row",
         "_tail",
-        F.array(*earlier_times).alias("_inside"),
-        F.least(F.col("_row") - 1, F.lit(hold)).alias("_n_inside"),
-        *[reached("_prev", "_before", part, m) for m in measures for part in _PARTS],
-        *[reached("_next", "_after", part, m) for m in measures for part in _PARTS],
+        f"array({', '.join(f'_us_{k}' for k in range(1, hold + 1))}) AS _inside",
+        f"least(_row - 1, {hold}) AS _n_inside",
+        *reached("_prev", "_before"),
+        *reached("_next", "_after"),
     )
 
-    def time_above(steps: Column) -> Column:
-        """Time of the row `steps` (1..hold) rows up, in this chunk or before it."""
-        n = F.col("_n_inside")
-        outside = F.try_element_at("_tail", steps - n)
-        return F.when(steps <= n, F.try_element_at("_inside", steps)).otherwise(outside)
-
-    def filled(m: str) -> Column:
-        value = F.col(m)
-        prev_row, prev_us, prev_v = (F.col(f"_prev_{part}_{m}") for part in _PARTS)
-        next_row, next_us, next_v = (F.col(f"_next_{part}_{m}") for part in _PARTS)
-        behind = F.col("_row") - prev_row
-        past_line = (behind - limits.interpolate).cast("int")
-        # rows past the line keep its last point
-        at = F.when(past_line > 0, time_above(past_line)).otherwise(F.col("_us"))
-        on_line = F.coalesce(prev_v + (next_v - prev_v) / (next_us - prev_us) * (at - prev_us), prev_v)
-        reach = behind <= limits.interpolate + hold
+    def filled(m: str) -> str:
+        prev_row, prev_us, prev_v = (f"`_prev_{part}_{m}`" for part in _PARTS)
+        next_row, next_us, next_v = (f"`_next_{part}_{m}`" for part in _PARTS)
+        past_line = f"CAST(_row - {prev_row} - {limits.interpolate} AS int)"
+        # rows past the line keep its last point, `past_line` rows up: in this chunk or before it
+        above = f"IF({past_line} <= _n_inside, try_element_at(_inside, {past_line}), try_element_at(_tail, {past_line} - _n_inside))"
+        at = f"IF({past_line} > 0, {above}, _us)"
+        line = f"{prev_v} + ({next_v} - {prev_v}) / ({next_us} - {prev_us}) * ({at} - {prev_us})"
+        reach = f"_row - {prev_row} <= {limits.interpolate + hold}"
         if limits.max_gap is not None:
-            reach = reach & (F.coalesce(next_row - prev_row - 1, F.lit(0)) <= limits.max_gap)
-        ahead = next_row - F.col("_row")
-        return F.when(value.isNotNull(), value).when(reach, on_line).when(ahead <= limits.back, next_v)
+            reach += f" AND coalesce({next_row} - {prev_row} - 1, 0) <= {limits.max_gap}"
+        return (
+            f"CASE WHEN `{m}` IS NOT NULL THEN `{m}` WHEN {reach} THEN coalesce({line}, {prev_v}) "
+            f"WHEN {next_row} - _row <= {limits.back} THEN {next_v} END AS `{m}`"
+        )
 
-    return linked.select(SERIES, TS, *[filled(m).alias(m) for m in measures], *other)
+    return linked.selectExpr(SERIES, TS, *[filled(m) for m in measures], *[f"`{c}`" for c in other])
 
 
 def forward_fill(readings: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:

@@ -19,13 +19,13 @@ from hourloom.operators.resample import fill_steps
 LAGS = (1, 2, 3, 7, 14)
 
 
-def _by_date(*keys: str):
+def by_date(*keys: str):
     return Window.partitionBy(SERIES, *keys).orderBy(DATE)
 
 
 def _before(rows: int):
     """The given number of rows before the current one."""
-    return _by_date().rowsBetween(-rows, -1)
+    return by_date().rowsBetween(-rows, -1)
 
 
 def calendar_features(daily: DataFrame) -> DataFrame:
@@ -52,8 +52,8 @@ def calendar_features(daily: DataFrame) -> DataFrame:
 
 
 def lag_columns(target: str = TARGET) -> dict[str, Column]:
-    lags = {f"lag_{k}d": F.lag(target, k).over(_by_date()) for k in LAGS}
-    return {**lags, "same_day_last_week": F.lag(target, 7).over(_by_date())}
+    lags = {f"lag_{k}d": F.lag(target, k).over(by_date()) for k in LAGS}
+    return {**lags, "same_day_last_week": F.lag(target, 7).over(by_date())}
 
 
 def rolling_columns(target: str = TARGET) -> dict[str, Column]:
@@ -72,15 +72,15 @@ def rolling_columns(target: str = TARGET) -> dict[str, Column]:
 
 
 def trend_columns(target: str = TARGET) -> dict[str, Column]:
-    first_day = F.min(DATE).over(_by_date().rowsBetween(Window.unboundedPreceding, 0))
+    first_day = F.min(DATE).over(by_date().rowsBetween(Window.unboundedPreceding, 0))
     return {
         "day_number": F.datediff(F.col(DATE), first_day),
-        "trend_7d": F.lag(target, 1).over(_by_date()) - F.lag(target, 8).over(_by_date()),
+        "trend_7d": F.lag(target, 1).over(by_date()) - F.lag(target, 8).over(by_date()),
     }
 
 
 def ratio_columns(target: str = TARGET) -> dict[str, Column]:
-    return {"ratio_to_weekly_avg": F.lag(target, 1).over(_by_date()) / (F.avg(target).over(_before(7)) + 1e-6)}
+    return {"ratio_to_weekly_avg": F.lag(target, 1).over(by_date()) / (F.avg(target).over(_before(7)) + 1e-6)}
 
 
 def auxiliary_columns(measure: str = "Voltage_mean") -> dict[str, Column]:
@@ -90,7 +90,7 @@ def auxiliary_columns(measure: str = "Voltage_mean") -> dict[str, Column]:
 def group_mean(target: str, key: str, leak_free: bool) -> Column:
     """Mean target of the rows sharing `key`; leak-free looks only at earlier rows."""
     if leak_free:
-        return F.avg(target).over(_by_date(key).rowsBetween(Window.unboundedPreceding, -1))
+        return F.avg(target).over(by_date(key).rowsBetween(Window.unboundedPreceding, -1))
     return F.avg(target).over(Window.partitionBy(SERIES, key))
 
 
@@ -109,7 +109,7 @@ def cluster_mean(daily: DataFrame, target: str = TARGET, leak_free: bool = True)
 
 
 def yesterday_cluster(daily: DataFrame) -> DataFrame:
-    previous = F.lag("cluster", 1).over(_by_date())
+    previous = F.lag("cluster", 1).over(by_date())
     return daily.withColumn("yesterday_cluster", F.coalesce(previous, F.col("cluster")))
 
 
@@ -134,7 +134,7 @@ def build_features(
     if "Voltage_mean" in daily.columns:
         columns |= auxiliary_columns()
     if clusters is not None:
-        columns["yesterday_cluster"] = F.coalesce(F.lag("cluster", 1).over(_by_date()), F.col("cluster"))
+        columns["yesterday_cluster"] = F.coalesce(F.lag("cluster", 1).over(by_date()), F.col("cluster"))
     table = table.withColumns(columns)
     table = weekday_mean(table, target, leak_free)
     return table if clusters is None else cluster_mean(table, target, leak_free)

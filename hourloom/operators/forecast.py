@@ -26,7 +26,7 @@ from hourloom.config import (
     SUM_MEASURES,
     TARGET,
 )
-from hourloom.functions.calendar import as_int, day_of_week, is_weekend, season
+from hourloom.functions.calendar import day_of_week, is_weekend, season
 from hourloom.functions.stats import most_frequent
 from hourloom.functions.vectors import ordered_values
 from hourloom.operators.features import LAGS
@@ -148,7 +148,7 @@ class ForestArrays:
     def predict(self, x: np.ndarray) -> np.ndarray:
         trees = np.arange(len(self.value))[:, None]
         rows = np.arange(len(x))[None, :]
-        node = np.zeros((len(self.value), len(x)), dtype=np.int64)
+        node = np.zeros((len(self.value), len(x)), dtype=np.int32)
         for _ in range(self.depth):
             goes_left = x[rows, self.feature[trees, node]] <= self.threshold[trees, node]
             node = np.where(goes_left, self.left[trees, node], self.right[trees, node])
@@ -186,10 +186,10 @@ def forest_arrays(spark: SparkSession, model: PipelineModel) -> ForestArrays:
     if isinstance(regressor, RandomForestRegressionModel):
         weight = weight / weight.sum()
     return ForestArrays(
-        table(np.where(inner, nodes["feature"], 0), np.int64),
+        table(np.where(inner, nodes["feature"], 0), np.int32),
         table(np.where(inner, nodes["threshold"], 0.0), float),
-        table(np.where(inner, nodes["leftChild"], nodes["id"]), np.int64),
-        table(np.where(inner, nodes["rightChild"], nodes["id"]), np.int64),
+        table(np.where(inner, nodes["leftChild"], nodes["id"]), np.int32),
+        table(np.where(inner, nodes["rightChild"], nodes["id"]), np.int32),
         table(nodes["prediction"], float),
         weight,
         max(tree.depth for tree in regressor.trees),

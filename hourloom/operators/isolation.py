@@ -13,7 +13,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hourloom.config import DATE, ISOLATION_FEATURES, SERIES, AnomalyConfig
 from hourloom.operators.clean import impute_mean

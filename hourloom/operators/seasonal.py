@@ -100,7 +100,7 @@ def _fit(y: np.ndarray, p: int, d: int, q: int, period: int, common: int, rounds
         tried = _shocks(w, np.array(trials), p, q, period)
         costs = [np.inf if _explosive(t, p, q, period) else c for t, c in zip(trials, cost(tried))]
         winner = int(np.argmin(costs))
-        if not costs[winner] < best * (1 - 1e-7):
+        if not costs[winner] < best * (1 - 1e-5):
             break
         params, errors, best = trials[winner], tried[:, winner], costs[winner]
     ar, ma = _polynomials(params, p, q, period)
@@ -152,8 +152,10 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
         names = ["aic", "sigma", "intercept", "ar", "ma", "tail", "shocks", "levels", "reason"]
         return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in names})
 
-    spread = jobs.repartition(SERIES, "p", "d", "q")
-    fitted = spread.withColumn("_fit", fit("y", "p", "d", "q"))
+    # a fixed partition count: the rows are few but each is a long computation
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = jobs.repartition(4 * tasks, SERIES, "p", "d", "q")
+    fitted = spread.withColumn("_fit", fit.asNondeterministic()("y", "p", "d", "q"))
     return fitted.select(SERIES, "last_date", "p", "d", "q", "_fit.*")
 
 
