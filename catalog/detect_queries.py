@@ -66,7 +66,7 @@ def isolation_scores(spark, sf_dir):
     ),
 )
 def pattern_anomalies(spark, sf_dir):
-    scored = anomaly.pattern_deviation(inputs.weekly_profiles(spark, sf_dir))
+    scored = anomaly.pattern_deviation(inputs.weekly_profiles(spark, sf_dir), n_slots=7)
     return scored.select(SERIES, DATE, "max_deviation", "anomaly_pattern")
 
 

@@ -11,7 +11,7 @@ from catalog import ctes, inputs
 from catalog.data_queries import ORDER_LABELS
 from catalog.model_queries import day_requests, fitted
 from catalog.registry import query, sql_with
-from hourloom.config import DATE, SERIES, TARGET, KMeansConfig, RunConfig
+from hourloom.config import DATE, SERIES, TARGET, AnomalyConfig, KMeansConfig, RunConfig
 from hourloom.operators import features, forecast, model, requests, resample, seasonal
 from hourloom.plans import training
 from hourloom.session import work_path
@@ -31,10 +31,11 @@ class Ready:
 
 def _ready(spark, sf_dir) -> Ready:
     fit = fitted(spark, sf_dir)
-    days = inputs.order_days(spark, sf_dir)
+    days = inputs.written_order_days(spark, sf_dir)
     labelled = features.join_clusters(days, inputs.order_clusters(spark, sf_dir))
     sigma = training.holdout_sigma(fit.scored.where(F.col("split") == "test"))
-    return Ready(training.states_for(labelled, days, sigma), forecast.forest_arrays(spark, fit.model))
+    states = training.materialize(training.states_for(labelled, days, sigma), "states")
+    return Ready(states, forecast.forest_arrays(spark, fit.model))
 
 
 def ready(spark, sf_dir) -> Ready:
@@ -308,5 +309,5 @@ def run_report(spark, sf_dir):
     rows = inputs.line_rows(spark, sf_dir, F.concat("l_returnflag", "l_linestatus"))
     daily = resample.daily_summary(rows)
     weeks = inputs.weekly_profiles(spark, sf_dir)
-    run = training.train_run(daily, weeks, RunConfig(kmeans=KMeansConfig(restarts=3)))
+    run = training.train_run(daily, weeks, RunConfig(anomaly=AnomalyConfig(profile_slots=7), kmeans=KMeansConfig(restarts=3)))
     return training.run_report(run)

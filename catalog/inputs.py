@@ -5,8 +5,6 @@ Prices and values are scaled by long factors so that rounded means have no exact
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from hourloom.config import DATE, HOUR_TS, SERIES, TS, AnomalyConfig
 from hourloom.functions.calendar import day_metadata, truncate
 from hourloom.operators import anomaly, features, resample
 from hourloom.plans import training
+from hourloom.session import materialize
 
 LOOSE = AnomalyConfig(iqr_threshold=0.75, zscore_threshold=1.5)
 
@@ -54,7 +53,7 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filled_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours of the gap-filled readings, written once for its several readers."""
-    return training.prepare(readings(spark, sf_dir))[0]
+    return cached("filled_hourly", lambda s, d: training.prepare(readings(s, d))[0], spark, sf_dir)
 
 
 def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +93,11 @@ def line_rows(spark: SparkSession, sf_dir: str, series: Column) -> DataFrame:
     )
 
 
+def written_order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order days as a table that models and forecasts of one session share."""
+    return cached("order_days", lambda s, d: materialize(order_days(s, d), "order_days"), spark, sf_dir)
+
+
 def fleet_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many daily series: one per supplier."""
     return resample.daily_summary(line_rows(spark, sf_dir, F.col("l_suppkey").cast("string")))
@@ -118,7 +122,8 @@ def half_month_cluster() -> Column:
 
 
 def clustered_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weekly_profiles(spark, sf_dir).withColumn("cluster", half_month_cluster())
+    """Weeks with their stand-in label, written once for readers that need them several times."""
+    return materialize(weekly_profiles(spark, sf_dir).withColumn("cluster", half_month_cluster()), "weeks")
 
 
 def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ def labelled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stand-in day labels for the order series; Sundays have no label."""
-    days = order_days(spark, sf_dir)
+    days = written_order_days(spark, sf_dir)
     label = (F.col("season") * 2 + F.col("is_weekend")).cast("int")
     return days.where(F.col("day_of_week") < 6).select(SERIES, DATE, label.alias("cluster"))
 
@@ -152,7 +157,12 @@ def lag_week_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
+_SHARED: dict = {}
+
+
 def cached(key: str, builder, spark: SparkSession, sf_dir: str):
-    """Fitted models are shared by the queries of one session."""
-    return builder(spark, sf_dir)
+    """Written tables and fitted models that the queries of one application share."""
+    place = (key, spark.sparkContext.applicationId, sf_dir)
+    if place not in _SHARED:
+        _SHARED[place] = builder(spark, sf_dir)
+    return _SHARED[place]

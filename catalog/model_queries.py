@@ -261,7 +261,8 @@ class Fitted:
 
 
 def _fit(spark, sf_dir) -> Fitted:
-    return Fitted(*training.fit_daily_model(inputs.order_days(spark, sf_dir), inputs.order_clusters(spark, sf_dir)))
+    days = inputs.written_order_days(spark, sf_dir)
+    return Fitted(*training.fit_daily_model(days, inputs.order_clusters(spark, sf_dir)))
 
 
 def fitted(spark, sf_dir) -> Fitted:

@@ -84,6 +84,7 @@ class AnomalyConfig:
     trees: int = 100
     sample_size: int = 256
     seed: int = 42
+    profile_slots: int = 24
 
 
 @dataclass(frozen=True)

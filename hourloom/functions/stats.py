@@ -1,21 +1,21 @@
-"""Grouped statistics that are joined back to their rows."""
+"""Grouped statistics beside their rows."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def attach_group_stats(df: DataFrame, keys: Sequence[str], stats: Sequence[Column]) -> DataFrame:
-    """Left join of per-group aggregates.
+def with_group_stats(df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]) -> DataFrame:
+    """Adds aggregates of each row's group, in one pass over `df`.
 
-    The aggregate is combined map-side, so a hot group costs one partial row per task; the join side
-    holds one row per group and Spark broadcasts it only when its measured size allows.
+    For tables whose groups are bounded by the calendar (daily rows of a series): computing the table
+    twice for a join would read the raw data twice, while its own rows are few.
     """
-    grouped = df.groupBy(*keys).agg(*stats)
-    return df.join(grouped, list(keys), "left")
+    group = Window.partitionBy(*keys)
+    return df.withColumns({name: c.over(group) for name, c in stats.items()})
 
 
 def most_frequent(df: DataFrame, keys: Sequence[str], value: str, alias: str) -> DataFrame:

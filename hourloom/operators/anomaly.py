@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.config import ANOMALY_FLAGS, DATE, SERIES, TARGET, AnomalyConfig
-from hourloom.functions.stats import attach_group_stats
-from hourloom.functions.vectors import ordered_values
+from hourloom.functions.stats import with_group_stats
 from hourloom.operators.isolation import isolation_flags
 
 
@@ -38,27 +37,19 @@ def statistical_flags(
     """Adds `anomaly_iqr` or `anomaly_zscore`; nulls are ignored and never flagged."""
     value = F.col(column)
     if method == "iqr":
-        stats = attach_group_stats(daily, [SERIES], [_quartiles(column, approximate).alias("_q")])
+        stats = with_group_stats(daily, [SERIES], {"_q": _quartiles(column, approximate)})
         return stats.withColumn("anomaly_iqr", _outside_fence(value, F.col("_q"), threshold)).drop("_q")
     if method == "zscore":
-        stats = attach_group_stats(
-            daily, [SERIES], [F.avg(column).alias("_mean"), F.stddev_pop(column).alias("_std")]
-        )
+        stats = with_group_stats(daily, [SERIES], {"_mean": F.avg(column), "_std": F.stddev_pop(column)})
         flag = _far_from_mean(value, F.col("_mean"), F.col("_std"), threshold)
         return stats.withColumn("anomaly_zscore", flag).drop("_mean", "_std")
     raise ValueError(f"unknown method {method!r}")
 
 
 def both_statistical_flags(daily: DataFrame, config: AnomalyConfig = AnomalyConfig()) -> DataFrame:
-    """IQR and z-score flags of the target from one grouping and one join."""
-    stats = attach_group_stats(
-        daily,
-        [SERIES],
-        [
-            _quartiles(TARGET, False).alias("_q"),
-            F.avg(TARGET).alias("_mean"),
-            F.stddev_pop(TARGET).alias("_std"),
-        ],
+    """IQR and z-score flags of the target from one window."""
+    stats = with_group_stats(
+        daily, [SERIES], {"_q": _quartiles(TARGET, False), "_mean": F.avg(TARGET), "_std": F.stddev_pop(TARGET)}
     )
     value = F.col(TARGET)
     return stats.withColumns(
@@ -69,35 +60,29 @@ def both_statistical_flags(daily: DataFrame, config: AnomalyConfig = AnomalyConf
     ).drop("_q", "_mean", "_std")
 
 
-def pattern_deviation(profiles: DataFrame, threshold: float = 2.5) -> DataFrame:
+def pattern_deviation(profiles: DataFrame, threshold: float = 2.5, n_slots: int = 24) -> DataFrame:
     """Largest distance of a day's slots from the other days of its weekday, in their deviations.
 
-    The mean and deviation without the day itself follow from the group's count, mean and variance,
-    so each group is one aggregate row. Fewer than three peers: no deviation, not flagged.
+    The mean and deviation without the day itself follow from the group's count, mean and variance, so
+    one window over (series, weekday) replaces the comparison of all pairs of days. Fewer than three
+    peers: no deviation, not flagged.
     """
-    keys = [SERIES, "day_of_week"]
-    cells = profiles.select(*keys, F.posexplode("profile").alias("_slot", "_x"))
-    slot_stats = cells.groupBy(*keys, "_slot").agg(
-        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.var_pop("_x").alias("var")
-    )
-    weekday_stats = slot_stats.groupBy(*keys).agg(
-        F.max("n").alias("_n"), ordered_values(F.col("_slot"), F.struct("mean", "var")).alias("_stats")
-    )
-
+    slots = [F.col("profile")[i] for i in range(n_slots)]
+    stats = {"_n": F.count("*")}
+    stats |= {f"_mean_{i}": F.avg(x) for i, x in enumerate(slots)}
+    stats |= {f"_var_{i}": F.var_pop(x) for i, x in enumerate(slots)}
+    grouped = with_group_stats(profiles, [SERIES, "day_of_week"], stats)
     n = F.col("_n").cast("double")
 
-    def deviation(x: Column, s: Column) -> Column:
-        centred = x - s["mean"]
-        others_mean = s["mean"] - centred / (n - 1)
-        others_ss = n * s["var"] - n / (n - 1) * centred * centred
+    def deviation(i: int, x: Column) -> Column:
+        centred = x - F.col(f"_mean_{i}")
+        others_ss = n * F.col(f"_var_{i}") - n / (n - 1) * centred * centred
         others_std = F.sqrt(F.greatest(others_ss, F.lit(0.0)) / (n - 2))
-        return F.abs(x - others_mean) / (others_std + 1e-6)
+        return F.abs(centred * n / (n - 1)) / (others_std + 1e-6)
 
-    scored = profiles.join(weekday_stats, keys, "left")
-    largest = F.array_max(F.zip_with("profile", "_stats", deviation))
-    return scored.withColumn("max_deviation", F.when(F.col("_n") >= 4, largest)).withColumn(
-        "anomaly_pattern", F.coalesce(F.col("max_deviation") > threshold, F.lit(False))
-    ).drop("_n", "_stats")
+    largest = F.greatest(*[deviation(i, x) for i, x in enumerate(slots)])
+    scored = grouped.withColumn("max_deviation", F.when(n >= 4, largest)).drop(*stats)
+    return scored.withColumn("anomaly_pattern", F.coalesce(F.col("max_deviation") > threshold, F.lit(False)))
 
 
 def align_flags(daily: DataFrame, flags: DataFrame, column: str) -> DataFrame:
@@ -118,7 +103,8 @@ def detect_anomalies(
     """All four methods and their vote."""
     flagged = both_statistical_flags(daily, config)
     flagged = isolation_flags(flagged, config=config)
-    flagged = align_flags(flagged, pattern_deviation(profiles, config.pattern_threshold), "anomaly_pattern")
+    pattern = pattern_deviation(profiles, config.pattern_threshold, config.profile_slots)
+    flagged = align_flags(flagged, pattern, "anomaly_pattern")
     return vote(flagged, ANOMALY_FLAGS, config.consensus)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hourloom.config import MEASURES, SERIES, TS, GapLimits
 from hourloom.functions.calendar import epoch_micros
-from hourloom.functions.stats import attach_group_stats, most_frequent
+from hourloom.functions.stats import with_group_stats
 
 _CHUNK = "_chunk"
 _KEYS = [SERIES, _CHUNK]
@@ -185,7 +185,7 @@ def handle_missing(
 
 def impute_mean(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Nulls become the column mean of their group."""
-    means = attach_group_stats(df, keys, [F.avg(c).alias(f"_mean_{c}") for c in columns])
+    means = with_group_stats(df, keys, {f"_mean_{c}": F.avg(c) for c in columns})
     filled = {c: F.coalesce(F.col(c), F.col(f"_mean_{c}")) for c in columns}
     return means.withColumns(filled).drop(*[f"_mean_{c}" for c in columns])
 
@@ -194,9 +194,9 @@ def impute_mode(
     df: DataFrame, column: str, keys: Sequence[str] = (SERIES,), fallback: int | None = None
 ) -> DataFrame:
     """Nulls become the most frequent value of their group (smallest on ties)."""
-    modes = most_frequent(df, keys, column, "_mode")
-    choices = [F.col(column), F.col("_mode")] + ([F.lit(fallback)] if fallback is not None else [])
-    return df.join(modes, list(keys), "left").withColumn(column, F.coalesce(*choices)).drop("_mode")
+    most_frequent = F.mode(column, True).over(Window.partitionBy(*keys))
+    choices = [F.col(column), most_frequent] + ([F.lit(fallback)] if fallback is not None else [])
+    return df.withColumn(column, F.coalesce(*choices))
 
 
 def zero_fill(df: DataFrame, columns: Iterable[str]) -> DataFrame:

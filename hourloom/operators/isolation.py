@@ -13,6 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from hourloom.config import DATE, ISOLATION_FEATURES, SERIES, AnomalyConfig
 from hourloom.operators.clean import impute_mean
@@ -73,28 +74,33 @@ def isolation_flags(
 ) -> DataFrame:
     """Adds `isolation_score` and `anomaly_isolation_forest` (the lowest `contamination` share).
 
-    Standardising first would change nothing: splits are drawn between a node's own extremes.
+    Each series travels as one row; only its feature values visit Python. Standardising first would change
+    nothing: splits are drawn between a node's own extremes.
     """
     features = [f for f in features if f in daily.columns]
     trees, sample_size, seed, share = config.trees, config.sample_size, config.seed, config.contamination
 
-    def score(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(DATE)
-        rng = np.random.default_rng([seed, zlib.crc32(str(group[SERIES].iloc[0]).encode())])
-        x = group[features].fillna(0.0).to_numpy(dtype=float)
-        scores = _isolation_scores(x, trees, sample_size, rng)
-        return pd.DataFrame(
-            {
-                SERIES: group[SERIES],
-                DATE: group[DATE],
-                "isolation_score": scores,
-                "anomaly_isolation_forest": scores < np.percentile(scores, 100 * share),
-            }
-        )
+    @F.pandas_udf("scores array<double>, cut double")
+    def score(series: pd.Series, rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for name, values in zip(series, rows):
+            rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
+            scores = _isolation_scores(np.array([list(v) for v in values], dtype=float), trees, sample_size, rng)
+            out.append((scores.tolist(), float(np.percentile(scores, 100 * share))))
+        return pd.DataFrame(out, columns=["scores", "cut"])
 
-    keys = ", ".join(f"{c} {daily.schema[c].dataType.simpleString()}" for c in (SERIES, DATE))
-    inputs = impute_mean(daily.select(SERIES, DATE, *features), features)
-    scored = inputs.groupBy(SERIES).applyInPandas(
-        score, f"{keys}, isolation_score double, anomaly_isolation_forest boolean"
+    copies = [f"_x_{f}" for f in features]
+    rest = [c for c in daily.columns if c not in (SERIES, DATE)]
+    imputed = impute_mean(daily.withColumns({f"_x_{f}": F.col(f) for f in features}), copies)
+    x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in copies]).alias("_x")
+    whole = imputed.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct(DATE, *rest, x))).alias("_rows"))
+    values = F.transform("_rows", lambda r: r["_x"])
+    scored = whole.withColumn("_s", score.asNondeterministic()(F.col(SERIES), values))
+    days = scored.select(SERIES, "_s.scores", "_s.cut", F.posexplode("_rows").alias("_i", "_day"))
+    day_score = F.col("scores")[F.col("_i")]
+    return days.select(
+        SERIES,
+        *[F.col("_day")[c].alias(c) for c in (DATE, *rest)],
+        day_score.alias("isolation_score"),
+        (day_score < F.col("cut")).alias("anomaly_isolation_forest"),
     )
-    return daily.join(scored, [SERIES, DATE], "left")

@@ -44,14 +44,12 @@ def fold_plan(train: DataFrame, folds: int = 5, keys: Sequence[str] = (SERIES,))
 
 def fold_bounds(train: DataFrame, folds: int = 5, keys: Sequence[str] = (SERIES,)) -> DataFrame:
     """Train and test sizes and first and last test date of every fold."""
-    plan = fold_plan(train, folds, keys)
-    tests = plan.where(F.col("fold").isNotNull()).groupBy(*keys, "fold").agg(
+    sizes = fold_plan(train, folds, keys).groupBy(*keys, "fold").agg(
         F.count("*").alias("test_rows"), F.min(DATE).alias("test_from"), F.max(DATE).alias("test_to")
     )
-    totals = plan.groupBy(*keys).agg(F.count("*").alias("_n"), F.count("fold").alias("_tested"))
-    joined = tests.join(totals, list(keys))
-    train_rows = F.col("_n") - F.col("_tested") + (F.col("fold") - 1) * F.col("test_rows")
-    return joined.withColumn("train_rows", train_rows).drop("_n", "_tested")
+    earlier = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("fold")).rowsBetween(Window.unboundedPreceding, -1)
+    train_rows = F.coalesce(F.sum("test_rows").over(earlier), F.lit(0))
+    return sizes.withColumn("train_rows", train_rows).where(F.col("fold").isNotNull())
 
 
 def _assembler(features: Sequence[str], scale: bool) -> list:
@@ -120,9 +118,13 @@ def top_features(importances: DataFrame, n: int = 15) -> DataFrame:
 
 
 def regression_metrics(
-    scored: DataFrame, actual: str = TARGET, prediction: str = "prediction", keys: Sequence[str] = (SERIES,)
+    scored: DataFrame,
+    actual: str = TARGET,
+    prediction: str = "prediction",
+    keys: Sequence[str] = (SERIES,),
+    more: Sequence[Column] = (),
 ) -> DataFrame:
-    """MAE, RMSE, R2 and MAPE. Days with a zero actual do not enter MAPE and are counted."""
+    """MAE, RMSE, R2 and MAPE, and `more` aggregates. Days with a zero actual do not enter MAPE and are counted."""
     y, e = F.col(actual), F.col(actual) - F.col(prediction)
     rows = scored.where(y.isNotNull() & F.col(prediction).isNotNull())
     sse, sst = F.sum(e * e), F.var_pop(actual) * F.count("*")
@@ -133,6 +135,7 @@ def regression_metrics(
         (1 - F.try_divide(sse, sst)).alias("r2"),
         (F.avg(F.abs(F.when(y != 0, e / y))) * 100).alias("mape"),
         F.count_if(y == 0).alias("zero_actuals"),
+        *more,
     )
 
 

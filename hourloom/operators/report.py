@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import ANOMALY_FLAGS, DATE, SERIES, TARGET
-from hourloom.functions.stats import attach_group_stats
+from hourloom.functions.stats import with_group_stats
 from hourloom.operators.anomaly import method_counts
 from hourloom.operators.model import regression_metrics
 
@@ -77,11 +77,11 @@ def actual_vs_predicted(
     scored: DataFrame, actual: str = TARGET, prediction: str = "prediction", keys: Sequence[str] = (SERIES,)
 ) -> DataFrame:
     """Metrics per series and the ends of the identity line."""
-    ends = scored.where(F.col(actual).isNotNull() & F.col(prediction).isNotNull()).groupBy(*keys).agg(
+    ends = [
         F.least(F.min(actual), F.min(prediction)).alias("line_from"),
         F.greatest(F.max(actual), F.max(prediction)).alias("line_to"),
-    )
-    return regression_metrics(scored, actual, prediction, keys).join(ends, list(keys))
+    ]
+    return regression_metrics(scored, actual, prediction, keys, ends)
 
 
 def histogram(df: DataFrame, value: str, bins: Column | int, keys: Sequence[str] = (SERIES,)) -> DataFrame:
@@ -89,9 +89,8 @@ def histogram(df: DataFrame, value: str, bins: Column | int, keys: Sequence[str]
     keys = list(keys)
     n_bins = bins if isinstance(bins, Column) else F.lit(bins)
     rows = df.where(F.col(value).isNotNull())
-    placed = attach_group_stats(
-        rows, keys, [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_n")]
-    ).withColumn("_bins", n_bins)
+    ends = {"_lo": F.min(value), "_hi": F.max(value), "_n": F.count("*")}
+    placed = with_group_stats(rows, keys, ends).withColumn("_bins", n_bins)
     width = (F.col("_hi") - F.col("_lo")) / F.col("_bins")
     place = F.floor(F.try_divide(F.col(value) - F.col("_lo"), width))
     bin_no = F.least(F.coalesce(place, F.lit(0)), F.col("_bins") - 1).cast("int")
@@ -123,9 +122,7 @@ def vote_distribution(flagged: DataFrame) -> DataFrame:
 def residuals(scored: DataFrame, actual: str = TARGET, prediction: str = "prediction") -> DataFrame:
     """Residual of every day with the series' mean residual and population deviation."""
     table = scored.select(SERIES, DATE, actual, prediction, (F.col(actual) - F.col(prediction)).alias("residual"))
-    return attach_group_stats(
-        table, [SERIES], [F.avg("residual").alias("mean_error"), F.stddev_pop("residual").alias("std_error")]
-    )
+    return with_group_stats(table, [SERIES], {"mean_error": F.avg("residual"), "std_error": F.stddev_pop("residual")})
 
 
 def residual_histogram(scored: DataFrame, bins: int = 50, actual: str = TARGET, prediction: str = "prediction") -> DataFrame:
