@@ -288,11 +288,12 @@ def recursive_forecast(states: DataFrame, forest: ForestArrays, features: Sequen
     Every prediction is floored at zero and joins the history once. Features the recursion cannot know
     (anomaly flags of a future day) are zero.
     """
-    shared = states.sparkSession.sparkContext.broadcast(forest)
+    # plain arrays: broadcast values are unpickled where this package may not be installed
+    shared = states.sparkSession.sparkContext.broadcast(tuple(vars(forest).values()))
     names = list(features)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = shared.value
+        trees = ForestArrays(*shared.value)
         for batch in batches:
             if batch.empty:
                 continue
