@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import near_dup
+from hourloom.llm import decontaminate, near_dup, quality, subword, toxicity
+from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,11 +19,57 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+def vocabulary(name: str = "piece_bpe_32k.model") -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_decontamination(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_sentencepiece(spark, sf_dir):
+    coded = subword.encode_texts(table(spark, sf_dir, "documents"), vocabulary())
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op7_near_duplicates(spark, sf_dir):
     found = near_dup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "linked")
+
+
+def judged(scores: DataFrame, threshold: float) -> DataFrame:
+    held_out = (fold("doc_id", 4) == 2).alias("held_out")
+    return scores.select("doc_id", held_out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
+
+
+@query
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, training_labels(spark, sf_dir))
+    return judged(toxicity.score_texts(docs, model), toxicity.THRESHOLD)
+
+
+@query
+def op10_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, training_labels(spark, sf_dir))
+    return judged(quality.score_texts(docs, model), quality.THRESHOLD)
