@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import decontaminate, near_dup, quality, subword, toxicity
+from hourloom.llm import chat, decontaminate, near_dup, quality, subword, topk, toxicity, url_filter
 from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,14 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+def oracle(sql: str):
+    def add(run):
+        ORACLES[run.__name__] = sql.strip()
+        return run
+
+    return add
+
+
 def vocabulary(name: str = "piece_bpe_32k.model") -> str:
     """Place of a public vocabulary file."""
     import public_tokenizers
@@ -73,3 +81,92 @@ def op10_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, training_labels(spark, sf_dir))
     return judged(quality.score_texts(docs, model), quality.THRESHOLD)
+
+
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@oracle(
+    r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role IS NULL AS no_role, text IS NULL AS no_text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]', false, false
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]', false, false
+), escaped AS (
+  SELECT *, length(regexp_replace(text, '(\\|<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[ROLE |\[/ROLE\]|<\|image |<\|audio |<\|document )', '#\1', 'g')) AS chars,
+    CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5
+      ELSE 17 + length(replace(regexp_replace(role, '(\\|<s>|</s>|\[INST\]|\[/INST\]|\[SYS\]|\[/SYS\]|\[ROLE |\[/ROLE\]|<\|image |<\|audio |<\|document )', '#\1', 'g'), ']', '#]')) END AS marks
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, no_role DESC, role, no_text DESC, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, no_role DESC, role, no_text DESC, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(chars + marks))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+)
+@query
+def op4_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(
+        F.lit(-1).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(PROBE).alias("text"),
+    )
+    return chat.read_back(chat.format_turns(turns.unionByName(probe)))
+
+
+@oracle(
+    r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut
+), named AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path
+  FROM parts
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+    CASE WHEN starts_with(host, 'm.') THEN 'm.* *'
+      WHEN starts_with(host, 'ads.') THEN 'ads.* *'
+      WHEN contains(host, 'casino') THEN '*casino* *'
+      WHEN contains(path, '/login') THEN '* */login*'
+      WHEN contains(path, '/ads/') THEN '* */ads/*'
+      WHEN ends_with(path, '.exe') THEN '* *.exe'
+      WHEN ends_with(path, '.zip') THEN '* *.zip' END AS pattern
+  FROM named
+)
+SELECT page_id, host, path, rule, pattern,
+  CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled
+"""
+)
+@query
+def op6_url_filter(spark, sf_dir):
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"))
+
+
+@oracle(
+    """
+WITH usable AS (
+  SELECT vec_id, [floor(1024 * CAST(x AS DOUBLE)) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+)
+@query
+def op9_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
