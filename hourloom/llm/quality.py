@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from hourloom.llm.arrow import map_texts, utf8
-from hourloom.llm.training import Sample, SampleBound, calibrate, labelled_sample, sigmoid
+from hourloom.llm.training import Sample, SampleBound, calibrate, fit_on_labels, sigmoid
 
 THRESHOLD = 0.7
 
@@ -92,7 +92,7 @@ def fit_model(sample: Sample, config: CompressionConfig = CompressionConfig()) -
 
 
 def train(docs: DataFrame, labels: DataFrame, config: CompressionConfig = CompressionConfig(), label: str = "quality") -> QualityModel:
-    return fit_model(labelled_sample(docs, labels, label, config.sample), config)
+    return fit_on_labels(docs, labels, label, config.sample, lambda sample: fit_model(sample, config))
 
 
 def score_texts(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import chat, decontaminate, near_dup, quality, subword, topk, toxicity, url_filter
+import corpus_pipeline
+from hourloom.llm import chat, decontaminate, lattice, near_dup, pii, quality, subword, topk, toxicity, url_filter
 from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +171,31 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query
 def op9_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+@query
+def op5_lm_score(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return lattice.score_texts(docs, lattice.Lattice.from_model(vocabulary()), fold("doc_id", 5) == 1)
+
+
+def spans_text(column: str):
+    return F.concat_ws(",", F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+
+def kind_count(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+@query
+def op1_personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal_data(docs, pii.train(docs))
+    return found.select(
+        "doc_id", *[kind_count(k) for k in pii.KINDS], F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans")
+    )
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,10 +1,14 @@
-"""Labelled samples of bounded size for the models that are fitted on the driver, and the calibration of their scores."""
+"""Labelled samples of bounded size, models fitted on them in one task, and the calibration of their scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,14 +45,32 @@ def fold(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: SampleBound, doc_id="doc_id", text="text", lang="lang") -> Sample:
-    """A sample by hash order of the ids; the texts of the chosen ids alone leave the documents' scan.
+def fit_in_one_task(rows: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
+    """`fit` over the rows of a bounded sample, run by one executor task; only the model comes to the driver.
 
-    Labels other than 0 and 1 and null ids are left out. An id repeated among the documents gives its least text.
+    The rows must carry their own order, as they arrive in any.
+    """
+
+    def run(batches):
+        held = [r for batch in batches for r in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(held))], pa.binary())], names=["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return cloudpickle.loads(found["model"]) if found else fit([])
+
+
+def fit_on_labels(
+    docs: DataFrame, labels: DataFrame, label: str, bound: SampleBound, fit: Callable[[Sample], Any], doc_id="doc_id", text="text", lang="lang"
+) -> Any:
+    """The model that `fit` makes of a labelled sample in hash order of the ids.
+
+    The texts of the chosen ids alone leave the documents' scan. Labels other than 0 and 1 and null ids are left out. An
+    id repeated among the documents gives its least text.
     """
     marked = labels.select(F.col(doc_id).cast("bigint").alias("id"), F.col(label).cast("int").alias("class"))
     marked = marked.where("id is not null and class in (0, 1)")
     totals = {r["class"]: r["count"] for r in marked.groupBy("class").count().collect()}
+    share = totals.get(1, 0) / max(1, sum(totals.values()))
     chosen = None
     for c in (0, 1):
         part = marked.where(F.col("class") == c).distinct().orderBy(F.xxhash64("id"), "id").limit(bound.per_class)
@@ -57,9 +79,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: Sampl
         F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"), (F.col(lang) if lang in docs.columns else F.lit(None).cast("string")).alias("l")
     ).where(F.octet_length("t") <= bound.max_bytes)
     rows = source.join(F.broadcast(chosen), "id").groupBy("id", "class").agg(F.min("t").alias("t"), F.min("l").alias("l"))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "class").collect()
-    total = sum(totals.values())
-    return Sample([r["t"] for r in rows], np.array([r["class"] for r in rows], dtype=np.int64), [r["l"] for r in rows], totals.get(1, 0) / total if total else 0.0)
+
+    def fit_rows(held: list[dict]) -> Any:
+        held.sort(key=lambda r: (r["order"], r["id"], r["class"]))
+        classes = np.array([r["class"] for r in held], dtype=np.int64)
+        return fit(Sample([r["t"] for r in held], classes, [r["l"] for r in held], share))
+
+    return fit_in_one_task(rows.withColumn("order", F.xxhash64("id")), fit_rows)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
