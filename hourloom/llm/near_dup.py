@@ -6,7 +6,8 @@ half of the hashes have it. Documents are linked at `radius` or fewer differing
 Shards instead of one tree: 64 bits fall into radius + 1 = 4 blocks, so two linked fingerprints agree on a whole block.
 Each fingerprint goes to the 4 shards of its block values, and each shard is a BK-tree of its own inside one task. A
 shard over `shard_limit` is dealt on by 4 blocks of the bits its members may still differ in, which again loses no pair;
-after five such rounds at most 16 bits are free, so no shard can exceed 65,536 different fingerprints at any input size.
+after five such rounds at most 17 bits are free, so no shard can exceed 131,072 different fingerprints at any input
+size.
 Trees travel with their shard's key in a shuffle rather than in a broadcast, as their size follows the input.
 A shard passes on a link only if it joins two groups, so links stay under 4 per fingerprint (more only for dealt shards).
 

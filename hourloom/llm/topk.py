@@ -10,7 +10,8 @@ Every task returns k rows per query, which are reduced in two steps, first withi
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component, and rows without an id, take no part;
 a query meets the vectors of its own length; equal scores go to the smaller id; repeated rows are candidates each, but a
-query repeated with the same vector is asked once, and its own id is never among its answers.
+query repeated with the same vector is asked once, and its own id is never among its answers; sums that doubles cannot
+hold are taken in whole numbers, and a score beyond 64 bits is ranked as it is and shown as the nearest long.
 """
 
 from __future__ import annotations
