@@ -1,9 +1,10 @@
 """Weekly seasonal ARIMA for fleets of daily series.
 
-A series travels as one row holding its values in date order (at most one per calendar date). The order
-grid multiplies rows, and each (series, order) fit is an independent small least-squares problem, so the
-search is spread over tasks by series and order. A fit minimises the squared one-step errors of
-(p,d,q)x(1,0,1,7), conditional on the first rows; undifferenced orders have a mean.
+A series travels as one row holding its value for every date from its first to its last, null where a date is
+missing, so that seven values are a week. The order grid multiplies rows; fits of one order that arrive in a
+batch run together as (time, series, candidate) arrays. A fit minimises the squared one-step errors of
+(p,d,q)x(1,0,1,7), conditional on the first rows; undifferenced orders have a mean. Missing dates take the
+value of the week before and have no error of their own.
 """
 
 from __future__ import annotations
@@ -15,10 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.config import DATE, MAX_HORIZON_DAYS, SERIES, TARGET, SeasonalConfig
+from hourloom.config import DATE, SERIES, TARGET, SeasonalConfig
 from hourloom.functions.vectors import ordered_values
+from hourloom.operators.features import on_every_date
 from hourloom.operators.model import regression_metrics, time_split
 
+# Series that are fitted as one set of arrays.
+TOGETHER = 64
+
 FIT_SCHEMA = (
     "aic double, sigma double, intercept double, ar array<double>, ma array<double>, "
     "tail array<double>, shocks array<double>, levels array<double>, reason string"
@@ -26,96 +31,130 @@ FIT_SCHEMA = (
 
 
 def series_rows(daily: DataFrame, target: str = TARGET) -> DataFrame:
-    """One row per series: its non-null values in date order and its last date."""
-    return (
-        daily.where(F.col(target).isNotNull())
-        .groupBy(SERIES)
-        .agg(ordered_values(F.col(DATE), F.col(target)).alias("y"), F.max(DATE).alias("last_date"))
-    )
-
-
-def _polynomials(params: np.ndarray, p: int, q: int, period: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients by lag of w and of the shocks, from (ar, seasonal ar, ma, seasonal ma)."""
-
-    def product(short: np.ndarray, seasonal: float) -> np.ndarray:
-        return np.convolve(np.concatenate([[1.0], short]), np.concatenate([[1.0], np.zeros(period - 1), [seasonal]]))[1:]
-
-    return -product(-params[:p], -params[p]), product(params[p + 1 : p + 1 + q], params[p + 1 + q])
-
-
-def _shocks(w: np.ndarray, candidates: np.ndarray, p: int, q: int, period: int) -> np.ndarray:
-    """One-step errors under each candidate (a column per candidate), the first ones conditioned on."""
-    pairs = [_polynomials(c, p, q, period) for c in candidates]
-    centred = w[:, None] - candidates[:, -1]
-    start = p + period
+    """One row per series: its values on every date between its first and last known one, and that last date."""
+    known = daily.where(F.col(target).isNotNull()).select(SERIES, DATE, target)
+    return on_every_date(known).groupBy(SERIES).agg(ordered_values(F.col(DATE), F.col(target)).alias("y"), F.max(DATE).alias("last_date"))
+
+
+def _filled(values: Sequence[float | None], period: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values without holes (one period earlier, else on the line between neighbours), and which of them are known."""
+    y = np.array([np.nan if v is None else v for v in values], dtype=float)
+    known = ~np.isnan(y)
+    line = np.interp(np.arange(len(y)), np.flatnonzero(known), y[known]) if known.any() else np.zeros(len(y))
+    for t in np.flatnonzero(~known):
+        y[t] = y[t - period] if t >= period else line[t]
+    return y, known
+
+
+def _coefficients(params: np.ndarray, p: int, q: int, period: int) -> tuple[list[int], np.ndarray, list[int], np.ndarray]:
+    """Lags and weights (..., lag) of w and of the shocks, from (ar, seasonal ar, ma, seasonal ma)."""
+    short, seasonal = params[..., :p], params[..., p : p + 1]
+    ma, seasonal_ma = params[..., p + 1 : p + 1 + q], params[..., p + 1 + q : p + 2 + q]
+    ar_lags = [*range(1, p + 1), *range(period, period + p + 1)]
+    ma_lags = [*range(1, q + 1), *range(period, period + q + 1)]
+    return ar_lags, np.concatenate([short, seasonal, -short * seasonal], -1), ma_lags, np.concatenate([ma, seasonal_ma, ma * seasonal_ma], -1)
+
+
+def _shocks(w: np.ndarray, scored: np.ndarray, candidates: np.ndarray, p: int, q: int, period: int) -> np.ndarray:
+    """One-step errors (time, series, candidate); zero where a step is not scored."""
+    ar_lags, ar, ma_lags, ma = _coefficients(candidates, p, q, period)
+    centred = w[:, :, None] - candidates[None, :, :, -1]
+    start, steps = p + period, len(w)
     errors = np.zeros_like(centred)
     errors[start:] = centred[start:]
-    for k in range(1, start + 1):
-        weight = np.array([ar[k - 1] for ar, _ in pairs])
-        if weight.any():
-            errors[start:] -= weight * centred[start - k : len(w) - k]
-    lags = np.array([*range(1, q + 1), *range(period, period + q + 1)])
-    weights = np.array([ma[lags - 1] for _, ma in pairs]).T
+    for i, k in enumerate(ar_lags):
+        errors[start:] -= ar[None, :, :, i] * centred[start - k : steps - k]
+    weights, lags, seen = np.moveaxis(ma, -1, 0), np.array(ma_lags), scored[:, :, None]
     with np.errstate(over="ignore", invalid="ignore"):
-        for t in range(start, len(w)):
-            errors[t] -= (weights * errors[t - lags]).sum(axis=0)
+        errors *= seen
+        for t in range(max(start, period + q), steps):
+            errors[t] -= (weights * errors[t - lags]).sum(axis=0) * seen[t]
     return errors
 
 
-def _explosive(params: np.ndarray, p: int, q: int, period: int) -> bool:
-    ar, _ = _polynomials(params, p, q, period)
-    return np.abs(np.roots(np.concatenate([[1.0], -ar]))).max(initial=0.0) > 1.0
-
-
-def _fit(y: np.ndarray, p: int, d: int, q: int, period: int, common: int, rounds: int = 15) -> dict:
-    """Damped least squares on the one-step errors; AIC on the rows that every order can score."""
-    levels, w = [], np.asarray(y, dtype=float)
-    for _ in range(d):
-        levels.append(float(w[-1]))
-        w = np.diff(w)
-    params = np.array([*[0.1] * p, 0.9, *[-0.1] * q, -0.7, 0.0 if d else w.mean() if len(w) else 0.0])
-    free = len(params) - (1 if d else 0)
-    if len(w) < common + 2 * period + 2 * free:
-        return {"reason": "too short"}
-    scale = np.ones(len(params))
-    scale[-1] = max(float(w.std()), 1e-6)
-    start = common - d
-
-    def cost(errors: np.ndarray) -> np.ndarray:
+def _explosive(params: np.ndarray, p: int) -> bool:
+    return bool(abs(params[p]) > 1.0 or np.abs(np.roots([1.0, *-params[:p]])).max(initial=0.0) > 1.0)
+
+
+def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int, rounds: int = 15) -> list[dict]:
+    """Damped least squares on the one-step errors of many series; AIC on the rows that every order can score."""
+    out: list[dict] = [{"reason": "too short"} for _ in series]
+    free = p + q + 2 + (0 if d else 1)
+    own, ready = [], []
+    for i, values in enumerate(series):
+        w, known = _filled(values, period)
+        levels = []
+        for _ in range(d):
+            levels.append(float(w[-1]) if len(w) else 0.0)
+            w, known = np.diff(w), known[1:] & known[:-1]
+        if len(w) >= common + 2 * period + 2 * free and known[common - d :].sum() > 2 * free:
+            own.append(i)
+            ready.append((w, known, levels))
+    if not own:
+        return out
+    steps = max(len(w) for w, _, _ in ready)
+    values, scored, counted = np.zeros((steps, len(own))), np.zeros((steps, len(own)), bool), np.zeros((steps, len(own)), bool)
+    for k, (w, known, _) in enumerate(ready):
+        low = steps - len(w)
+        values[low:, k] = w
+        scored[low + p + period :, k] = known[p + period :]
+        counted[low + common - d :, k] = known[common - d :]
+    counted &= scored
+    mean = np.array([w.mean() if d == 0 else 0.0 for w, _, _ in ready])
+    params = np.tile([*[0.1] * p, 0.9, *[-0.1] * q, -0.7, 0.0], (len(own), 1))
+    params[:, -1] = mean
+    scale = np.ones_like(params)
+    scale[:, -1] = [max(float(w.std()), 1e-6) for w, _, _ in ready]
+
+    def cost(errors: np.ndarray, at: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore", invalid="ignore"):
-            return np.nan_to_num((errors[start:] ** 2).sum(axis=0), nan=np.inf)
+            return np.nan_to_num((errors**2 * counted[:, at, None]).sum(axis=0), nan=np.inf)
 
-    errors = _shocks(w, params[None, :], p, q, period)[:, 0]
-    best = cost(errors[:, None])[0]
+    errors = _shocks(values, scored, params[:, None, :], p, q, period)[:, :, 0]
+    best, live = cost(errors[:, :, None], np.arange(len(own)))[:, 0], np.ones(len(own), bool)
     for _ in range(rounds):
-        nudges = np.diag(scale * 1e-5)[:free]
-        nudged = _shocks(w, params + nudges, p, q, period)
-        slopes = (nudged - errors[:, None])[start:] / (scale[:free] * 1e-5)
-        normal, pull = slopes.T @ slopes, slopes.T @ errors[start:]
-        trials = []
-        for damping in (1e-6, 1e-2, 1.0, 100.0):
-            move = np.zeros(len(params))
-            move[:free] = -np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-9), pull)
-            trials.append(params + move)
-        tried = _shocks(w, np.array(trials), p, q, period)
-        costs = [np.inf if _explosive(t, p, q, period) else c for t, c in zip(trials, cost(tried))]
-        winner = int(np.argmin(costs))
-        if not costs[winner] < best * (1 - 1e-5):
+        at = np.flatnonzero(live)
+        if not len(at):
             break
-        params, errors, best = trials[winner], tried[:, winner], costs[winner]
-    ar, ma = _polynomials(params, p, q, period)
-    variance = max(float(np.mean(errors[start:] ** 2)), 1e-12)
-    return {
-        "aic": (len(errors) - start) * np.log(variance) + 2 * (free + 1),
-        "sigma": float(np.sqrt(variance)),
-        "intercept": float(params[-1] * (1 - ar.sum())),
-        "ar": ar.tolist(),
-        "ma": ma.tolist(),
-        "tail": w[-len(ar) :].tolist(),
-        "shocks": errors[-len(ma) :].tolist(),
-        "levels": levels,
-        "reason": None,
-    }
+        nudges = np.eye(params.shape[1])[:free] * scale[at][:, None, :] * 1e-5
+        nudged = _shocks(values[:, at], scored[:, at], params[at][:, None, :] + nudges, p, q, period)
+        slopes = (nudged - errors[:, at, None]) * counted[:, at, None] / (scale[at][:, :free] * 1e-5)
+        slopes = np.nan_to_num(slopes, nan=0.0, posinf=0.0, neginf=0.0)
+        normal = np.einsum("tsf,tsg->sfg", slopes, slopes)
+        pull = np.einsum("tsf,ts->sf", slopes, errors[:, at] * counted[:, at])
+        trials = np.repeat(params[at][:, None, :], 4, axis=1)
+        ridge = np.einsum("sff->sf", normal) + 1e-9
+        for k, damping in enumerate((1e-6, 1e-2, 1.0, 100.0)):
+            trials[:, k, :free] -= np.linalg.solve(normal + damping * ridge[:, :, None] * np.eye(free), pull[:, :, None])[:, :, 0]
+        tried = _shocks(values[:, at], scored[:, at], trials, p, q, period)
+        barred = np.array([[_explosive(t, p) for t in row] for row in trials])
+        costs = np.where(barred, np.inf, cost(tried, at))
+        winner = costs.argmin(axis=1)
+        better = costs[np.arange(len(at)), winner] < best[at] * (1 - 1e-5)
+        moved = at[better]
+        params[moved] = trials[better, winner[better]]
+        errors[:, moved] = tried[:, better, winner[better]]
+        best[moved] = costs[better, winner[better]]
+        live[at[~better]] = False
+    ar_lags, ar, ma_lags, ma = _coefficients(params, p, q, period)
+    for k, (w, _, levels) in enumerate(ready):
+        by_lag = np.zeros(p + period), np.zeros(q + period)
+        np.add.at(by_lag[0], np.array(ar_lags) - 1, ar[k])
+        np.add.at(by_lag[1], np.array(ma_lags) - 1, ma[k])
+        n = int(counted[:, k].sum())
+        variance = max(float(best[k]) / n, 1e-12)
+        out[own[k]] = {
+            "aic": n * np.log(variance) + 2 * (free + 1),
+            "sigma": float(np.sqrt(variance)),
+            "intercept": float(params[k, -1] * (1 - by_lag[0].sum())),
+            "ar": by_lag[0].tolist(),
+            "ma": by_lag[1].tolist(),
+            "tail": w[-len(by_lag[0]) :].tolist(),
+            "shocks": errors[-len(by_lag[1]) :, k].tolist(),
+            "levels": levels,
+            "reason": None,
+        }
+    return out
 
 
 def _continue(fit: dict, steps: int) -> list[float]:
@@ -143,18 +182,26 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(y: pd.Series, p: pd.Series, d: pd.Series, q: pd.Series) -> pd.DataFrame:
-        fits = []
-        for values, *order in zip(y, p, d, q):
-            try:
-                fits.append(_fit(values, *(int(v) for v in order), period, reach + widest))
-            except np.linalg.LinAlgError as error:
-                fits.append({"reason": str(error)})
+        fits: list = [None] * len(y)
+        by_order: dict[tuple, list[int]] = {}
+        for i, order in enumerate(zip(p, d, q)):
+            by_order.setdefault(tuple(map(int, order)), []).append(i)
+        for order, places in by_order.items():
+            for low in range(0, len(places), TOGETHER):
+                own = places[low : low + TOGETHER]
+                try:
+                    found = _fit_together([y.iloc[i] for i in own], *order, period, reach + widest)
+                except np.linalg.LinAlgError as error:
+                    found = [{"reason": str(error)}] * len(own)
+                for i, one in zip(own, found):
+                    fits[i] = one
         names = ["aic", "sigma", "intercept", "ar", "ma", "tail", "shocks", "levels", "reason"]
         return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in names})
 
-    # a fixed partition count: the rows are few but each is a long computation
+    # spread by order and, within an order, by series: the rows are few but each is a long computation
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spread = jobs.repartition(4 * tasks, SERIES, "p", "d", "q")
+    groups = max(1, 4 * tasks // len(orders))
+    spread = jobs.repartition(4 * tasks, "p", "d", "q", F.pmod(F.xxhash64(SERIES), F.lit(groups)))
     fitted = spread.withColumn("_fit", fit.asNondeterministic()("y", "p", "d", "q"))
     return fitted.select(SERIES, "last_date", "p", "d", "q", "_fit.*")
 
@@ -176,9 +223,9 @@ def fit_seasonal(
 
 
 def seasonal_forecast(models: DataFrame, days: int | None = None) -> DataFrame:
-    """Forecasts for `days` days, or for the `horizon` column of each model row (1..365)."""
+    """Forecasts for `days` days, or for the `horizon` column of each model row; a horizon under 1 has no days."""
     steps = models if days is None else models.withColumn("horizon", F.lit(days))
-    steps = steps.where(F.col("horizon").between(1, MAX_HORIZON_DAYS))
+    steps = steps.where(F.col("horizon") >= 1)
 
     @F.pandas_udf("array<double>")
     def path(
@@ -195,36 +242,38 @@ def seasonal_forecast(models: DataFrame, days: int | None = None) -> DataFrame:
         return pd.Series([_continue(dict(zip(names, fit)), int(h)) for h, fit in rows])
 
     values = path("horizon", "intercept", "ar", "ma", "tail", "shocks", "levels")
-    kept = [c for c in ("start_date", "end_date") if c in models.columns]
     return (
         steps.withColumn("_path", values)
-        .select(SERIES, "last_date", *kept, F.posexplode("_path").alias("_i", "prediction"))
+        .select(SERIES, "last_date", F.posexplode("_path").alias("_i", "prediction"))
         .select(
             SERIES,
             F.date_add("last_date", F.col("_i") + 1).alias(DATE),
             (F.col("_i") + 1).alias("days_ahead"),
             "prediction",
             F.lit("seasonal_arima").alias("method"),
-            *kept,
         )
     )
 
 
 def seasonal_range(models: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Forecasts inside (series_id, start_date, end_date); an end in the past means the next 30 days."""
-    joined = models.join(ranges, SERIES)
+    """Forecasts inside (series_id, start_date, end_date); an end in the past means the next 30 days.
+
+    A series is simulated once, to its furthest end; ranges meet it on series and date.
+    """
+    dated = ranges.join(models.select(SERIES, "last_date"), SERIES)
     past = F.col("end_date") <= F.col("last_date")
-    joined = joined.withColumn("end_date", F.when(past, F.date_add("last_date", 30)).otherwise(F.col("end_date")))
-    joined = joined.withColumn("horizon", F.datediff("end_date", "last_date"))
-    days = seasonal_forecast(joined)
-    return days.where((F.col(DATE) >= F.col("start_date")) & (F.col(DATE) <= F.col("end_date")))
+    dated = dated.withColumn("end_date", F.when(past, F.date_add("last_date", 30)).otherwise(F.col("end_date")))
+    until = dated.groupBy(SERIES).agg(F.max(F.datediff("end_date", "last_date")).alias("horizon"))
+    days = seasonal_forecast(models.join(until, SERIES))
+    first = F.greatest(F.col("start_date"), F.date_add("last_date", 1))
+    wanted = dated.where(first <= F.col("end_date")).withColumn(DATE, F.explode(F.sequence(first, F.col("end_date"))))
+    return wanted.drop("last_date").join(days, [SERIES, DATE])
 
 
 def seasonal_holdout(models: DataFrame, test: DataFrame, target: str = TARGET) -> DataFrame:
-    """Forecast and actual of the test days, joined on date."""
+    """Forecast and actual of every test day, joined on date."""
     ends = test.groupBy(SERIES).agg(F.max(DATE).alias("_end"))
-    horizon = F.datediff("_end", "last_date")
-    steps = models.join(ends, SERIES).withColumn("horizon", F.least(horizon, F.lit(MAX_HORIZON_DAYS)))
+    steps = models.join(ends, SERIES).withColumn("horizon", F.datediff("_end", "last_date"))
     forecast = seasonal_forecast(steps.drop("_end")).select(SERIES, DATE, "prediction")
     return test.select(SERIES, DATE, target).join(forecast, [SERIES, DATE])
 

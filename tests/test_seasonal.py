@@ -73,3 +73,39 @@ def test_holdout_joins_on_date(spark):
     models = seasonal.fit_seasonal(split.where("split = 'train'"), auto=False)
     held = seasonal.seasonal_holdout(models, split.where("split = 'test' and day(date) % 3 = 0"))
     assert held.count() == split.where("split = 'test' and day(date) % 3 = 0").count()
+
+
+def test_horizons_have_no_cap(spark):
+    models = seasonal.fit_seasonal(daily_frame(spark, {"a": list(weekly_series(6))}), auto=False)
+    assert seasonal.seasonal_forecast(models, 500).count() == 500
+    last = DAY0 + dt.timedelta(days=699)
+    ranges = [("a", last + dt.timedelta(days=1), last + dt.timedelta(days=366)), ("a", last + dt.timedelta(days=3), last + dt.timedelta(days=4))]
+    rows = seasonal.seasonal_range(models, spark.createDataFrame(ranges, "series_id string, start_date date, end_date date"))
+    assert rows.count() == 368
+    daily = daily_frame(spark, {"a": list(weekly_series(7, 2400))})
+    split = model.time_split(daily)
+    held = seasonal.seasonal_holdout(seasonal.fit_seasonal(split.where("split = 'train'"), auto=False), split.where("split = 'test'"))
+    assert held.count() == 480
+
+
+def test_missing_dates_keep_the_week(spark):
+    y = list(weekly_series(8, 420))
+    full = daily_frame(spark, {"a": y})
+    gappy = full.where("pmod(datediff(date, date'2020-01-06'), 9) <> 4")
+    errors = []
+    for daily in (full, gappy):
+        split = model.time_split(daily)
+        held = seasonal.seasonal_holdout(seasonal.fit_seasonal(split.where("split = 'train'"), auto=False), split.where("split = 'test'"))
+        errors.append(held.selectExpr("avg(abs(prediction - total_daily_consumption)) AS e").first()["e"])
+    assert errors[1] < 2 * errors[0]
+
+
+def test_series_fitted_together_equal_series_fitted_alone():
+    series = [list(weekly_series(s, n)) for s, n in ((1, 300), (2, 500), (3, 420))]
+    series[1][100:104] = [None] * 4
+    for order in ((1, 1, 1), (2, 0, 1), (0, 0, 2)):
+        together = seasonal._fit_together(series, *order, 7, 10)
+        for values, fit in zip(series, together):
+            alone = seasonal._fit_together([values], *order, 7, 10)[0]
+            assert fit["aic"] == pytest.approx(alone["aic"], abs=0.2)
+            np.testing.assert_allclose(fit["ar"], alone["ar"], atol=0.02)
