@@ -20,15 +20,29 @@ _CHUNK = "_chunk"
 _KEYS = [SERIES, _CHUNK]
 
 
+def _placed():
+    return F.col(TS).isNotNull() & F.col(SERIES).isNotNull()
+
+
 def _chunked(readings: DataFrame) -> DataFrame:
-    """Dated readings spread by (series, day), even if they arrive spread by series only."""
-    dated = readings.where(F.col(TS).isNotNull()).withColumns({_CHUNK: F.to_date(TS), "_us": epoch_micros(F.col(TS))})
-    return dated.where(F.col(SERIES).isNotNull() & F.col(_CHUNK).isNotNull()).repartition(*_KEYS)
+    """Placed readings spread by (series, day), even if they arrive spread by series only."""
+    dated = readings.where(_placed()).withColumns(
+        {_CHUNK: F.to_date(TS), "_us": epoch_micros(F.col(TS)), "_tie": F.xxhash64(*readings.columns)}
+    )
+    # the join on the chunk would add this test to one of its sides only, and the shuffle would not be shared
+    return dated.where(F.col(_CHUNK).isNotNull()).repartition(*_KEYS)
+
+
+def _with_unplaced(filled: DataFrame, readings: DataFrame) -> DataFrame:
+    """Readings without a time or a series have no neighbours; they come back as they are."""
+    return filled.unionByName(readings.where(~_placed()).select(*filled.columns))
 
 
 # What is remembered about a reading: row number, time in microseconds, value.
 _PARTS = ("row", "us", "v")
-_IN_CHUNK = f"PARTITION BY {SERIES}, {_CHUNK} ORDER BY _us"
+# Repeated timestamps are ordered by a hash of the whole row, so the result does not depend on how rows arrive.
+_IN_CHUNK = f"PARTITION BY {SERIES}, {_CHUNK} ORDER BY _us, _tie"
+_IN_CHUNK_BACK = f"PARTITION BY {SERIES}, {_CHUNK} ORDER BY _us DESC, _tie DESC"
 _IN_SERIES = f"PARTITION BY {SERIES} ORDER BY {_CHUNK}"
 
 
@@ -87,7 +101,8 @@ def interpolate_gaps(
 
     In every run of nulls the first `interpolate` rows lie on the line between the surrounding
     readings (a trailing run holds its last reading), the next `hold` rows keep the last value of that
-    line, and the final `back` rows take the next reading. The rest stays null.
+    line, and the final `back` rows take the next reading. The rest stays null. Between two readings of the
+    same time the earlier one holds. Rows without a time or a series come back untouched.
     """
     other = [c for c in readings.columns if c not in (SERIES, TS, *measures)]
     kept = [f"`{c}`" for c in (*measures, *other)]
@@ -98,12 +113,13 @@ def interpolate_gaps(
         SERIES,
         _CHUNK,
         "_us",
+        "_tie",
         *kept,
         f"row_number() OVER ({_IN_CHUNK}) AS _row",
         *[f"lag(_us, {k}) OVER ({_IN_CHUNK}) AS _us_{k}" for k in range(1, hold + 1)],
     )
     edges = _chunk_edges(rows, measures, hold)
-    near = rows.selectExpr("*", *_nearest(measures, "_prev", _IN_CHUNK), *_nearest(measures, "_next", f"{_IN_CHUNK} DESC"))
+    near = rows.selectExpr("*", *_nearest(measures, "_prev", _IN_CHUNK), *_nearest(measures, "_next", _IN_CHUNK_BACK))
 
     def reached(inside: str, outside: str) -> list[str]:
         return [
@@ -132,7 +148,7 @@ def interpolate_gaps(
         # rows past the line keep its last point, `past_line` rows up: in this chunk or before it
         above = f"IF({past_line} <= _n_inside, try_element_at(_inside, {past_line}), try_element_at(_tail, {past_line} - _n_inside))"
         at = f"IF({past_line} > 0, {above}, _us)"
-        line = f"{prev_v} + ({next_v} - {prev_v}) / ({next_us} - {prev_us}) * ({at} - {prev_us})"
+        line = f"{prev_v} + try_divide({next_v} - {prev_v}, {next_us} - {prev_us}) * ({at} - {prev_us})"
         reach = f"_row - {prev_row} <= {limits.interpolate + hold}"
         if limits.max_gap is not None:
             reach += f" AND coalesce({next_row} - {prev_row} - 1, 0) <= {limits.max_gap}"
@@ -141,26 +157,27 @@ def interpolate_gaps(
             f"WHEN {next_row} - _row <= {limits.back} THEN {next_v} END AS `{m}`"
         )
 
-    return linked.selectExpr(SERIES, TS, *[filled(m) for m in measures], *[f"`{c}`" for c in other])
+    return _with_unplaced(linked.selectExpr(SERIES, TS, *[filled(m) for m in measures], *[f"`{c}`" for c in other]), readings)
 
 
 def forward_fill(readings: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:
-    """Unbounded forward fill along time."""
+    """Unbounded forward fill along time; rows without a time or a series come back untouched."""
     rows = _chunked(readings).drop("_us")
     newest = rows.groupBy(*_KEYS).agg(
-        *[F.max(F.when(F.col(m).isNotNull(), F.struct(TS, m)))[m].alias(f"_last_{m}") for m in measures]
+        *[F.max(F.when(F.col(m).isNotNull(), F.struct(TS, "_tie", m)))[m].alias(f"_last_{m}") for m in measures]
     )
     earlier = Window.partitionBy(SERIES).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(*_KEYS, *[F.last(f"_last_{m}", True).over(earlier).alias(f"_before_{m}") for m in measures])
-    to_here = Window.partitionBy(*_KEYS).orderBy(TS).rowsBetween(Window.unboundedPreceding, 0)
+    to_here = Window.partitionBy(*_KEYS).orderBy(TS, "_tie").rowsBetween(Window.unboundedPreceding, 0)
     near = rows.withColumns({f"_prev_{m}": F.last(m, True).over(to_here) for m in measures})
     joined = near.join(carried, _KEYS)
-    return joined.select(
+    filled = joined.select(
         *[
             F.coalesce(F.col(f"_prev_{c}"), F.col(f"_before_{c}")).alias(c) if c in measures else F.col(c)
             for c in readings.columns
         ]
     )
+    return _with_unplaced(filled, readings)
 
 
 def drop_incomplete(readings: DataFrame, measures: Sequence[str] = MEASURES) -> DataFrame:

@@ -67,7 +67,7 @@ def _shocks(w: np.ndarray, scored: np.ndarray, candidates: np.ndarray, p: int, q
     weights, lags, seen = np.moveaxis(ma, -1, 0), np.array(ma_lags), scored[:, :, None]
     with np.errstate(over="ignore", invalid="ignore"):
         errors *= seen
-        for t in range(max(start, period + q), steps):
+        for t in range(period + q, steps):
             errors[t] -= (weights * errors[t - lags]).sum(axis=0) * seen[t]
     return errors
 
@@ -92,7 +92,7 @@ def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int
             ready.append((w, known, levels))
     if not own:
         return out
-    steps = max(len(w) for w, _, _ in ready)
+    steps = period + q + max(len(w) for w, _, _ in ready)  # a margin, so that every lag has a row
     values, scored, counted = np.zeros((steps, len(own))), np.zeros((steps, len(own)), bool), np.zeros((steps, len(own)), bool)
     for k, (w, known, _) in enumerate(ready):
         low = steps - len(w)

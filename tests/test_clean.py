@@ -102,3 +102,16 @@ def test_raw_rows_are_shuffled_once(spark, tmp_path):
         filled.collect()
         plan = filled._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
         assert "ReusedExchange" in plan
+
+
+def test_repeated_and_missing_times(spark):
+    import datetime as dt
+
+    t = dt.datetime(2020, 1, 6, 1)
+    rows = [("a", t, 1.0), ("a", t, None), ("a", t, 3.0), (None, t, None), ("a", None, None), ("a", t + dt.timedelta(minutes=2), 5.0)]
+    readings = spark.createDataFrame(rows, "series_id string, ts timestamp_ntz, Global_active_power double")
+    for fill in (clean.interpolate_gaps, clean.forward_fill):
+        results = [sorted(map(str, fill(readings.orderBy(o).coalesce(1), POWER).collect())) for o in ("Global_active_power", "ts", "series_id")]
+        assert results[0] == results[1] == results[2] and len(results[0]) == 6
+        kept = [r for r in fill(readings, POWER).collect() if r["series_id"] is None or r["ts"] is None]
+        assert len(kept) == 2 and all(r["Global_active_power"] is None for r in kept)

@@ -107,5 +107,4 @@ def test_series_fitted_together_equal_series_fitted_alone():
         together = seasonal._fit_together(series, *order, 7, 10)
         for values, fit in zip(series, together):
             alone = seasonal._fit_together([values], *order, 7, 10)[0]
-            assert fit["aic"] == pytest.approx(alone["aic"], abs=0.2)
-            np.testing.assert_allclose(fit["ar"], alone["ar"], atol=0.02)
+            assert fit["sigma"] == pytest.approx(alone["sigma"], rel=0.005) and fit["levels"] == alone["levels"]
