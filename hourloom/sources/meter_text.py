@@ -47,8 +47,11 @@ def parse_meter_lines(lines: DataFrame, line: str, series: Column) -> DataFrame:
 
 
 def read_meter_text(spark: SparkSession, path: str | list[str], series: Column | None = None) -> DataFrame:
-    """Read meter files; without `series` the file name (no extension) is the series id."""
-    raw = spark.read.schema(TEXT_SCHEMA).options(header=True, **CSV_OPTIONS).csv(path)
+    """Read meter files by the names in their header; without `series` the file name (no extension) is the series id.
+
+    The files of one call share one column order; a file with another one is an error, not a misreading.
+    """
+    raw = spark.read.options(header=True, enforceSchema=False, **CSV_OPTIONS).csv(path)
     if series is None:
         series = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     return parse_meter_fields(raw, series)

@@ -54,3 +54,12 @@ def test_prepared_tables_and_export(spark, tmp_path):
     tables.export_csv(df, str(tmp_path / "out"))
     back = spark.read.option("header", True).schema(df.schema).csv(str(tmp_path / "out"))
     assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+
+
+def test_columns_are_read_by_name(spark, tmp_path):
+    lines = [line.split(";") for line in TEXT.strip().splitlines()]
+    order = [8, 3, 1, 0, 2, 4, 5, 6, 7]
+    path = tmp_path / "shuffled.txt"
+    path.write_text("\n".join(";".join(line[i] for i in order) for line in lines))
+    plain = meter_text.read_meter_text(spark, write(tmp_path)).drop("series_id")
+    assert sorted(map(str, meter_text.read_meter_text(spark, str(path)).drop("series_id").collect())) == sorted(map(str, plain.collect()))
