@@ -280,7 +280,7 @@ def assign_new_profiles(spark, sf_dir):
         """ranked AS (SELECT *, row_number() OVER (PARTITION BY series_id, date ORDER BY d, similar_date) AS rank
         FROM preferred WHERE same_weekday OR NOT any_same)""",
         select="""SELECT series_id, CAST(date AS VARCHAR) AS date, CAST(similar_date AS VARCHAR) AS similar_date, same_weekday,
-        round(d, 6) AS similarity_distance, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 10""",
+        round(d, 6) AS similarity_distance, CAST(rank AS INTEGER) AS rank, 'ok' AS status FROM ranked WHERE rank <= 10""",
     ),
 )
 def similar_days(spark, sf_dir):

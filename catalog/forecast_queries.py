@@ -67,7 +67,7 @@ def answer_requests(spark, sf_dir):
         day_requests(spark, sf_dir), fit.table, at.states, fit.model, at.forest, fit.inputs, fit.importances()
     )
     return answers.select(
-        "request_id", SERIES, DATE, "day_of_week", "prediction", "actual", "error", "ci_lower", "ci_upper", "days_ahead",
+        "request_id", "status", SERIES, DATE, "day_of_week", "prediction", "actual", "error", "ci_lower", "ci_upper", "days_ahead",
         "method", F.get("top_features", 0)["feature"].alias("top_feature"),
     )
 
@@ -178,12 +178,27 @@ def seasonal_forecast(spark, sf_dir):
 
 @query("seasonal_backtest", "R11")
 def seasonal_backtest(spark, sf_dir):
-    return seasonal.backtest(inputs.order_days(spark, sf_dir), auto=False)
+    return seasonal.backtest(inputs.order_days(spark, sf_dir))
 
 
 @query(
-    "holdout_metrics",
+    "seasonal_backtest_coverage",
     "R10",
+    sql_with(
+        ctes.ORDER_DAYS,
+        select="SELECT series_id, CAST(count(*) - floor(count(*) * 0.8) AS BIGINT) AS scored_days FROM order_days GROUP BY 1",
+    ),
+)
+def seasonal_backtest_coverage(spark, sf_dir):
+    split = model.time_split(inputs.order_days(spark, sf_dir).select(SERIES, DATE, TARGET))
+    models = seasonal.fit_seasonal(split.where(F.col("split") == "train"), auto=False)
+    held = seasonal.seasonal_holdout(models, split.where(F.col("split") == "test"))
+    return held.where(F.col("prediction").isNotNull()).groupBy(SERIES).agg(F.count("*").alias("scored_days"))
+
+
+@query(
+    "holdout_metrics",
+    "M7",
     sql_with(
         ctes.LAG_WEEK,
         "placed AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) AS i, count(*) OVER (PARTITION BY series_id) AS n FROM scored)",
@@ -293,12 +308,11 @@ def next_days(spark, sf_dir):
     sql_with(
         STAND_IN,
         select="""SELECT series_id, round(avg(prediction), 6) AS average, round(min(prediction), 6) AS minimum,
-        round(max(prediction), 6) AS maximum, round(sum(prediction), 4) AS total FROM ahead WHERE days_ahead <= 365 GROUP BY 1""",
+        round(max(prediction), 6) AS maximum, round(sum(prediction), 4) AS total FROM ahead GROUP BY 1""",
     ),
 )
 def range_summary(spark, sf_dir):
-    year = scored_ahead(spark, sf_dir).where(F.col("days_ahead") <= 365)
-    return forecast.range_summary(year).withColumn("total", F.round("total", 4))
+    return forecast.range_summary(scored_ahead(spark, sf_dir)).withColumn("total", F.round("total", 4))
 
 
 # ---------------------------------------------------------------- the whole run

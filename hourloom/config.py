@@ -93,6 +93,7 @@ class KMeansConfig:
     max_iter: int = 500
     seed: int = 42
     parallelism: int = 4
+    partitions: int | None = None
 
 
 @dataclass(frozen=True)
@@ -103,6 +104,7 @@ class ForestConfig:
     max_bins: int = 64
     memory_mb: int = 256
     seed: int = 42
+    partitions: int | None = None
 
 
 # The studied settings; needs a driver and executors with room for 200 deep trees.

@@ -20,7 +20,7 @@ from pyspark.storagelevel import StorageLevel
 from hourloom.config import DATE, SERIES, KMeansConfig
 from hourloom.functions.stats import most_frequent
 from hourloom.functions.vectors import ordered_values
-from hourloom.session import compacted
+from hourloom.session import gathered
 
 
 @dataclass(frozen=True)
@@ -66,12 +66,13 @@ def _best_kmeans(scaled: DataFrame, k: int, config: KMeansConfig):
 
 
 def fit_profile_clusters(profiles: DataFrame, k: int, config: KMeansConfig = KMeansConfig()) -> ProfileClusters:
-    vectors = _vectors(profiles).select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(profiles).select("_vector")
+    scaler = _scaler().fit(vectors)
+    scaled = gathered(scaler.transform(vectors).select("_scaled"), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaler = _scaler().fit(vectors)
-        cost, _, kmeans = _best_kmeans(compacted(scaler.transform(vectors)), k, config)
+        cost, _, kmeans = _best_kmeans(scaled, k, config)
     finally:
-        vectors.unpersist()
+        scaled.unpersist()
     std, mean = np.array(scaler.std.toArray()), np.array(scaler.mean.toArray())
     centers = np.array(kmeans.clusterCenters()) * std + mean
     order = np.argsort(centers.mean(axis=1), kind="stable")
@@ -99,10 +100,10 @@ def choose_k(
 
     `compat` reads the elbow one place too far to the right, as the studied code does.
     """
-    vectors = _vectors(profiles).select("_vector").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(profiles).select("_vector")
+    scaled = gathered(_scaler().fit(vectors).transform(vectors).select("_scaled"), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        scaled = compacted(_scaler().fit(vectors).transform(vectors))
-        candidates = list(range(2, min(max_k + 1, vectors.count() // 10)))
+        candidates = list(range(2, min(max_k + 1, scaled.count() // 10)))
         if not candidates:
             raise ValueError("choosing k needs at least 30 profiles")
         costs, scores = [], []
@@ -113,7 +114,7 @@ def choose_k(
             distinct = labelled.select("_raw_cluster").distinct().count()
             scores.append(float(silhouette(labelled)) if distinct > 1 else 0.0)
     finally:
-        vectors.unpersist()
+        scaled.unpersist()
     best_silhouette = candidates[int(np.argmax(scores))]
     chosen = (_elbow(candidates, costs, compat) + best_silhouette) // 2
     table = profiles.sparkSession.createDataFrame(
@@ -164,6 +165,7 @@ def similar_days(clustered: DataFrame, targets: DataFrame, n: int = 10, blocks:
 
     Candidates of a (series, cluster) are split into `blocks` by a hash of their date. Each task compares
     the targets with one block and keeps the block's best `n` of either kind, so pairs never leave a task.
+    A target without a profile has one row with status no_profile.
     """
     days = clustered.select(SERIES, DATE, "cluster", "day_of_week", "profile")
     block = F.pmod(F.xxhash64(DATE), F.lit(blocks)).cast("int")
@@ -200,4 +202,6 @@ def similar_days(clustered: DataFrame, targets: DataFrame, n: int = 10, blocks:
         F.col("same_weekday") | ~F.col("_any_same")
     )
     ranked = preferred.withColumn("rank", F.row_number().over(target.orderBy("similarity_distance", "similar_date")))
-    return ranked.where(F.col("rank") <= n).drop("_any_same")
+    found = ranked.where(F.col("rank") <= n).drop("_any_same").withColumn("status", F.lit("ok"))
+    lost = targets.select(SERIES, DATE).distinct().join(days, [SERIES, DATE], "left_anti").withColumn("status", F.lit("no_profile"))
+    return found.unionByName(lost, allowMissingColumns=True)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import (
+    ANOMALY_FLAGS,
     DATE,
     INTERVAL_Z,
     MAX_HORIZON_DAYS,
@@ -34,6 +35,8 @@ from hourloom.operators.model import contributions, predict
 from hourloom.session import work_path
 
 HISTORY = 30
+# The longest lag: a series with fewer known days has no complete inputs.
+SHORTEST_HISTORY = max(LAGS)
 
 
 # ---------------------------------------------------------------- history statistics
@@ -273,6 +276,17 @@ def _step_features(
     return features
 
 
+def _known_inputs(columns: Sequence[str]) -> set[str]:
+    """Inputs that the recursion can produce from state rows with these columns."""
+    state = pd.DataFrame({c: [np.nan] for c in columns if c not in ("cluster_rule", "cluster_avg")})
+    state["first_date"] = pd.Timestamp("2000-01-01")
+    lookups = {"weekday": np.zeros((1, 7))}
+    if "cluster_rule" in columns:
+        lookups |= {"rule": np.zeros((1, 8)), "cluster_avg": np.zeros((1, 1))}
+    day = pd.DatetimeIndex([pd.Timestamp("2000-02-01")])
+    return set(_step_features(state, lookups, np.zeros((1, HISTORY)), day, np.zeros(1)))
+
+
 def _lookups(states: pd.DataFrame) -> dict[str, np.ndarray]:
     tables = {"weekday": states[[f"dow_{d}" for d in range(7)]].to_numpy(dtype=float)}
     if "cluster_rule" in states:
@@ -285,9 +299,13 @@ def _lookups(states: pd.DataFrame) -> dict[str, np.ndarray]:
 def recursive_forecast(states: DataFrame, forest: ForestArrays, features: Sequence[str]) -> DataFrame:
     """Daily forecasts from the day after `last_date`, for `horizon` days of each state row.
 
-    Every prediction is floored at zero and joins the history once. Features the recursion cannot know
-    (anomaly flags of a future day) are zero.
+    Every prediction is floored at zero and joins the history once. The anomaly flags of a future day are zero; any
+    other input that the recursion cannot produce is an error. Series with fewer than `SHORTEST_HISTORY` known days
+    and horizons outside 1 to 365 have no rows; `forecast_status` names them.
     """
+    unknown = set(features) - _known_inputs(states.columns) - {*ANOMALY_FLAGS, "anomaly_count", "is_anomaly"}
+    if unknown:
+        raise ValueError(f"a forecast cannot produce the inputs {sorted(unknown)}; build the states from the labelled table")
     # plain arrays: broadcast values are unpickled where this package may not be installed
     shared = states.sparkSession.sparkContext.broadcast(tuple(vars(forest).values()))
     names = list(features)
@@ -309,6 +327,11 @@ def recursive_forecast(states: DataFrame, forest: ForestArrays, features: Sequen
                 batch["last_cluster"].fillna(0).to_numpy(dtype=float) if "last_cluster" in batch else np.zeros(len(batch))
             )
             for step in range(1, int(horizon.max()) + 1):
+                live = horizon >= step
+                if not live.all():
+                    batch, last, horizon = batch[live].reset_index(drop=True), last[live], horizon[live]
+                    history, yesterday = history[live], yesterday[live]
+                    lookups = {name: rows[live] for name, rows in lookups.items()}
                 dates = last + pd.Timedelta(days=step)
                 known = _step_features(batch, lookups, history, dates, yesterday)
                 columns = [np.asarray(known.get(n, np.zeros(len(batch))), dtype=float) for n in names]
@@ -316,20 +339,20 @@ def recursive_forecast(states: DataFrame, forest: ForestArrays, features: Sequen
                 predicted = np.maximum(0.0, trees.predict(x))
                 history = np.column_stack([history[:, 1:], predicted])
                 yesterday = np.asarray(known.get("cluster", yesterday), dtype=float)
-                live = horizon >= step
                 yield pd.DataFrame(
                     {
-                        SERIES: batch[SERIES][live],
-                        DATE: dates[live].date,
+                        SERIES: batch[SERIES],
+                        DATE: dates.date,
                         "days_ahead": np.int32(step),
-                        "prediction": predicted[live],
-                        "_sigma": batch["sigma"][live],
+                        "prediction": predicted,
+                        "_sigma": batch["sigma"],
                     }
                 )
 
     schema = f"{SERIES} string, {DATE} date, days_ahead int, prediction double, _sigma double"
-    runnable = states.where(F.col("horizon").between(1, MAX_HORIZON_DAYS))
-    rows = runnable.mapInPandas(run, schema)
+    runnable = states.where(F.col("horizon").between(1, MAX_HORIZON_DAYS) & (F.size("recent") >= SHORTEST_HISTORY))
+    # state rows are tiny, but each is a long computation
+    rows = runnable.repartition(2 * states.sparkSession.sparkContext.defaultParallelism, SERIES).mapInPandas(run, schema)
     return with_interval(rows, F.col("_sigma")).drop("_sigma").withColumn("method", F.lit("recursive_rf"))
 
 
@@ -340,16 +363,41 @@ def forecast_ahead(states: DataFrame, forest: ForestArrays, features: Sequence[s
     return recursive_forecast(states.withColumn("horizon", F.lit(days)), forest, features)
 
 
+def forecast_status(days_ahead: Column, known_days: Column) -> Column:
+    """Why a day can or cannot be forecast."""
+    return (
+        F.when(known_days.isNull(), "unknown_series")
+        .when(days_ahead.isNull(), "no_date")
+        .when(days_ahead > MAX_HORIZON_DAYS, "too_far")
+        .when(known_days < SHORTEST_HISTORY, "short_history")
+        .otherwise("ok")
+    )
+
+
+def check_forecast_ranges(states: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges with `status`: ok, unknown_series, no_date, empty_range, in_the_past, too_far or short_history."""
+    known = states.select(SERIES, "last_date", F.size("recent").alias("_known"))
+    dated = ranges.join(known, SERIES, "left")
+    ahead = F.datediff("end_date", "last_date")
+    reason = forecast_status(ahead, F.col("_known"))
+    status = (
+        F.when(reason == "ok", F.when(F.col("start_date").isNull(), "no_date").when(F.col("start_date") > F.col("end_date"), "empty_range").when(ahead < 1, "in_the_past"))
+    )
+    return dated.withColumn("status", F.coalesce(status, reason)).drop("_known", "last_date")
+
+
 def forecast_ranges(states: DataFrame, forest: ForestArrays, features: Sequence[str], ranges: DataFrame) -> DataFrame:
-    """Forecast rows inside requested (series_id, start_date, end_date) ranges.
+    """Forecast rows inside requested (series_id, start_date, end_date) ranges that `check_forecast_ranges` accepts.
 
-    All days up to the last requested one are simulated; only those inside a range are returned.
+    Every range is judged by itself. A series is simulated once, to the furthest accepted end, and its days meet the
+    ranges on series and date.
     """
-    until = ranges.groupBy(SERIES).agg(F.max("end_date").alias("_until"))
+    accepted = check_forecast_ranges(states, ranges).where(F.col("status") == "ok").drop("status")
+    until = accepted.groupBy(SERIES).agg(F.max("end_date").alias("_until"))
     horizons = states.join(until, SERIES).withColumn("horizon", F.datediff("_until", "last_date")).drop("_until")
     days = recursive_forecast(horizons, forest, features)
-    inside = (F.col(DATE) >= F.col("start_date")) & (F.col(DATE) <= F.col("end_date"))
-    return days.join(ranges, SERIES).where(inside)
+    wanted = accepted.withColumn(DATE, F.explode(F.sequence("start_date", "end_date")))
+    return days.join(wanted, [SERIES, DATE])
 
 
 def answer_requests(
@@ -360,16 +408,19 @@ def answer_requests(
     forest: ForestArrays,
     features: Sequence[str],
     importances: dict[str, float],
+    daily: DataFrame | None = None,
 ) -> DataFrame:
-    """One prediction record per (request_id, series_id, date) request.
+    """One prediction record per (request_id, series_id, date) request, with a `status` and the last known day.
 
     Dates up to the last known day are scored by the model and compared with the actual; later ones are
-    forecast recursively. Requests that neither branch can answer keep a null prediction.
+    forecast recursively. A request without an answer keeps a null prediction and says why: unknown_series, no_date,
+    too_far, short_history, or for a past day not_scored - removed_day where `daily` (all days with `is_anomaly`)
+    shows that it was taken out as anomalous.
     """
-    dated = requests.join(states.select(SERIES, "last_date"), SERIES, "left").withColumn(
-        "days_ahead", F.greatest(F.datediff(DATE, "last_date"), F.lit(0))
-    )
-    past = dated.where(F.col("days_ahead") == 0).drop("days_ahead")
+    known = states.select(SERIES, "last_date", F.size("recent").alias("_known"))
+    dated = requests.join(known, SERIES, "left").withColumn("days_ahead", F.greatest(F.datediff(DATE, "last_date"), F.lit(0)))
+    dated = dated.withColumn("days_ahead", F.when(F.col(DATE).isNotNull() & F.col("last_date").isNotNull(), F.col("days_ahead")))
+    past = dated.where(F.coalesce("days_ahead", F.lit(0)) == 0)
     asked = features_table.join(past.select(SERIES, DATE).distinct(), [SERIES, DATE], "left_semi")
     scored = predict(model, asked, features).select(
         SERIES,
@@ -381,16 +432,25 @@ def answer_requests(
         F.lit("random_forest").alias("method"),
     )
     history = past.join(scored, [SERIES, DATE], "left")
+    if daily is not None:
+        removed = daily.where("is_anomaly").select(SERIES, DATE, F.lit(True).alias("_removed"))
+        history = history.join(removed, [SERIES, DATE], "left")
+    else:
+        history = history.withColumn("_removed", F.lit(False))
 
     future = dated.where(F.col("days_ahead") > 0)
     reachable = future.where(F.col("days_ahead") <= MAX_HORIZON_DAYS)
     horizon = reachable.groupBy(SERIES).agg(F.max("days_ahead").alias("horizon"))
     ahead = recursive_forecast(states.join(horizon, SERIES), forest, features).drop("days_ahead")
     answered = future.join(ahead, [SERIES, DATE], "left")
+    every = history.unionByName(answered, allowMissingColumns=True)
+    missing = F.when(F.col("_removed"), "removed_day").otherwise("not_scored")
+    reason = forecast_status(F.col("days_ahead"), F.when(F.col("last_date").isNotNull(), F.greatest("_known", F.when(F.col("days_ahead") == 0, SHORTEST_HISTORY))))
+    status = F.when(F.col("prediction").isNotNull(), "ok").when((reason == "ok") & (F.col("days_ahead") == 0), missing).otherwise(reason)
+    # a past day is not "ahead" of anything
+    ahead = F.when(F.col("days_ahead") > 0, F.col("days_ahead"))
     return (
-        history.unionByName(answered, allowMissingColumns=True)
-        .withColumn("day_of_week", F.date_format(DATE, "EEEE"))
-        .drop("last_date")
+        every.withColumns({"status": status, "days_ahead": ahead, "day_of_week": F.date_format(DATE, "EEEE")}).drop("_known", "_removed")
     )
 
 

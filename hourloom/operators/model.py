@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourloom.config import DATE, SERIES, TARGET, BoostingConfig, ForestConfig
 from hourloom.operators.clean import drop_unusable
-from hourloom.session import compacted
+from hourloom.session import gathered
 
 
 def _position(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -92,14 +92,18 @@ def boosting(target: str = TARGET, config: BoostingConfig = BoostingConfig()) ->
     )
 
 
-def train(rows: DataFrame, features: Sequence[str], regressor=None, scale: bool = False) -> PipelineModel:
-    """Fit on rows that have the target and every feature; trees need no scaling."""
+def train(rows: DataFrame, features: Sequence[str], regressor=None, scale: bool = False, partitions: int | None = None) -> PipelineModel:
+    """Fit on rows that have the target and every feature; trees need no scaling.
+
+    Bootstrap samples depend on the partitions, so a caller who wants the same trees from the same rows names their
+    number; None keeps the table's own.
+    """
     regressor = regressor if regressor is not None else forest()
     target = regressor.getLabelCol()
     usable = drop_unusable(rows, target, features).select(
         *[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, target])]
     )
-    return Pipeline(stages=[*_assembler(features, scale), regressor]).fit(compacted(usable, 5_000))
+    return Pipeline(stages=[*_assembler(features, scale), regressor]).fit(gathered(usable, partitions))
 
 
 def predict(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -24,6 +24,8 @@ def prepare(
 
 @dataclass(frozen=True)
 class TrainedRun:
+    """`daily` holds every day with its vote, `clean` the kept days with their cluster (the history of forecasts)."""
+
     daily: DataFrame
     clean: DataFrame
     clustered: DataFrame
@@ -43,7 +45,8 @@ def fit_daily_model(
     inputs = features.model_inputs(table.columns, config.leak_free)
     usable = model.time_split(clean.drop_unusable(table, TARGET, inputs), config.test_size)
     usable = materialize(usable, "features")
-    fitted = model.train(usable.where(F.col("split") == "train"), inputs, model.forest(config=config.forest))
+    train_rows = usable.where(F.col("split") == "train")
+    fitted = model.train(train_rows, inputs, model.forest(config=config.forest), partitions=config.forest.partitions)
     return usable, inputs, fitted, model.predict(fitted, usable, inputs)
 
 
@@ -57,7 +60,7 @@ def train_run(daily: DataFrame, profiles: DataFrame, config: RunConfig = RunConf
     by_split = model.regression_metrics(scored, keys=(SERIES, "split"))
     return TrainedRun(
         flagged,
-        kept,
+        features.join_clusters(kept, clustered),
         clustered,
         table,
         inputs,

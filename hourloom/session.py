@@ -41,9 +41,9 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def compacted(held: DataFrame, rows_per_task: int = 100_000) -> DataFrame:
-    """Fewer partitions for a small table about to be scanned many times; large ones keep theirs."""
-    return held.coalesce(max(1, -(-held.count() // rows_per_task)))
+def gathered(held: DataFrame, partitions: int | None) -> DataFrame:
+    """`partitions` partitions for a table that is scanned many times; None keeps those it has."""
+    return held if partitions is None else held.coalesce(partitions)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

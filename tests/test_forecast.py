@@ -112,3 +112,47 @@ def test_summary(spark):
     rows = spark.createDataFrame([("a", 1.0), ("a", 3.0)], "series_id string, prediction double")
     assert tuple(forecast.range_summary(rows).first()) == ("a", 2.0, 1.0, 3.0, 4.0)
     assert TARGET == "total_daily_consumption"
+
+
+def test_ranges_are_judged_one_by_one(spark, setup):
+    daily, _, inputs, _, forest = setup
+    states = forecast.forecast_states(daily, daily)
+    last = DAY0 + dt.timedelta(days=N - 1)
+    spans = [("a", 1, 7), ("a", 360, 370), ("b", 3, 3), ("b", 5, 4), ("b", -9, 0), ("c", 1, 2)]
+    rows = [(i, s, last + dt.timedelta(days=x), last + dt.timedelta(days=y)) for i, (s, x, y) in enumerate(spans)]
+    ranges = spark.createDataFrame([*rows, (6, "a", None, None)], "id int, series_id string, start_date date, end_date date")
+    status = {r["id"]: r["status"] for r in forecast.check_forecast_ranges(states, ranges).collect()}
+    assert status == {0: "ok", 1: "too_far", 2: "ok", 3: "empty_range", 4: "in_the_past", 5: "unknown_series", 6: "no_date"}
+    days = forecast.forecast_ranges(states, forest, inputs, ranges)
+    assert sorted((r["id"], r["days_ahead"]) for r in days.collect()) == [(0, k) for k in range(1, 8)] + [(2, 3)]
+
+
+def test_short_histories_have_a_status(spark, setup):
+    daily, _, inputs, _, forest = setup
+    short = daily.where(F.col("date") >= DAY0 + dt.timedelta(days=N - 10))
+    states = forecast.forecast_states(short, short)
+    assert forecast.forecast_ahead(states, forest, inputs, 3).count() == 0
+    day = DAY0 + dt.timedelta(days=N + 1)
+    ranges = spark.createDataFrame([("a", day, day)], "series_id string, start_date date, end_date date")
+    assert [r["status"] for r in forecast.check_forecast_ranges(states, ranges).collect()] == ["short_history"]
+
+
+def test_inputs_without_a_source_are_refused(spark, setup):
+    daily, _, inputs, _, forest = setup
+    with pytest.raises(ValueError, match="yesterday_cluster"):
+        forecast.forecast_ahead(forecast.forecast_states(daily, daily), forest, [*inputs, "yesterday_cluster"], 2)
+
+
+def test_answers_say_why(spark, setup):
+    daily, table, inputs, fitted, forest = setup
+    states = forecast.forecast_states(daily, daily)
+    flagged = daily.withColumn("is_anomaly", F.col("date") == DAY0 + dt.timedelta(days=2))
+    asked = [("a", 100), ("a", 2), ("a", 1), ("a", N + 3), ("a", N + 900), ("x", 5), ("a", None)]
+    rows = [(i, s, None if d is None else DAY0 + dt.timedelta(days=d)) for i, (s, d) in enumerate(asked)]
+    requests = spark.createDataFrame(rows, "request_id int, series_id string, date date")
+    answers = forecast.answer_requests(requests, table, states, fitted, forest, inputs, {inputs[0]: 1.0}, flagged).collect()
+    got = {r["request_id"]: (r["status"], r["prediction"] is not None) for r in answers}
+    assert got == {
+        0: ("ok", True), 1: ("removed_day", False), 2: ("not_scored", False), 3: ("ok", True), 4: ("too_far", False),
+        5: ("unknown_series", False), 6: ("no_date", False),
+    }
