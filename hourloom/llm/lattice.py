@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.llm.arrow import bounded
+from hourloom.llm.words import Powers
 from hourloom.session import materialize
 
 MARK = "▁"
@@ -34,7 +35,7 @@ BLOCK_BYTES = 32 << 20
 ROUNDS = 2
 _LONG = 128
 _ODD = 0xD6E8FEB86659FD93
-_ODD_INVERSE = pow(_ODD, -1, 1 << 64)
+_POWERS = Powers(_ODD)
 _SLOTS = 21
 
 
@@ -53,14 +54,20 @@ class Lattice:
 
     def __init__(self, pieces: list[str], scores: np.ndarray, config: LatticeConfig = LatticeConfig()):
         self.pieces = pieces
-        self.place = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces))
         first = np.concatenate([1.0 / (config.shift - np.asarray(scores, dtype=np.float64)), [0.0, 0.0]])
         first[-2:] = config.byte_weight * first[:-2].sum()
         self.first = first / first.sum()
         self.log_weight = np.log(self.first)
         self.config = config
-        self._build()
+        self._index()
+
+    def __getstate__(self):
+        """The tables for looking pieces up are larger than the model and are made anew where it arrives."""
+        return {k: self.__dict__[k] for k in ("pieces", "first", "log_weight", "config")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._index()
 
     @classmethod
     def from_model(cls, model_file: str, config: LatticeConfig = LatticeConfig()) -> Lattice:
@@ -75,11 +82,13 @@ class Lattice:
         kept = [i for i in kept if MARK not in library.id_to_piece(i)[1:]]
         return cls([library.id_to_piece(i) for i in kept], np.array([max(library.get_score(i), -1e6) for i in kept]), config)
 
-    def _build(self):
-        """Open hash table over the pieces' rolling hashes, for looking up whole arrays of substrings."""
+    def _index(self):
+        """Places of the pieces, and an open hash table over their rolling hashes for looking up arrays of substrings."""
+        self.place = {p: i for i, p in enumerate(self.pieces)}
+        self.longest = max(map(len, self.pieces))
         points, first = _code_points(self.pieces)
-        sums = _sums(points, self.power(len(points) + 1)[0])
-        down = self.power(len(points) + 1)[1]
+        sums = _sums(points, _POWERS.upto(len(points) + 1)[0])
+        down = _POWERS.upto(len(points) + 1)[1]
         hashes = _finish((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]])
         if len(np.unique(hashes)) != len(hashes):
             raise ValueError("two pieces share a hash")
@@ -97,16 +106,6 @@ class Lattice:
             rest = np.setdiff1d(np.arange(len(pending)), chosen)
             pending, at = pending[rest], (at[rest] + 1) % (1 << _SLOTS)
 
-    _up = _down = np.ones(1, dtype=np.uint64)
-
-    @classmethod
-    def power(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(cls._up) < n:
-            k = len(cls._up)
-            cls._up = np.concatenate([cls._up, cls._up * np.uint64(pow(_ODD, k, 1 << 64))])
-            cls._down = np.concatenate([cls._down, cls._down * np.uint64(pow(_ODD_INVERSE, k, 1 << 64))])
-        return cls._up, cls._down
-
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Piece per hash, -1 if none."""
         at = (hashes >> np.uint64(64 - _SLOTS)).astype(np.int64)
@@ -123,7 +122,7 @@ class Lattice:
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         points, first = _code_points([MARK + words[i] for i in order])
         lengths = np.diff(first)
-        up, down = self.power(len(points) + 1)
+        up, down = _POWERS.upto(len(points) + 1)
         sums, begin = _sums(points, up), first[:-1]
         spelled = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
         spell = spelled * (self.log_weight[len(self.pieces)] - np.log(256.0))

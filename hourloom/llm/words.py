@@ -13,24 +13,28 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-class _Powers:
-    """Powers of the rolling base and of its inverse modulo 2**64, grown on demand."""
+class Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, grown on demand; they are not shipped with a function."""
 
-    def __init__(self):
+    def __init__(self, base: int):
+        self.base = base
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def upto(self, n: int):
+    def __reduce__(self):
+        return Powers, (self.base,)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        inverse = pow(self.base, -1, 1 << 64)
         while len(self.up) < n:
             k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE_INVERSE, k, 1 << 64))])
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(inverse, k, 1 << 64))])
         return self.up, self.down
 
 
-_POWERS = _Powers()
+_POWERS = Powers(_BASE)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
