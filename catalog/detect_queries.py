@@ -191,7 +191,7 @@ def clean_days(spark, sf_dir):
 
 # ---------------------------------------------------------------- clusters
 
-RESTARTS = KMeansConfig(restarts=3)
+RESTARTS = KMeansConfig(partitions=2)
 
 
 def _fit_weeks(spark, sf_dir):
@@ -210,7 +210,7 @@ def cluster_profiles(spark, sf_dir):
 
 @query("choose_cluster_count", "K2")
 def choose_cluster_count(spark, sf_dir):
-    _, table = cluster.choose_k(inputs.weekly_profiles(spark, sf_dir), 6, KMeansConfig(restarts=1))
+    _, table = cluster.choose_k(inputs.weekly_profiles(spark, sf_dir), 10, KMeansConfig(restarts=10, partitions=2))
     return table
 
 

@@ -323,5 +323,5 @@ def run_report(spark, sf_dir):
     rows = inputs.line_rows(spark, sf_dir, F.concat("l_returnflag", "l_linestatus"))
     daily = resample.daily_summary(rows)
     weeks = inputs.weekly_profiles(spark, sf_dir)
-    run = training.train_run(daily, weeks, RunConfig(anomaly=AnomalyConfig(profile_slots=7), kmeans=KMeansConfig(restarts=3)))
+    run = training.train_run(daily, weeks, RunConfig(anomaly=AnomalyConfig(profile_slots=7), kmeans=KMeansConfig(partitions=2)))
     return training.run_report(run)

@@ -269,9 +269,6 @@ def fitted(spark, sf_dir) -> Fitted:
     return inputs.cached("forest", _fit, spark, sf_dir)
 
 
-SMALL_FOREST = ForestConfig(trees=5, depth=5)
-
-
 SCALED = ("lag_1d", "rolling_7d_mean", "day_of_week")
 SCALED_SQL = ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 6) AS {c}" for c in SCALED)
 
@@ -332,7 +329,7 @@ def forest_metrics(spark, sf_dir):
 @query("cross_validation", "M8")
 def cross_validation(spark, sf_dir):
     fit = fitted(spark, sf_dir)
-    return model.cross_validate(fit.table.where(F.col("split") == "train"), fit.inputs, model.forest(config=SMALL_FOREST))
+    return model.cross_validate(fit.table.where(F.col("split") == "train"), fit.inputs, model.forest(config=ForestConfig()))
 
 
 def day_requests(spark, sf_dir) -> DataFrame:

@@ -66,10 +66,12 @@ def _best_kmeans(scaled: DataFrame, k: int, config: KMeansConfig):
 
 
 def fit_profile_clusters(profiles: DataFrame, k: int, config: KMeansConfig = KMeansConfig()) -> ProfileClusters:
+    """`k` clusters, or as many as there are different profiles."""
     vectors = _vectors(profiles).select("_vector")
     scaler = _scaler().fit(vectors)
     scaled = gathered(scaler.transform(vectors).select("_scaled"), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        k = min(k, scaled.distinct().limit(k).count())
         cost, _, kmeans = _best_kmeans(scaled, k, config)
     finally:
         scaled.unpersist()
