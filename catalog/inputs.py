@@ -166,3 +166,8 @@ def cached(key: str, builder, spark: SparkSession, sf_dir: str):
     if place not in _SHARED:
         _SHARED[place] = builder(spark, sf_dir)
     return _SHARED[place]
+
+
+def forget() -> None:
+    """Drop what the queries of this process share, so that the next one builds it again."""
+    _SHARED.clear()
