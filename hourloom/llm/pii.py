@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hourloom.llm.arrow import bounded, map_texts
 from hourloom.llm.tagger import Tagger, TaggerConfig, char_codes
-from hourloom.llm.training import fit_in_one_task
+from hourloom.llm.training import first_by_hash, fit_in_one_task
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,7 +145,7 @@ def train(docs: DataFrame, config: PiiConfig = PiiConfig(), doc_id: str = "doc_i
     """Tagger from a sample in hash order of the documents that hold a digit or an `@`."""
     source = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"))
     source = source.where((F.octet_length("t") <= config.max_bytes) & F.col("t").rlike("[0-9@]"))
-    rows = source.withColumn("order", F.xxhash64("id")).orderBy("order", "id", "t").limit(config.documents)
+    rows = first_by_hash(source, "id", config.documents, source.count()).withColumn("order", F.xxhash64("id"))
 
     def fit_rows(held: list[dict]) -> Tagger | None:
         held.sort(key=lambda r: (r["order"], r["id"] or "", r["t"]))

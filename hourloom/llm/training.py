@@ -45,6 +45,17 @@ def fold(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
+def first_by_hash(rows: DataFrame, key: str, k: int, total: int) -> DataFrame:
+    """The `k` rows with the least hash of `key`, of `total` rows.
+
+    Only hashes low enough to hold about twice `k` rows are sorted, so that no task passes on rows of every other.
+    """
+    order = F.xxhash64(key)
+    if total > 2 * k:
+        rows = rows.where(order <= F.lit(-(1 << 63) + (1 << 64) * 2 * k // total))
+    return rows.orderBy(order, key).limit(k)
+
+
 def fit_in_one_task(rows: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
     """`fit` over the rows of a bounded sample, run by one executor task; only the model comes to the driver.
 
@@ -73,7 +84,7 @@ def fit_on_labels(
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     chosen = None
     for c in (0, 1):
-        part = marked.where(F.col("class") == c).distinct().orderBy(F.xxhash64("id"), "id").limit(bound.per_class)
+        part = first_by_hash(marked.where(F.col("class") == c).distinct(), "id", bound.per_class, totals.get(c, 0))
         chosen = part if chosen is None else chosen.unionByName(part)
     source = docs.select(
         F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"), (F.col(lang) if lang in docs.columns else F.lit(None).cast("string")).alias("l")

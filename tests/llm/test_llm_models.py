@@ -97,3 +97,15 @@ def test_calibration_restores_the_share():
     slope, offset = calibrate(raw, classes, 0.1)
     p = sigmoid(slope * raw + offset)
     assert abs(np.average(p, weights=np.where(classes == 1, 0.1, 0.9)) - 0.1) < 0.02
+
+
+def test_the_first_rows_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from hourloom.llm.training import first_by_hash
+
+    rows = spark.range(5000).withColumnRenamed("id", "key")
+    for k in (1, 100, 4000, 9000):
+        want = {r["key"] for r in rows.orderBy(F.xxhash64("key"), "key").limit(k).collect()}
+        got = {r["key"] for r in first_by_hash(rows, "key", k, 5000).collect()}
+        assert got <= want and (k < 100 or got == want)
