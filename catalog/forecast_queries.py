@@ -13,7 +13,7 @@ from catalog.model_queries import day_requests, fitted
 from catalog.registry import query, sql_with
 from hourloom.config import DATE, SERIES, TARGET, AnomalyConfig, KMeansConfig, RunConfig
 from hourloom.operators import features, forecast, model, requests, resample, seasonal
-from hourloom.plans import training
+from hourloom.plans import answers, training
 from hourloom.session import work_path
 from hourloom.sources import tables
 
@@ -265,6 +265,27 @@ def resolve_requests(spark, sf_dir):
     return requests.resolve_requests(text_requests(spark, sf_dir), anchors).drop("query")
 
 
+@query(
+    "answer_questions",
+    "M12 R12",
+    sql_with(
+        ctes.ORDER_DAYS,
+        ASKED_SQL,
+        select="""SELECT request_id, series_id, CAST(date AS VARCHAR) AS date, CAST(date - last_date AS INTEGER) AS days_ahead,
+        CASE WHEN date IS NULL THEN 'no_date' WHEN date - last_date > 365 THEN 'too_far' ELSE 'ok' END AS status,
+        coalesce(date - last_date <= 365, false) AS answered FROM dated WHERE date IS NULL OR date > last_date""",
+    ),
+)
+def answer_questions(spark, sf_dir):
+    """Every question about a day that is still to come, or that names none."""
+    fit, at = fitted(spark, sf_dir), ready(spark, sf_dir)
+    known = answers.Forecaster(at.states, at.forest, fit.importances())
+    days = inputs.written_order_days(spark, sf_dir)
+    found = answers.answer_questions(text_requests(spark, sf_dir), days, fit.table, fit.model, fit.inputs, known)
+    ahead = found.where(F.col(DATE).isNull() | (F.col("days_ahead") > 0))
+    return ahead.select("request_id", SERIES, DATE, "days_ahead", "status", F.col("prediction").isNotNull().alias("answered"))
+
+
 @query(
     "check_ranges",
     "R13",

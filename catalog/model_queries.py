@@ -204,6 +204,36 @@ def feature_table(spark, sf_dir):
     return features.build_features(inputs.order_days(spark, sf_dir), inputs.order_clusters(spark, sf_dir))
 
 
+STUDIED_SQL = ", ".join(
+    [
+        CALENDAR_SQL,
+        LAGS_SQL,
+        ROLLING_SQL,
+        TREND_SQL,
+        RATIO_SQL,
+        VOLTAGE_SQL,
+        YESTERDAY,
+        f"{LEAKY.format('day_of_week')} AS {DOW}",
+        f"{LEAKY.format('cluster')} AS cluster_avg_consumption",
+    ]
+)
+
+
+@query("studied_feature_table", "F12 F7 F9", feature_sql("order_labelled", STUDIED_SQL, ALL_OUT, ctes.ORDER_DAYS, ORDER_LABELS))
+def studied_feature_table(spark, sf_dir):
+    """Group means over all days, as the studied code takes them."""
+    return features.build_features(inputs.order_days(spark, sf_dir), inputs.order_clusters(spark, sf_dir), leak_free=False)
+
+
+STUDIED_OUT = " ".join(w for w in ALL_OUT.split() if w.partition(":")[0] in features.model_inputs(names(ALL_OUT), False))
+
+
+@query("studied_model_inputs", "M1", feature_sql("order_labelled", STUDIED_SQL, STUDIED_OUT, ctes.ORDER_DAYS, ORDER_LABELS))
+def studied_model_inputs(spark, sf_dir):
+    table = studied_feature_table(spark, sf_dir)
+    return table.select(SERIES, DATE, *features.model_inputs(table.columns, False))
+
+
 # ---------------------------------------------------------------- split and folds
 
 MODEL_OUT = " ".join(w for w in ALL_OUT.split() if w.partition(":")[0] in features.model_inputs(names(ALL_OUT)))

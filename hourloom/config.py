@@ -56,6 +56,7 @@ SAME_DAY_COLUMNS = (
     "cluster",
     "cluster_avg_consumption",
     "anomaly_count",
+    "isolation_score",
     "is_anomaly",
 ) + ANOMALY_FLAGS
 

@@ -142,5 +142,5 @@ def build_features(
 
 def model_inputs(columns: Sequence[str], leak_free: bool = True) -> list[str]:
     """Feature columns in table order: keys, target and excluded names are left out."""
-    out = {SERIES, DATE, *EXCLUDED_FROM_MODEL, *(SAME_DAY_COLUMNS if leak_free else ("n_hours",))}
+    out = {SERIES, DATE, *EXCLUDED_FROM_MODEL, *(SAME_DAY_COLUMNS if leak_free else ("n_hours", "isolation_score"))}
     return [c for c in columns if c not in out]

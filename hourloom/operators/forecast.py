@@ -120,7 +120,8 @@ def forecast_states(clean: DataFrame, daily: DataFrame, sigma: DataFrame | None
         cluster_avg = per_cluster.groupBy(SERIES).agg(
             F.map_from_entries(F.collect_list(F.struct("cluster", "_mean"))).alias("cluster_avg")
         )
-        rule = learned_cluster_rule(clean).groupBy(SERIES).agg(
+        dated = clean.withColumns({"season": season(F.col(DATE)), "is_weekend": is_weekend(F.col(DATE))})
+        rule = learned_cluster_rule(dated).groupBy(SERIES).agg(
             F.map_from_entries(
                 F.collect_list(F.struct((F.col("season") * 2 + F.col("is_weekend")).alias("k"), F.col("expected_cluster")))
             ).alias("cluster_rule")

@@ -74,8 +74,8 @@ def isolation_flags(
 ) -> DataFrame:
     """Adds `isolation_score` and `anomaly_isolation_forest` (the lowest `contamination` share).
 
-    Each series travels as one row; only its feature values visit Python. Standardising first would change
-    nothing: splits are drawn between a node's own extremes.
+    Of each series the dates and feature values travel as one row; the scores meet the days on series and date (one
+    row per date). Standardising first would change nothing: splits are drawn between a node's own extremes.
     """
     features = [f for f in features if f in daily.columns]
     trees, sample_size, seed, share = config.trees, config.sample_size, config.seed, config.contamination
@@ -90,17 +90,17 @@ def isolation_flags(
         return pd.DataFrame(out, columns=["scores", "cut"])
 
     copies = [f"_x_{f}" for f in features]
-    rest = [c for c in daily.columns if c not in (SERIES, DATE)]
-    imputed = impute_mean(daily.withColumns({f"_x_{f}": F.col(f) for f in features}), copies)
+    imputed = impute_mean(daily.select(SERIES, DATE, *[F.col(f).alias(f"_x_{f}") for f in features]), copies)
     x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in copies]).alias("_x")
-    whole = imputed.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct(DATE, *rest, x))).alias("_rows"))
+    whole = imputed.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct(DATE, x))).alias("_rows"))
     values = F.transform("_rows", lambda r: r["_x"])
     scored = whole.withColumn("_s", score.asNondeterministic()(F.col(SERIES), values))
     days = scored.select(SERIES, "_s.scores", "_s.cut", F.posexplode("_rows").alias("_i", "_day"))
     day_score = F.col("scores")[F.col("_i")]
-    return days.select(
+    flags = days.select(
         SERIES,
-        *[F.col("_day")[c].alias(c) for c in (DATE, *rest)],
+        F.col("_day")[DATE].alias(DATE),
         day_score.alias("isolation_score"),
         (day_score < F.col("cut")).alias("anomaly_isolation_forest"),
     )
+    return daily.join(flags, [SERIES, DATE])
