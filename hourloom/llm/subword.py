@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import codecs
 import heapq
+import sys
+import types
 from itertools import chain
 
 import ahocorasick
@@ -31,6 +33,7 @@ from hourloom.llm.arrow import map_texts, texts
 
 MARK = "▁"
 MEMORY = 400_000
+PAIRS = 600_000
 _PROBES = ("", " ", "a  b", "  lead", "tail  ", "new\nline\tand é 日本 😀", "x" * 40, " " * 37 + "z", "1234 5,6.7!!", "▁mark ▁", "</s><s>")
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -200,7 +203,7 @@ class MergeTokenizer:
                 key = last[start] << 20 | token
                 good = accepted.get(key)
                 if good is None:
-                    if len(accepted) > 2_000_000:
+                    if len(accepted) > PAIRS:
                         accepted.clear()
                     good = accepted[key] = self._accepts(last[start], token)
                 if not good:
@@ -266,15 +269,16 @@ class MergeTokenizer:
         return text
 
 
-_LOADED: dict[tuple[str, int], MergeTokenizer] = {}
-
-
 def tokenizer(model_file: str, memory: int = MEMORY) -> MergeTokenizer:
-    """One tokenizer per worker process; what it remembers serves the next task."""
-    key = (model_file, memory)
-    if key not in _LOADED:
-        _LOADED[key] = MergeTokenizer(model_file, memory)
-    return _LOADED[key]
+    """One tokenizer per worker process; what it remembers serves the next task.
+
+    Task functions bring their own copy of this module, so what outlives a task is kept in a module of the process.
+    """
+    held = sys.modules.setdefault("hourloom_worker", types.ModuleType("hourloom_worker")).__dict__
+    key = f"tokenizer {memory} {model_file}"
+    if key not in held:
+        held[key] = MergeTokenizer(model_file, memory)
+    return held[key]
 
 
 ENCODED = "doc_id bigint, ids array<int>, decoded string"
