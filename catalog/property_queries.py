@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import ctes, inputs
-from catalog.detect_queries import assign_new_profiles, cluster_centers, cluster_profiles, isolation_anomalies, isolation_scores
+from catalog.detect_queries import assign_new_profiles, cluster_centers, cluster_profiles, cluster_silhouette
+from catalog.detect_queries import isolation_anomalies, isolation_scores
 from catalog.forecast_queries import answer_requests, range_forecast, recursive_forecast, run_report, seasonal_backtest, seasonal_forecast
 from catalog.forecast_queries import seasonal_models, seasonal_order_search
 from catalog.model_queries import boosted_scores, cross_validation, fitted, forest_scores, model_roundtrip, score_dates
 from catalog.registry import query, sql_with
 from catalog.report_queries import sample_profiles
-from hourloom.config import DATE, SERIES, TARGET
-from hourloom.operators import model
+from hourloom.config import DATE, SERIES, TARGET, KMeansConfig
+from hourloom.operators import cluster, model
 from hourloom.session import work_path
 from hourloom.sources import tables
 
@@ -228,3 +229,24 @@ def run_report_dates(spark, sf_dir):
     report = run_report(spark, sf_dir)
     adds_up = F.col("clean_days") + F.col("anomalies_removed") == F.col("total_days")
     return report.select(SERIES, "first_date", "last_date", adds_up.alias("holds"))
+
+
+@query(
+    "cluster_count_candidates",
+    "K2",
+    """SELECT CAST(k AS INTEGER) AS k, true AS holds FROM (SELECT unnest(range(2, 11)) AS k) WHERE k < least(11, (SELECT count(*) // 10 FROM embeddings))""",
+)
+def cluster_count_candidates(spark, sf_dir):
+    """Every candidate up to a tenth of the vectors has a cost and a silhouette, and one of them or between is chosen."""
+    _, table = cluster.choose_k(inputs.labelled_vectors(spark, sf_dir), 10, KMeansConfig(restarts=2, partitions=2))
+    holds = (F.col("cost") > 0) & F.col("silhouette").between(-1, 1) & F.col("chosen_k").between(2, 10)
+    return table.select("k", holds.alias("holds"))
+
+
+@query(
+    "silhouette_range",
+    "K3",
+    sql_with(ctes.WEEKS, select="SELECT count(*) AS n_profiles, true AS holds FROM (SELECT DISTINCT series_id, date FROM weeks)"),
+)
+def silhouette_range(spark, sf_dir):
+    return cluster_silhouette(spark, sf_dir).select("n_profiles", F.col("silhouette").between(-1, 1).alias("holds"))
