@@ -27,8 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourloom.llm import copies
 from hourloom.llm.arrow import map_texts, utf8
 from hourloom.llm.components import connected_components
+from hourloom.llm.copies import SIMILARITY
 from hourloom.session import materialize
 
 RADIUS = 3
@@ -230,10 +232,10 @@ def near_duplicates(
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id", "linked")
 
 
-def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every group stays, the one with the smallest id; rows without an id are in no group and stay."""
-    kept = near_duplicates(docs.where(F.col(doc_id).isNotNull()), radius, doc_id=doc_id, text=text)
-    names = docs.columns
-    ids = kept.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every group of near copies (see `copies`) stays, the one with the smallest id; rows without an id stay."""
+    named = docs.where(F.col(doc_id).isNotNull()).withColumn("__row", F.xxhash64(*docs.columns))
+    kept = copies.least_rows(named, [doc_id, "__row"], text, similarity)
+    ids = kept.select(F.col(doc_id).alias("__kept")).distinct()
     own = docs.join(ids, docs[doc_id] == ids["__kept"], "left_semi").dropDuplicates([doc_id])
-    return own.select(*names).unionByName(docs.where(F.col(doc_id).isNull()))
+    return own.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
