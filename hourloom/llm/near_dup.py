@@ -233,9 +233,12 @@ def near_duplicates(
 
 
 def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every group of near copies (see `copies`) stays, the one with the smallest id; rows without an id stay."""
-    named = docs.where(F.col(doc_id).isNotNull()).withColumn("__row", F.xxhash64(*docs.columns))
-    kept = copies.least_rows(named, [doc_id, "__row"], text, similarity)
-    ids = kept.select(F.col(doc_id).alias("__kept")).distinct()
-    own = docs.join(ids, docs[doc_id] == ids["__kept"], "left_semi").dropDuplicates([doc_id])
-    return own.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+    """One row of every group of near copies (see `copies`) stays: the one with the smallest id, then the least row hash.
+
+    A row is known by its id and a hash of all its columns, so rows that repeat an id with another text are rows of their
+    own, and rows without an id take part (after those with one). Rows equal in all columns are one row.
+    """
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
+    kept = copies.least_rows(rows, [doc_id, "__row"], text, similarity).select(F.col(doc_id).alias("__kept"), F.col("__row").alias("__kept_row"))
+    same = rows[doc_id].eqNullSafe(kept["__kept"]) & (rows["__row"] == kept["__kept_row"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "__row"]).select(*docs.columns)

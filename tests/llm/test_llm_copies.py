@@ -64,3 +64,11 @@ def test_stage_keeps_one_of_each_group(spark):
     texts = edited_copies(4, 25, 5)
     kept = near_dup.keep_one_per_group(documents(spark, texts)).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(plain_groups(texts)[0]))
+
+
+def test_rows_of_a_repeated_id_are_rows_of_their_own(spark):
+    a, b, c = ("one two three four five six", "quite other words stand in here", "a third text without any id")
+    rows = [(5, a), (3, a), (5, b), (7, b), (None, c), (None, c.upper()), (None, a), (4, ""), (4, None)]
+    docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows], clash=True)
+    kept = [(r["doc_id"], (r["text"] or "").lower()) for r in near_dup.keep_one_per_group(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(3, a), (5, b), (None, c), (4, "")], key=str)
