@@ -78,7 +78,7 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     spans = [(0, a, b) for a, b in email_spans(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
             spans.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:

@@ -124,3 +124,9 @@ def test_redaction(spark):
 def test_triggers_are_found_in_slices():
     column = pa.array(["none", "a1", None, "x@", ""]).slice(1)
     assert pii._with_triggers(column).tolist() == [0, 2]
+
+
+def test_long_runs_of_zeros_are_read():
+    text = "x " + "0" * 5000 + ".1.2.3 y"
+    assert (1, 2, 5008) in pii.rule_spans(text)
+    assert not [s for s in pii.rule_spans("0" * 5000 + "256.1.2.3") if s[0] == 1]
