@@ -103,13 +103,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
+def class_weights(classes: np.ndarray, share: float) -> np.ndarray:
+    """Weight of every document, 1 on average, that gives class 1 its true share; both classes must be there."""
+    n1 = classes.sum()
+    return np.where(classes == 1, share / n1, (1 - share) / (len(classes) - n1)) * len(classes)
+
+
 def calibrate(raw: np.ndarray, classes: np.ndarray, share: float, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve over `raw`, the classes weighted to class 1's true share."""
     n1 = classes.sum()
     n0 = len(classes) - n1
     if not n0 or not n1:
         return 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-    weight = np.where(classes == 1, share / n1, (1 - share) / n0) * len(classes)
+    weight = class_weights(classes, share)
     target = np.where(classes == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     mean, scale = raw.mean(), raw.std() or 1.0
     x = np.stack([(raw - mean) / scale, np.ones(len(raw))], axis=1)

@@ -8,7 +8,7 @@ import pytest
 from llm_helpers import ODD_TEXTS, documents
 
 from hourloom.llm import quality, toxicity
-from hourloom.llm.training import Sample, calibrate, sigmoid
+from hourloom.llm.training import Sample, calibrate, class_weights, sigmoid
 
 STEMS = ["vexo", "grumb", "zotra", "klimp"]
 
@@ -109,3 +109,17 @@ def test_the_first_rows_by_hash(spark):
         want = {r["key"] for r in rows.orderBy(F.xxhash64("key"), "key").limit(k).collect()}
         got = {r["key"] for r in first_by_hash(rows, "key", k, 5000).collect()}
         assert got <= want and (k < 100 or got == want)
+
+
+def test_thresholds_do_not_follow_the_cap():
+    rng = np.random.default_rng(3)
+    toxic, clean = rng.beta(4, 3, 400), rng.beta(3, 4, 400)
+    share = 400 / (400 + 8 * 400)
+
+    def threshold(copies, share):
+        classes = np.repeat([1, 0], [400, 400 * copies])
+        scores = np.concatenate([toxic, np.tile(clean, copies)])
+        return toxicity.best_threshold(scores, classes, class_weights(classes, share), 0.3)
+
+    assert threshold(1, share) == threshold(2, share) == threshold(8, share)
+    assert threshold(1, 0.5) < threshold(1, share) - 0.05
