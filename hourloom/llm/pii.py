@@ -2,8 +2,8 @@
 
 The rules find e-mail addresses, IPv4 addresses, card numbers and phone numbers, leftmost and non-overlapping per kind;
 a match that fails its check is dropped. Their spans label the windows on which the tagger (BiLSTM with CRF) is trained,
-on a bounded sample of documents. The tagger then reads every stretch around a digit or an `@`, without one of which no
-span of these kinds exists, and adds the spans that overlap none of the rules' and of which it is sure.
+on a bounded sample of documents. The tagger then reads every stretch of whole words around a digit or an `@`, without one
+of which no span of these kinds exists, and adds the spans that overlap none of the rules' and of which it is sure.
 
 Defined cases: null and empty texts have no spans; without a document to train on the tagger adds nothing; long texts are
 read whole, in overlapping windows; repeated rows are answered each; other columns are not read. Positions are code points,
@@ -32,12 +32,13 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _DIGITS = re.compile(r"[0-9]")
+_BLANK = re.compile(r"\s")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class PiiConfig:
-    """`documents` of at most `max_bytes` each train the tagger; `margin` code points around a trigger are read."""
+    """`documents` of at most `max_bytes` each train the tagger; `margin` code points around a trigger's word are read, and the words they touch."""
 
     documents: int = 600
     max_bytes: int = 32_768
@@ -92,12 +93,27 @@ def rule_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def stretches_of(text: str, margin: int) -> list[tuple[int, int]]:
-    """Stretches that hold every digit and `@` with `margin` code points around."""
+    """Stretches of whole words: those that hold a digit or `@` and those within `margin` code points of them."""
     out: list[tuple[int, int]] = []
+    done = 0
+
+    def end_of_word(at: int) -> int:
+        space = _BLANK.search(text, at)
+        return space.start() if space else len(text)
+
     for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - margin), min(len(text), m.end() + margin)
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], high)
+        if m.end() <= done:
+            continue
+        low = m.start()
+        while low > done and not text[low - 1].isspace():
+            low -= 1
+        low, done = max(0, low - margin), end_of_word(m.end())
+        held = out[-1][1] if out else 0
+        while low > held and not text[low - 1].isspace():
+            low -= 1
+        high = end_of_word(min(len(text), done + margin))
+        if out and low <= held:
+            out[-1] = (out[-1][0], max(held, high))
         else:
             out.append((low, high))
     return out

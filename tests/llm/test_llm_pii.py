@@ -130,3 +130,32 @@ def test_long_runs_of_zeros_are_read():
     text = "x " + "0" * 5000 + ".1.2.3 y"
     assert (1, 2, 5008) in pii.rule_spans(text)
     assert not [s for s in pii.rule_spans("0" * 5000 + "256.1.2.3") if s[0] == 1]
+
+
+def test_stretches_hold_whole_words(tagger):
+    for text in ("x " * 40 + "a" * 60 + "@intranet y", "a" * 60 + " 1", "1 " + "b" * 60, "1" * 60 + "c" * 60 + " d", "a1 " + "b" * 90 + " 2c"):
+        held = pii.stretches_of(text, 24)
+        assert all(a == 0 or text[a - 1].isspace() for a, _ in held) and all(b == len(text) or text[b].isspace() for _, b in held)
+        assert all(any(a <= i < b for a, b in held) for i, c in enumerate(text) if c in "0123456789@")
+        assert all(x[1] < y[0] for x, y in zip(held, held[1:]))
+    assert pii.stretches_of("x " * 40 + "a" * 60 + "@intranet y", 24)[0][0] <= 80
+    assert pii.stretches_of("1" * 200_000, 24) == [(0, 200_000)]
+
+
+def test_an_added_address_keeps_its_head():
+    text = "write to " + "long.local.part.of.a.name.without.end@intranet" + " now"
+
+    class Words:
+        """Tags the word that holds an `@`."""
+
+        def decode(self, rows):
+            out = []
+            for row in rows:
+                own = "".join(chr(c + 31) for c in row.tolist())
+                at = own.index("@")
+                low, high = own.rfind(" ", 0, at) + 1, own.find(" ", at)
+                out.append([(0, low, high if high >= 0 else len(own), 1.0)])
+            return out
+
+    found = pii.added_spans([text], [[]], Words(), pii.PiiConfig())
+    assert [text[a:b] for _, a, b in found[0]] == ["long.local.part.of.a.name.without.end@intranet"]
