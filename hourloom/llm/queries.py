@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hourloom.llm import chat, decontaminate, lattice, near_dup, pii, quality, subword, topk, toxicity, url_filter
+from hourloom.llm import chat, decontaminate, lattice, near_dup, pii, quality, repair, subword, topk, toxicity, url_filter
 from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +196,81 @@ def op1_personal_data(spark, sf_dir):
     )
 
 
+# crc32 has no function there: the bits of the register are folded in byte by byte.
+_CRC = """
+  xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT FOR c IN string_split(place, '')]), lambda crc, byte:
+    list_reduce(list_prepend(xor(crc, byte), [1::BIGINT, 1, 1, 1, 1, 1, 1, 1]), lambda r, one: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END)
+  ), 4294967295)
+"""
+
+
+@oracle(
+    r"""
+WITH RECURSIVE placed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS place FROM conversations
+), faulty AS (
+  SELECT *, CRC % 20 AS fault FROM placed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty WHERE fault <> 0
+), seen AS (
+  SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, lag(left(role, 1)) OVER w AS before,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS shown
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), sha256(text), copy)
+), judged AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN shown = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen
+), priced AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone, (fault = 'truncated')::BIGINT AS cut FROM judged
+), back AS (
+  SELECT conv_id, max(pos) + 1 AS pos, {c: 0::BIGINT, a: '', o: []::VARCHAR[]} AS b0, {c: 4::BIGINT, a: 'II', o: ['user:', 'assistant:']} AS b1,
+    {c: 2::BIGINT, a: 'I', o: ['assistant:']} AS b2, {c: 0::BIGINT, a: '', o: []::VARCHAR[]} AS b3
+  FROM priced GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, pos, r0,
+    list_min([r1, {c: r2.c + 2, a: 'I' || r2.a, o: list_prepend('user:', r2.o)}, {c: r3.c + 4, a: 'II' || r3.a, o: list_prepend('user:', list_prepend('assistant:', r3.o))}]),
+    list_min([r2, {c: r3.c + 2, a: 'I' || r3.a, o: list_prepend('assistant:', r3.o)}]),
+    list_min([r3, {c: r2.c + 2, a: 'I' || r2.a, o: list_prepend('user:', r2.o)}])
+  FROM (
+    SELECT conv_id, pos,
+      list_min([q0, {c: q2.c + 2, a: 'I' || q2.a, o: list_prepend('user:', q2.o)}, {c: q3.c + 4, a: 'II' || q3.a, o: list_prepend('user:', list_prepend('assistant:', q3.o))}]) AS r0,
+      q1 AS r1, q2 AS r2, q3 AS r3
+    FROM (
+      SELECT b.conv_id, p.pos,
+        list_min(list_filter([{c: b0.c + 3, a: 'D' || b0.a, o: b0.o},
+          CASE WHEN NOT gone THEN {c: b2.c + 2 + cut, a: 'R' || b2.a, o: list_prepend('user:' || text, b2.o)} END,
+          CASE WHEN NOT gone AND i = 's' THEN {c: b1.c + cut, a: 'K' || b1.a, o: list_prepend(role || ':' || text, b1.o)} END,
+          CASE WHEN NOT gone AND i = 'u' THEN {c: b2.c + cut, a: 'K' || b2.a, o: list_prepend(role || ':' || text, b2.o)} END], lambda x: x IS NOT NULL)) AS q0,
+        list_min(list_filter([{c: b1.c + 3, a: 'D' || b1.a, o: b1.o},
+          CASE WHEN NOT gone THEN {c: b2.c + 2 + cut, a: 'R' || b2.a, o: list_prepend('user:' || text, b2.o)} END,
+          CASE WHEN NOT gone AND i = 'u' THEN {c: b2.c + cut, a: 'K' || b2.a, o: list_prepend(role || ':' || text, b2.o)} END], lambda x: x IS NOT NULL)) AS q1,
+        list_min(list_filter([{c: b2.c + 3, a: 'D' || b2.a, o: b2.o},
+          CASE WHEN NOT gone THEN {c: b3.c + 2 + cut, a: 'R' || b3.a, o: list_prepend('assistant:' || text, b3.o)} END,
+          CASE WHEN NOT gone AND i = 'a' THEN {c: b3.c + cut, a: 'K' || b3.a, o: list_prepend(role || ':' || text, b3.o)} END], lambda x: x IS NOT NULL)) AS q2,
+        list_min(list_filter([{c: b3.c + 3, a: 'D' || b3.a, o: b3.o},
+          CASE WHEN NOT gone THEN {c: b2.c + 2 + cut, a: 'R' || b2.a, o: list_prepend('user:' || text, b2.o)} END,
+          CASE WHEN NOT gone AND i = 'u' THEN {c: b2.c + cut, a: 'K' || b2.a, o: list_prepend(role || ':' || text, b2.o)} END], lambda x: x IS NOT NULL)) AS q3
+      FROM back b JOIN priced p ON p.conv_id IS NOT DISTINCT FROM b.conv_id AND p.pos = b.pos - 1
+    )
+  )
+), facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pos > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM priced GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.b0.c, 0) AS cost, coalesce(b.b0.a, '') AS audit, sha256(coalesce(array_to_string(b.b0.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a
+LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN back b ON b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.pos = 1
+""".replace("CRC", _CRC)
+)
+@query
+def op11_conversation_repair(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.structure_rows(repair.damage(turns), copies="copies"), turns).drop("chunks")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
