@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hourloom.llm import chat, decontaminate, lattice, near_dup, pii, quality, repair, subword, topk, toxicity, url_filter
+from hourloom.llm import chat, collocation, decontaminate, lattice, near_dup, pii, quality, repair, subword, topk, toxicity, url_filter
 from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -271,6 +271,45 @@ def op11_conversation_repair(spark, sf_dir):
     return repair.repair(repair.structure_rows(repair.damage(turns), copies="copies"), turns).drop("chunks")
 
 
+@oracle(
+    r"""
+WITH pieces AS (
+  SELECT lang, unnest(pieces) AS piece FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+      regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents)
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+), counted AS (
+  SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+), sizes AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
+), longer AS (
+  SELECT lang, phrase, max(f) AS most FROM (
+    SELECT lang, f, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (
+      SELECT lang, f, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, f, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM counted WHERE k > 2))
+  ) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, cut, array_to_string(string_split(c.phrase, ' ')[1:cut], ' ') AS head, array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM counted WHERE k > 1) c LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * c.f
+), scored AS (
+  SELECT cuts.lang, cuts.phrase, a, h.f AS l, t.f AS r, (2000000 * a) // (h.f + t.f) AS score, cut
+  FROM cuts JOIN counted h ON h.lang = cuts.lang AND h.phrase = head JOIN counted t ON t.lang = cuts.lang AND t.phrase = rest
+), weakest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest WHERE place = 1
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+)
+@query
+def op12_phrase_collocations(spark, sf_dir):
+    return collocation.collocations(collocation.count_phrases(table(spark, sf_dir, "documents")))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
