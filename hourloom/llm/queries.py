@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hourloom.llm import chat, collocation, decontaminate, lattice, near_dup, pii, quality, repair, subword, topk, toxicity, url_filter
+from hourloom.llm import chat, collocation, decontaminate, language, lattice, near_dup, pii, quality, repair, subword, topk, toxicity, url_filter
 from hourloom.llm.training import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,6 +310,13 @@ def op12_phrase_collocations(spark, sf_dir):
     return collocation.collocations(collocation.count_phrases(table(spark, sf_dir, "documents")))
 
 
+@query
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs, fold("doc_id", 5) != 0))
+    return found.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
