@@ -238,7 +238,10 @@ def keep_one_per_group(docs: DataFrame, similarity: float = SIMILARITY, doc_id:
     A row is known by its id and a hash of all its columns, so rows that repeat an id with another text are rows of their
     own, and rows without an id take part (after those with one). Rows equal in all columns are one row.
     """
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    kept = copies.least_rows(rows, [doc_id, "__row"], text, similarity).select(F.col(doc_id).alias("__kept"), F.col("__row").alias("__kept_row"))
-    same = rows[doc_id].eqNullSafe(kept["__kept"]) & (rows["__row"] == kept["__kept_row"])
-    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, "__row"]).select(*docs.columns)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = docs.withColumn(row, F.xxhash64(*docs.columns))
+    kept = copies.least_rows(rows, [doc_id, row], text, similarity).select(F.col(doc_id).alias("__kept"), F.col(row).alias("__kept_row"))
+    same = rows[doc_id].eqNullSafe(kept["__kept"]) & (rows[row] == kept["__kept_row"])
+    return rows.join(kept, same, "left_semi").dropDuplicates([doc_id, row]).select(*docs.columns)

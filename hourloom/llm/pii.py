@@ -161,7 +161,7 @@ def train(docs: DataFrame, config: PiiConfig = PiiConfig(), doc_id: str = "doc_i
     """Tagger from a sample in hash order of the documents that hold a digit or an `@`."""
     source = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("t"))
     source = source.where((F.octet_length("t") <= config.max_bytes) & F.col("t").rlike("[0-9@]"))
-    rows = first_by_hash(source, "id", config.documents, source.count()).withColumn("order", F.xxhash64("id"))
+    rows = first_by_hash(source, config.documents).withColumn("order", F.xxhash64("id", "t"))
 
     def fit_rows(held: list[dict]) -> Tagger | None:
         held.sort(key=lambda r: (r["order"], r["id"] or "", r["t"]))

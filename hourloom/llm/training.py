@@ -45,15 +45,17 @@ def fold(doc_id: str, folds: int):
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
-def first_by_hash(rows: DataFrame, key: str, k: int, total: int) -> DataFrame:
-    """The `k` rows with the least hash of `key`, of `total` rows.
+def first_by_hash(rows: DataFrame, k: int) -> DataFrame:
+    """The `k` rows (all, if fewer) with the least hash of all their columns, whatever ids are null or repeated.
 
-    Only hashes low enough to hold about twice `k` rows are sorted, so that no task passes on rows of every other.
+    Only rows under the least bound that leaves `k` of them are sorted, so that no task passes on rows of every other.
+    The bounds are halves, quarters and so on of all hashes, counted in one pass.
     """
-    order = F.xxhash64(key)
-    if total > 2 * k:
-        rows = rows.where(order <= F.lit(-(1 << 63) + (1 << 64) * 2 * k // total))
-    return rows.orderBy(order, key).limit(k)
+    order = F.xxhash64(*rows.columns)
+    bounds = [-(1 << 63) + (1 << (64 - half)) - 1 for half in range(49)]
+    counts = rows.select(order.alias("h")).agg(*[F.count_if(F.col("h") <= F.lit(b)).alias(f"n{i}") for i, b in enumerate(bounds)]).first()
+    bound = min((b for b, n in zip(bounds, counts) if n >= k), default=bounds[0])
+    return rows.where(order <= F.lit(bound)).orderBy(order, *rows.columns).limit(k)
 
 
 def fit_in_one_task(rows: DataFrame, fit: Callable[[list[dict]], Any]) -> Any:
@@ -84,7 +86,7 @@ def fit_on_labels(
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     chosen = None
     for c in (0, 1):
-        part = first_by_hash(marked.where(F.col("class") == c).distinct(), "id", bound.per_class, totals.get(c, 0))
+        part = first_by_hash(marked.where(F.col("class") == c).distinct(), bound.per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     source = docs.select(
         F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("t"), (F.col(lang) if lang in docs.columns else F.lit(None).cast("string")).alias("l")

@@ -90,6 +90,6 @@ def split_words(column: pa.Array) -> Words:
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the `size` words from each position on; positions near the end run into what follows."""
     out = np.zeros(len(words), dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         out[: len(words) - k] += words[k:] * np.uint64(pow(_BASE, k + 1, 1 << 64))
     return mixed(out)

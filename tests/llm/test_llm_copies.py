@@ -72,3 +72,50 @@ def test_rows_of_a_repeated_id_are_rows_of_their_own(spark):
     docs = documents(spark, [t for _, t in rows], ids=[i for i, _ in rows], clash=True)
     kept = [(r["doc_id"], (r["text"] or "").lower()) for r in near_dup.keep_one_per_group(docs).collect()]
     assert sorted(kept, key=str) == sorted([(3, a), (5, b), (None, c), (4, "")], key=str)
+
+
+def template_texts(number, common=60, own=18):
+    rng = random.Random(8)
+    frame = [f"frame{i}" for i in range(common)]
+    return [" ".join(frame[:40] + [f"own{n}x{rng.randrange(1 << 30)}" for _ in range(own)] + frame[40:]) for n in range(number)]
+
+
+def test_texts_on_one_template_are_not_compared(spark, monkeypatch):
+    """1,600 rows that share 60 of 78 words, none a near copy: the pairs that are compared stay linear."""
+    compared, real = [], copies.similar_pairs
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return real(pairs, sets, similarity)
+
+    monkeypatch.setattr(copies, "similar_pairs", counted)
+    texts = template_texts(1600)
+    assert len(kept_ids(spark, texts)) == 1600
+    assert sum(compared) < 20 * 1600
+
+
+@pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
+def test_prefixes_of_similar_sets_meet(similarity):
+    """Sets at least that similar share a prefix key that the size and place bounds let pass, whatever the sketch says."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        base = rng.integers(0, 1 << 62, rng.integers(1, 60), dtype=np.uint64)
+        pair = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 62, rng.integers(0, 4), dtype=np.uint64)])) for _ in range(2)]
+        if not all(map(len, pair)) or copies.jaccard(*pair) < similarity:
+            continue
+        sketch = rng.integers(0, 5, 64).astype(np.uint16)
+        x, y = (copies.prefix_keys(s, sketch, similarity).tolist() for s in pair)
+        n, m = map(len, pair)
+        least = similarity / (1 + similarity) * (n + m) - 1e-6
+        meeting = [k for k in x if k in y]
+        places = [(x.index(k), y.index(k)) for k in meeting]
+        assert min(n, m) >= similarity * max(n, m) - 1e-9
+        assert meeting and all(min(i, j) + min(n - i, m - j) >= least for i, j in places)
+
+
+def test_clashing_row_column_is_kept(spark):
+    docs = documents(spark, ["same text here", "SAME text here", "other"]).selectExpr("*", "doc_id * 10 as __row", "'x' as __row_")
+    kept = near_dup.keep_one_per_group(docs)
+    assert sorted((r["doc_id"], r["__row"], r["__row_"]) for r in kept.collect()) == [(0, 0, "x"), (2, 20, "x")]

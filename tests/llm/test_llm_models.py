@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from llm_helpers import ODD_TEXTS, documents
 
-from hourloom.llm import quality, toxicity
+from hourloom.llm import quality, toxicity, training
 from hourloom.llm.training import Sample, calibrate, class_weights, sigmoid
 
 STEMS = ["vexo", "grumb", "zotra", "klimp"]
@@ -107,8 +107,7 @@ def test_the_first_rows_by_hash(spark):
     rows = spark.range(5000).withColumnRenamed("id", "key")
     for k in (1, 100, 4000, 9000):
         want = {r["key"] for r in rows.orderBy(F.xxhash64("key"), "key").limit(k).collect()}
-        got = {r["key"] for r in first_by_hash(rows, "key", k, 5000).collect()}
-        assert got <= want and (k < 100 or got == want)
+        assert {r["key"] for r in first_by_hash(rows, k).collect()} == want
 
 
 def test_thresholds_do_not_follow_the_cap():
@@ -123,3 +122,16 @@ def test_thresholds_do_not_follow_the_cap():
 
     assert threshold(1, share) == threshold(2, share) == threshold(8, share)
     assert threshold(1, 0.5) < threshold(1, share) - 0.05
+
+
+@pytest.mark.parametrize("ids", [[None] * 3000, [1] * 3000, list(range(3000)), list(range(900)), [5] * 40])
+def test_sample_has_its_size_whatever_the_ids(spark, ids):
+    rows = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "id bigint, t string").repartition(3)
+    got = [tuple(r) for r in training.first_by_hash(rows, 600).collect()]
+    assert len(got) == len(set(got)) == min(600, len(ids))
+    assert sorted(got, key=str) == sorted((tuple(r) for r in training.first_by_hash(rows.repartition(2), 600).collect()), key=str)
+
+
+def test_sample_of_equal_rows_has_its_size(spark):
+    rows = spark.range(5000).selectExpr("1 as id", "'same' as t")
+    assert training.first_by_hash(rows, 600).count() == 600
