@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: dict[str, str] = {}  # scratch folder by application, in local mode
+_WRITTEN: dict[str, list[str]] = {}  # tables written by application
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Session for tests and the benchmark; a cluster brings its own."""
@@ -26,19 +29,33 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for written tables: `spark.checkpoint.dir`, or a scratch folder in local mode."""
+    """Shared folder for written tables: `spark.checkpoint.dir`, or one scratch folder per application in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    scratch = tempfile.mkdtemp(prefix="hourloom-")
-    spark.conf.set("spark.checkpoint.dir", scratch)
-    return scratch
+    if context.applicationId not in _SCRATCH:
+        _SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="hourloom-")
+    return _SCRATCH[context.applicationId]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete the tables that this application wrote under `work_dir`, once no result needs them; says how many."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        dropped += place.getFileSystem(conf).delete(place, True)
+    return dropped
 
 
 def gathered(held: DataFrame, partitions: int | None) -> DataFrame:
