@@ -5,8 +5,6 @@ import subprocess
 import sys
 from pathlib import Path
 
-from hourloom.session import drop_written, materialize, work_dir
-
 ROOT = Path(__file__).resolve().parents[1]
 
 QUICK_START = """
@@ -15,14 +13,14 @@ from hourloom.session import build_session, drop_written, work_dir
 from hourloom.sources.meter_text import read_meter_text
 from hourloom.plans import training
 from hourloom.operators import forecast
-from hourloom.config import ForestConfig
+from hourloom.config import ForestConfig, KMeansConfig, RunConfig
 
 folder = sys.argv[1]
 spark = build_session("local[2]", shuffle_partitions=2, memory="2g")
 spark.sparkContext.setLogLevel("ERROR")
 assert spark.conf.get("spark.checkpoint.dir", None) is None
 hourly, daily, profiles = training.prepare(read_meter_text(spark, folder + "/*.txt"))
-run = training.train_run(daily, profiles, forest=ForestConfig(trees=2, depth=3))
+run = training.train_run(daily, profiles, RunConfig(forest=ForestConfig(trees=2, depth=3), kmeans=KMeansConfig(restarts=1), clusters=2))
 assert training.run_report(run).count() > 0
 states = training.states_for(run.clean, run.daily)
 trees = forecast.forest_arrays(spark, run.model)
@@ -51,11 +49,3 @@ def test_quick_start_runs_without_a_preset_folder(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path / "conf"), "PYTHONPATH": str(ROOT), "TMPDIR": str(tmp_path)}
     run = subprocess.run([sys.executable, "-c", QUICK_START, str(tmp_path)], env=env, capture_output=True, text=True, timeout=600)
     assert "quick start done" in run.stdout, run.stderr[-3000:]
-
-
-def test_written_tables_can_be_dropped(spark):
-    kept = materialize(spark.range(5), "kept")
-    path = Path(kept.inputFiles()[0].removeprefix("file://")).parent
-    assert kept.count() == 5 and path.is_dir() and str(path).startswith(work_dir(spark))
-    assert drop_written(spark) > 0 and not path.exists()
-    assert drop_written(spark) == 0
