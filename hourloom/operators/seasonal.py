@@ -2,9 +2,12 @@
 
 A series travels as one row holding its value for every date from its first to its last, null where a date is
 missing, so that seven values are a week. The order grid multiplies rows; fits of one order that arrive in a
-batch run together as (time, series, candidate) arrays. A fit minimises the squared one-step errors of
-(p,d,q)x(1,0,1,7), conditional on the first rows; undifferenced orders have a mean. Missing dates take the
-value of the week before and have no error of their own.
+batch run together as (time, series, candidate) arrays. A fit of (p,d,q)x(1,0,1,7) starts at the least squared
+one-step errors (conditional on the first rows, missing dates taking the value of the week before) and from there
+climbs the exact likelihood of the known days (see `seasonal_likelihood`); undifferenced orders have a mean. All orders
+are judged on the same days, all known ones but the first.
+
+Every series has a row in what this module returns: one that has no model keeps the reason.
 """
 
 from __future__ import annotations
@@ -20,14 +23,17 @@ from hourloom.config import DATE, SERIES, TARGET, SeasonalConfig
 from hourloom.functions.vectors import ordered_values
 from hourloom.operators.features import on_every_date
 from hourloom.operators.model import regression_metrics, time_split
+from hourloom.operators.seasonal_likelihood import Filtered, Lanes, forecast_paths, kalman
+from hourloom.session import materialize
 
 # Series that are fitted as one set of arrays.
 TOGETHER = 64
 
 FIT_SCHEMA = (
-    "aic double, sigma double, intercept double, ar array<double>, ma array<double>, "
-    "tail array<double>, shocks array<double>, levels array<double>, reason string"
+    "aic double, loglik double, known_days int, sigma double, intercept double, mean double, "
+    "ar array<double>, ma array<double>, state array<double>, reason string"
 )
+FIT_NAMES = ["aic", "loglik", "known_days", "sigma", "intercept", "mean", "ar", "ma", "state", "reason"]
 
 
 def series_rows(daily: DataFrame, target: str = TARGET) -> DataFrame:
@@ -76,59 +82,35 @@ def _explosive(params: np.ndarray, p: int) -> bool:
     return bool(abs(params[p]) > 1.0 or np.abs(np.roots([1.0, *-params[:p]])).max(initial=0.0) > 1.0)
 
 
-def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int, rounds: int = 15) -> list[dict]:
-    """Damped least squares on the one-step errors of many series; AIC on the rows that every order can score."""
-    out: list[dict] = [{"reason": "too short"} for _ in series]
-    free = p + q + 2 + (0 if d else 1)
-    own, ready = [], []
-    for i, values in enumerate(series):
-        w, known = _filled(values, period)
-        levels = []
-        for _ in range(d):
-            levels.append(float(w[-1]) if len(w) else 0.0)
-            w, known = np.diff(w), known[1:] & known[:-1]
-        if len(w) >= common + 2 * period + 2 * free and known[common - d :].sum() > 2 * free:
-            own.append(i)
-            ready.append((w, known, levels))
-    if not own:
-        return out
-    steps = period + q + max(len(w) for w, _, _ in ready)  # a margin, so that every lag has a row
-    values, scored, counted = np.zeros((steps, len(own))), np.zeros((steps, len(own)), bool), np.zeros((steps, len(own)), bool)
-    for k, (w, known, _) in enumerate(ready):
-        low = steps - len(w)
-        values[low:, k] = w
-        scored[low + p + period :, k] = known[p + period :]
-        counted[low + common - d :, k] = known[common - d :]
-    counted &= scored
-    mean = np.array([w.mean() if d == 0 else 0.0 for w, _, _ in ready])
-    params = np.tile([*[0.1] * p, 0.9, *[-0.1] * q, -0.7, 0.0], (len(own), 1))
-    params[:, -1] = mean
-    scale = np.ones_like(params)
-    scale[:, -1] = [max(float(w.std()), 1e-6) for w, _, _ in ready]
+def _descend(residuals, params: np.ndarray, free: int, scale: np.ndarray, p: int, rounds: int) -> np.ndarray:
+    """Damped least squares from `params` (series, parameter), all series side by side; gives the sums that are left.
+
+    `residuals(at, candidates)` gives (time, series, candidate) for the series `at`; `params` is changed in place.
+    """
 
-    def cost(errors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def cost(errors: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore", invalid="ignore"):
-            return np.nan_to_num((errors**2 * counted[:, at, None]).sum(axis=0), nan=np.inf)
+            return np.nan_to_num((errors**2).sum(axis=0), nan=np.inf)
 
-    errors = _shocks(values, scored, params[:, None, :], p, q, period)[:, :, 0]
-    best, live = cost(errors[:, :, None], np.arange(len(own)))[:, 0], np.ones(len(own), bool)
+    everyone = np.arange(len(params))
+    errors = residuals(everyone, params[:, None, :])[:, :, 0]
+    best, live = cost(errors), np.ones(len(params), bool)
     for _ in range(rounds):
-        at = np.flatnonzero(live)
+        at = np.flatnonzero(live & np.isfinite(best))
         if not len(at):
             break
         nudges = np.eye(params.shape[1])[:free] * scale[at][:, None, :] * 1e-5
-        nudged = _shocks(values[:, at], scored[:, at], params[at][:, None, :] + nudges, p, q, period)
-        slopes = (nudged - errors[:, at, None]) * counted[:, at, None] / (scale[at][:, :free] * 1e-5)
+        slopes = (residuals(at, params[at][:, None, :] + nudges) - errors[:, at, None]) / (scale[at][:, :free] * 1e-5)
         slopes = np.nan_to_num(slopes, nan=0.0, posinf=0.0, neginf=0.0)
         normal = np.einsum("tsf,tsg->sfg", slopes, slopes)
-        pull = np.einsum("tsf,ts->sf", slopes, errors[:, at] * counted[:, at])
+        pull = np.einsum("tsf,ts->sf", slopes, errors[:, at])
         trials = np.repeat(params[at][:, None, :], 4, axis=1)
         ridge = np.einsum("sff->sf", normal) + 1e-9
         for k, damping in enumerate((1e-6, 1e-2, 1.0, 100.0)):
             trials[:, k, :free] -= np.linalg.solve(normal + damping * ridge[:, :, None] * np.eye(free), pull[:, :, None])[:, :, 0]
-        tried = _shocks(values[:, at], scored[:, at], trials, p, q, period)
+        tried = residuals(at, trials)
         barred = np.array([[_explosive(t, p) for t in row] for row in trials])
-        costs = np.where(barred, np.inf, cost(tried, at))
+        costs = np.where(barred, np.inf, cost(tried))
         winner = costs.argmin(axis=1)
         better = costs[np.arange(len(at)), winner] < best[at] * (1 - 1e-5)
         moved = at[better]
@@ -136,41 +118,122 @@ def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int
         errors[:, moved] = tried[:, better, winner[better]]
         best[moved] = costs[better, winner[better]]
         live[at[~better]] = False
+    return best
+
+
+def _stationary(params: np.ndarray, p: int, least: float = 0.995) -> None:
+    """Pull parameters (series, parameter) inside the region that has an exact likelihood, in place."""
+    params[:, p] = np.clip(params[:, p], -least, least)
+    for row in params:
+        reach = np.abs(np.roots([1.0, *-row[:p]])).max(initial=0.0)
+        if reach > least:
+            row[:p] *= (least / reach) ** np.arange(1, p + 1)
+
+
+def _by_lag(params: np.ndarray, p: int, q: int, period: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lag, lane) weights for `params` (lane, parameter)."""
     ar_lags, ar, ma_lags, ma = _coefficients(params, p, q, period)
-    for k, (w, _, levels) in enumerate(ready):
-        by_lag = np.zeros(p + period), np.zeros(q + period)
-        np.add.at(by_lag[0], np.array(ar_lags) - 1, ar[k])
-        np.add.at(by_lag[1], np.array(ma_lags) - 1, ma[k])
-        n = int(counted[:, k].sum())
-        variance = max(float(best[k]) / n, 1e-12)
-        out[own[k]] = {
-            "aic": n * np.log(variance) + 2 * (free + 1),
-            "sigma": float(np.sqrt(variance)),
-            "intercept": float(params[k, -1] * (1 - by_lag[0].sum())),
-            "ar": by_lag[0].tolist(),
-            "ma": by_lag[1].tolist(),
-            "tail": w[-len(by_lag[0]) :].tolist(),
-            "shocks": errors[-len(by_lag[1]) :, k].tolist(),
-            "levels": levels,
+    dense = np.zeros((p + period, len(params))), np.zeros((q + period, len(params)))
+    np.add.at(dense[0], np.array(ar_lags) - 1, ar.T)
+    np.add.at(dense[1], np.array(ma_lags) - 1, ma.T)
+    return dense
+
+
+class Exact:
+    """Known days of several series, from the first known one on, ready to be filtered under any parameters."""
+
+    def __init__(self, series: Sequence[Sequence[float | None]], d: int):
+        self.d = d
+        known = [np.array([np.nan if v is None else v for v in values], dtype=float) for values in series]
+        known = [y[np.flatnonzero(~np.isnan(y))[0] :] for y in known]
+        self.lengths = np.array([len(y) for y in known])
+        self.y = np.full((self.lengths.max(), len(known)), np.nan)
+        for k, y in enumerate(known):
+            self.y[: len(y), k] = y
+        # A differenced series is filtered from its first value on, for the sake of small numbers.
+        self.level = self.y[0] if d else np.zeros(len(known))
+
+    def filtered(self, at: np.ndarray, candidates: np.ndarray, p: int, q: int, period: int) -> Filtered:
+        """Lanes (series, candidate) in that order."""
+        count = candidates.shape[1]
+        flat = candidates.reshape(-1, candidates.shape[2])
+        centre = np.repeat(self.level[at], count) if self.d else flat[:, -1]
+        y = np.repeat(self.y[:, at], count, axis=1) - centre
+        return kalman(y, np.repeat(self.lengths[at], count), Lanes(*_by_lag(flat, p, q, period), self.d))
+
+
+def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int, rounds: int = 15, exact_rounds: int = 4) -> list[dict]:
+    """Fits of many series: least squares from afar, then the exact likelihood."""
+    out: list[dict] = [{"reason": "too short"} for _ in series]
+    free = p + q + 2 + (0 if d else 1)
+    own, ready = [], []
+    for i, values in enumerate(series):
+        w, known = _filled(values, period)
+        for _ in range(d):
+            w, known = np.diff(w), known[1:] & known[:-1]
+        if len(w) >= common + 2 * period + 2 * free and known[common - d :].sum() > 2 * free:
+            own.append(i)
+            ready.append((w, known))
+    if not own:
+        return out
+    steps = period + q + max(len(w) for w, _ in ready)  # a margin, so that every lag has a row
+    values, scored, counted = np.zeros((steps, len(own))), np.zeros((steps, len(own)), bool), np.zeros((steps, len(own)), bool)
+    for k, (w, known) in enumerate(ready):
+        low = steps - len(w)
+        values[low:, k] = w
+        scored[low + p + period :, k] = known[p + period :]
+        counted[low + common - d :, k] = known[common - d :]
+    counted &= scored
+    params = np.tile([*[0.1] * p, 0.9, *[-0.1] * q, -0.7, 0.0], (len(own), 1))
+    params[:, -1] = [w.mean() if d == 0 else 0.0 for w, _ in ready]
+    scale = np.ones_like(params)
+    scale[:, -1] = [max(float(w.std()), 1e-6) for w, _ in ready]
+    _descend(lambda at, tried: _shocks(values[:, at], scored[:, at], tried, p, q, period) * counted[:, at, None], params, free, scale, p, rounds)
+    _stationary(params, p)
+    exact = Exact([series[i] for i in own], d)
+
+    def residuals(at: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        return exact.filtered(at, tried, p, q, period).residuals().reshape(-1, len(at), tried.shape[1])
+
+    _descend(residuals, params, free, scale, p, exact_rounds)
+    found = exact.filtered(np.arange(len(own)), params[:, None, :], p, q, period)
+    loglik, variance = found.log_likelihood()
+    ar, ma = _by_lag(params, p, q, period)
+    for k, i in enumerate(own):
+        if not np.isfinite(loglik[k]):
+            out[i] = {"reason": "no likelihood"}
+            continue
+        state = found.state[:, k].copy()
+        state[0] += exact.level[k] if d else 0.0
+        out[i] = {
+            "aic": float(2 * (free + 1) - 2 * loglik[k]),
+            "loglik": float(loglik[k]),
+            "known_days": int(found.counted()[:, k].sum()),
+            "sigma": float(np.sqrt(max(variance[k], 1e-12))),
+            "intercept": float(params[k, -1] * (1 - ar[:, k].sum())),
+            "mean": float(params[k, -1]),
+            "ar": ar[:, k].tolist(),
+            "ma": ma[:, k].tolist(),
+            "state": state.tolist(),
             "reason": None,
         }
     return out
 
 
-def _continue(fit: dict, steps: int) -> list[float]:
-    """Forecasts with future shocks at zero, integrated back to the level of the series."""
-    w, e = list(fit["tail"]), list(fit["shocks"])
-    out = []
-    for _ in range(steps):
-        ar = sum(c * w[-k] for k, c in enumerate(fit["ar"], 1) if c)
-        ma = sum(c * e[-k] for k, c in enumerate(fit["ma"], 1) if c)
-        w.append(fit["intercept"] + ar + ma)
-        e.append(0.0)
-        out.append(w[-1])
-    path = np.array(out)
-    for level in reversed(list(fit["levels"])):
-        path = level + np.cumsum(path)
-    return path.tolist()
+def _paths(d: list[int], means: list[float], ar: list, states: list, horizons: list[int]) -> list[list[float]]:
+    """Forecasts of many series, those with equally many states side by side."""
+    out: list = [None] * len(states)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, state in enumerate(states):
+        kinds.setdefault((int(d[i]), len(state)), []).append(i)
+    for (order, size), own in kinds.items():
+        phi = np.zeros((size - order, len(own)))
+        for k, i in enumerate(own):
+            phi[: len(ar[i]), k] = ar[i]
+        paths = forecast_paths(np.array([states[i] for i in own]).T, phi, order, max(horizons[i] for i in own))
+        for k, i in enumerate(own):
+            out[i] = (paths[: horizons[i], k] + means[i]).tolist()
+    return out
 
 
 def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period: int = 7) -> DataFrame:
@@ -195,8 +258,7 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
                     found = [{"reason": str(error)}] * len(own)
                 for i, one in zip(own, found):
                     fits[i] = one
-        names = ["aic", "sigma", "intercept", "ar", "ma", "tail", "shocks", "levels", "reason"]
-        return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in names})
+        return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in FIT_NAMES})
 
     # spread by order and, within an order, by series: the rows are few but each is a long computation
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -217,69 +279,81 @@ def best_orders(fits: DataFrame) -> DataFrame:
 def fit_seasonal(
     daily: DataFrame, target: str = TARGET, auto: bool = True, config: SeasonalConfig = SeasonalConfig()
 ) -> DataFrame:
-    """One fitted model row per series; `auto` searches the order grid, else the default order is used."""
+    """One row per series; `auto` searches the order grid, else the default order is used.
+
+    A series without a model has a `reason`: that of its fits, or that none of its days has a value.
+    """
     orders = config.orders() if auto else [config.default_order]
-    return best_orders(fit_orders(series_rows(daily, target), orders, config.period))
+    fits = materialize(fit_orders(series_rows(daily, target), orders, config.period), "seasonal_fits")
+    best = best_orders(fits)
+    failed = fits.groupBy(SERIES).agg(F.count("aic").alias("_n"), F.max("last_date").alias("last_date"), F.min("reason").alias("reason"))
+    failed = failed.where("_n = 0").drop("_n")
+    unknown = daily.groupBy(SERIES).agg(F.count(target).alias("_n")).where("_n = 0").select(SERIES, F.lit("no known value").alias("reason"))
+    return best.unionByName(failed, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True)
 
 
 def seasonal_forecast(models: DataFrame, days: int | None = None) -> DataFrame:
-    """Forecasts for `days` days, or for the `horizon` column of each model row; a horizon under 1 has no days."""
+    """Forecasts for `days` days, or for the `horizon` column of each model row.
+
+    A horizon under 1 has no days; a series without a model has one row without a date, whose status is the reason.
+    """
     steps = models if days is None else models.withColumn("horizon", F.lit(days))
-    steps = steps.where(F.col("horizon") >= 1)
 
     @F.pandas_udf("array<double>")
-    def path(
-        horizon: pd.Series,
-        intercept: pd.Series,
-        ar: pd.Series,
-        ma: pd.Series,
-        tail: pd.Series,
-        shocks: pd.Series,
-        levels: pd.Series,
-    ) -> pd.Series:
-        names = ["intercept", "ar", "ma", "tail", "shocks", "levels"]
-        rows = zip(horizon, zip(intercept, ar, ma, tail, shocks, levels))
-        return pd.Series([_continue(dict(zip(names, fit)), int(h)) for h, fit in rows])
-
-    values = path("horizon", "intercept", "ar", "ma", "tail", "shocks", "levels")
-    return (
-        steps.withColumn("_path", values)
+    def path(horizon: pd.Series, d: pd.Series, mean: pd.Series, ar: pd.Series, state: pd.Series) -> pd.Series:
+        return pd.Series(_paths(d.tolist(), mean.tolist(), ar.tolist(), state.tolist(), [int(h) for h in horizon]))
+
+    values = path("horizon", "d", "mean", "ar", "state")
+    ahead = F.col("_i") + 1
+    found = (
+        steps.where("reason is null and horizon >= 1")
+        .withColumn("_path", values)
         .select(SERIES, "last_date", F.posexplode("_path").alias("_i", "prediction"))
-        .select(
-            SERIES,
-            F.date_add("last_date", F.col("_i") + 1).alias(DATE),
-            (F.col("_i") + 1).alias("days_ahead"),
-            "prediction",
-            F.lit("seasonal_arima").alias("method"),
-        )
+        .select(SERIES, F.date_add("last_date", ahead).alias(DATE), ahead.alias("days_ahead"), "prediction", F.lit("seasonal_arima").alias("method"), F.lit("ok").alias("status"))
     )
+    lost = steps.where("reason is not null").select(SERIES, F.lit("seasonal_arima").alias("method"), F.col("reason").alias("status"))
+    return found.unionByName(lost, allowMissingColumns=True)
 
 
 def seasonal_range(models: DataFrame, ranges: DataFrame) -> DataFrame:
     """Forecasts inside (series_id, start_date, end_date); an end in the past means the next 30 days.
 
-    A series is simulated once, to its furthest end; ranges meet it on series and date.
+    A series is simulated once, to its furthest end; ranges meet it on series and date. A range that cannot be answered has
+    one row without a date, whose status says why: unknown series, the series' reason, or an empty range.
     """
-    dated = ranges.join(models.select(SERIES, "last_date"), SERIES)
+    known = models.select(F.col(SERIES).alias("_s"), "last_date", "reason", F.lit(True).alias("_found"))
+    dated = ranges.join(known, F.col(SERIES).eqNullSafe(F.col("_s")), "left").drop("_s")
     past = F.col("end_date") <= F.col("last_date")
     dated = dated.withColumn("end_date", F.when(past, F.date_add("last_date", 30)).otherwise(F.col("end_date")))
-    until = dated.groupBy(SERIES).agg(F.max(F.datediff("end_date", "last_date")).alias("horizon"))
-    days = seasonal_forecast(models.join(until, SERIES))
     first = F.greatest(F.col("start_date"), F.date_add("last_date", 1))
-    wanted = dated.where(first <= F.col("end_date")).withColumn(DATE, F.explode(F.sequence(first, F.col("end_date"))))
-    return wanted.drop("last_date").join(days, [SERIES, DATE])
+    status = F.when(F.col("_found").isNull(), "unknown series").when(F.col("reason").isNotNull(), F.col("reason"))
+    dated = dated.withColumn("status", status.when(F.coalesce(first > F.col("end_date"), F.lit(True)) | F.col("start_date").isNull(), "empty range").otherwise("ok"))
+    answered = dated.where("status = 'ok'")
+    until = answered.groupBy(SERIES).agg(F.max(F.datediff("end_date", "last_date")).alias("horizon"))
+    days = seasonal_forecast(models.where("reason is null").join(until, SERIES)).drop("status")
+    wanted = answered.withColumn(DATE, F.explode(F.sequence(first, F.col("end_date")))).drop("last_date", "reason", "_found")
+    lost = dated.where("status <> 'ok'").drop("last_date", "reason", "_found").withColumn("method", F.lit("seasonal_arima"))
+    return wanted.join(days, [SERIES, DATE]).unionByName(lost, allowMissingColumns=True)
 
 
 def seasonal_holdout(models: DataFrame, test: DataFrame, target: str = TARGET) -> DataFrame:
-    """Forecast and actual of every test day, joined on date."""
+    """Forecast and actual of every test day, joined on date; days of a series without a model have no forecast and its reason as status."""
     ends = test.groupBy(SERIES).agg(F.max(DATE).alias("_end"))
     steps = models.join(ends, SERIES).withColumn("horizon", F.datediff("_end", "last_date"))
-    forecast = seasonal_forecast(steps.drop("_end")).select(SERIES, DATE, "prediction")
-    return test.select(SERIES, DATE, target).join(forecast, [SERIES, DATE])
+    forecast = seasonal_forecast(steps.where("reason is null").drop("_end")).select(SERIES, DATE, "prediction")
+    reasons = models.select(SERIES, F.coalesce("reason", F.lit("ok")).alias("status"))
+    held = test.select(SERIES, DATE, target).join(forecast, [SERIES, DATE], "left").join(reasons, SERIES, "left")
+    return held.withColumn("status", F.coalesce("status", F.lit("unknown series")))
 
 
 def backtest(daily: DataFrame, target: str = TARGET, test_size: float = 0.2, auto: bool = True) -> DataFrame:
-    """Fit on the first part of every series, score the rest."""
-    split = time_split(daily.select(SERIES, DATE, target), test_size)
-    models = fit_seasonal(split.where(F.col("split") == "train"), target, auto)
-    return regression_metrics(seasonal_holdout(models, split.where(F.col("split") == "test"), target), target)
+    """Fit on the first part of every series, score the rest; a series that cannot be scored keeps a row with its reason."""
+    split = materialize(time_split(daily.select(SERIES, DATE, target), test_size), "split")
+    train_rows, test = split.where(F.col("split") == "train"), split.where(F.col("split") == "test")
+    models = fit_seasonal(train_rows, target, auto)
+    scores = regression_metrics(seasonal_holdout(models, test, target), target)
+    reasons = split.select(SERIES).distinct().join(models.select(SERIES, "reason"), SERIES, "left")
+    reasons = reasons.select(F.col(SERIES).alias("_s"), "reason")
+    joined = reasons.join(scores, F.col("_s").eqNullSafe(F.col(SERIES)), "left").withColumn(SERIES, F.col("_s"))
+    status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("n").isNull(), "nothing to score").otherwise("ok")
+    return joined.withColumn("status", status).drop("_s", "reason")
