@@ -16,7 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import DATE, SERIES, TARGET, SeasonalConfig
@@ -28,6 +28,9 @@ from hourloom.session import materialize
 
 # Series that are fitted as one set of arrays.
 TOGETHER = 64
+# Orders of a series that climb the exact likelihood, and in how many steps at most.
+REFINED = 3
+EXACT_ROUNDS = 4
 
 FIT_SCHEMA = (
     "aic double, loglik double, known_days int, sigma double, intercept double, mean double, "
@@ -162,7 +165,7 @@ class Exact:
         return kalman(y, np.repeat(self.lengths[at], count), Lanes(*_by_lag(flat, p, q, period), self.d))
 
 
-def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int, rounds: int = 15, exact_rounds: int = 4) -> list[dict]:
+def _fit_together(series: list, p: int, d: int, q: int, period: int, common: int, rounds: int = 15, exact_rounds: int = EXACT_ROUNDS) -> list[dict]:
     """Fits of many series: least squares from afar, then the exact likelihood."""
     out: list[dict] = [{"reason": "too short"} for _ in series]
     free = p + q + 2 + (0 if d else 1)
@@ -236,10 +239,18 @@ def _paths(d: list[int], means: list[float], ar: list, states: list, horizons: l
     return out
 
 
-def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period: int = 7) -> DataFrame:
-    """Fit every order on every series row; a failed fit keeps a null AIC and the reason."""
+def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period: int = 7, exact_rounds: int = 0) -> DataFrame:
+    """Fit every order on every series row; a failed fit keeps a null AIC and the reason.
+
+    Least squares give the parameters, and up to `exact_rounds` steps improve their exact likelihood; the AIC is exact.
+    """
     grid = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d).alias("d"), F.lit(q).alias("q")) for p, d, q in orders])
     jobs = rows.select("*", F.explode(grid).alias("_o")).select(SERIES, "last_date", "y", "_o.*")
+    return _fit_jobs(jobs, orders, period, exact_rounds)
+
+
+def _fit_jobs(jobs: DataFrame, orders: Sequence[tuple[int, int, int]], period: int, exact_rounds: int) -> DataFrame:
+    """One fit per row of (series, last_date, y, p, d, q), whose orders are among `orders`."""
     reach = period + max(max(p, q) for p, _, q in orders)
     widest = max(d for _, d, _ in orders)
 
@@ -253,7 +264,7 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
             for low in range(0, len(places), TOGETHER):
                 own = places[low : low + TOGETHER]
                 try:
-                    found = _fit_together([y.iloc[i] for i in own], *order, period, reach + widest)
+                    found = _fit_together([y.iloc[i] for i in own], *order, period, reach + widest, exact_rounds=exact_rounds)
                 except np.linalg.LinAlgError as error:
                     found = [{"reason": str(error)}] * len(own)
                 for i, one in zip(own, found):
@@ -261,7 +272,7 @@ def fit_orders(rows: DataFrame, orders: Sequence[tuple[int, int, int]], period:
         return pd.DataFrame({name: pd.Series([fit.get(name) for fit in fits], dtype=object) for name in FIT_NAMES})
 
     # spread by order and, within an order, by series: the rows are few but each is a long computation
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(jobs.sparkSession.sparkContext.defaultParallelism, int(jobs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     groups = max(1, 4 * tasks // len(orders))
     spread = jobs.repartition(4 * tasks, "p", "d", "q", F.pmod(F.xxhash64(SERIES), F.lit(groups)))
     fitted = spread.withColumn("_fit", fit.asNondeterministic()("y", "p", "d", "q"))
@@ -281,11 +292,17 @@ def fit_seasonal(
 ) -> DataFrame:
     """One row per series; `auto` searches the order grid, else the default order is used.
 
-    A series without a model has a `reason`: that of its fits, or that none of its days has a value.
+    The search is in two stages: least squares for the whole grid, judged by their exact AIC, then the `REFINED` best orders
+    of a series climb its exact likelihood. A series without a model has a `reason`: that of its fits, or that none of
+    its days has a value.
     """
     orders = config.orders() if auto else [config.default_order]
-    fits = materialize(fit_orders(series_rows(daily, target), orders, config.period), "seasonal_fits")
-    best = best_orders(fits)
+    rows = materialize(series_rows(daily, target), "series_rows")
+    fits = materialize(fit_orders(rows, orders, config.period), "seasonal_fits")
+    place = Window.partitionBy(SERIES).orderBy("aic", "p", "d", "q")
+    chosen = fits.where("aic is not null").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= REFINED)
+    jobs = rows.join(chosen.select(F.col(SERIES).alias("_s"), "p", "d", "q"), F.col(SERIES).eqNullSafe(F.col("_s")))
+    best = best_orders(_fit_jobs(jobs.select(SERIES, "last_date", "y", "p", "d", "q"), orders, config.period, EXACT_ROUNDS))
     failed = fits.groupBy(SERIES).agg(F.count("aic").alias("_n"), F.max("last_date").alias("last_date"), F.min("reason").alias("reason"))
     failed = failed.where("_n = 0").drop("_n")
     unknown = daily.groupBy(SERIES).agg(F.count(target).alias("_n")).where("_n = 0").select(SERIES, F.lit("no known value").alias("reason"))
