@@ -1,7 +1,8 @@
-"""Isolation forest over daily tables: one small forest per series.
+"""Isolation forest over daily tables: one small forest per series, grown from samples and scored row by row.
 
-A series has at most one row per calendar date here, which bounds the group a task sees; the fleet is
-spread over tasks by series.
+Each tree of a series takes the `sample_size` days with the least hashes under its own number, so a sample depends on the
+days alone, not on how they arrive. What meets in one task is a series' samples (trees x sample_size rows) or a block of
+its days; a series of any length is scored block by block.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.config import DATE, ISOLATION_FEATURES, SERIES, AnomalyConfig
 from hourloom.operators.clean import impute_mean
+from hourloom.session import materialize
+
+# Days of a series that are scored in one call.
+BLOCK = 4096
+_FOREST = "_k string, feature binary, cut binary, path binary, depth int, expected double"
 
 
 def _expected_depth(n: np.ndarray) -> np.ndarray:
@@ -26,19 +32,17 @@ def _expected_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _isolation_scores(x: np.ndarray, trees: int, sample_size: int, rng: np.random.Generator) -> np.ndarray:
-    """Negative anomaly score per row (lower is stranger); all trees grow together, level by level."""
-    n, width = x.shape
-    psi = min(sample_size, n)
+def grow_forest(values: np.ndarray, tree: np.ndarray, trees: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Node tables (tree, node): split feature (-1: leaf), cut, and path length of a leaf; and the depth.
+
+    The children of node i are 2i + 1 and 2i + 2. All trees grow together, level by level.
+    """
+    width = values.shape[1]
+    psi = int(np.bincount(tree, minlength=trees).max())
     depth = max(1, math.ceil(math.log2(max(psi, 2))))
-    picks = np.argsort(rng.random((trees, n)), axis=1)[:, :psi]
-    values = x[picks.ravel()]
-    tree = np.repeat(np.arange(trees), psi)
-    node = np.zeros(trees * psi, dtype=np.int64)
-    at = np.zeros((trees, n), dtype=np.int64)
-    path = np.zeros((trees, n))
-    open_rows = np.ones((trees, n), dtype=bool)
-    every_tree = np.arange(trees)[:, None]
+    nodes = (1 << (depth + 1)) - 1
+    feature, cut, path = np.full((trees, nodes), -1, dtype=np.int8), np.zeros((trees, nodes)), np.zeros((trees, nodes))
+    node = np.zeros(len(tree), dtype=np.int64)
     for level in range(depth + 1):
         slots = 1 << level
         key = tree * slots + node
@@ -51,20 +55,42 @@ def _isolation_scores(x: np.ndarray, trees: int, sample_size: int, rng: np.rando
         choices = spread.sum(axis=1)
         splits = (choices > 0) & (size > 1) & (level < depth)
         wanted = (rng.random(trees * slots) * np.maximum(choices, 1)).astype(int)
-        feature = np.argmax(np.cumsum(spread, axis=1) > wanted[:, None], axis=1)
+        chosen = np.argmax(np.cumsum(spread, axis=1) > wanted[:, None], axis=1)
         slot = np.arange(trees * slots)
         with np.errstate(invalid="ignore"):
-            cut = low[slot, feature] + rng.random(trees * slots) * (high[slot, feature] - low[slot, feature])
-        here = every_tree * slots + at
-        ended = open_rows & ~splits[here]
-        path[ended] = level + _expected_depth(size[here[ended]])
-        open_rows &= splits[here]
-        right = x[np.arange(n)[None, :], feature[here]] > cut[here]
-        at = 2 * at + right
+            place = low[slot, chosen] + rng.random(trees * slots) * (high[slot, chosen] - low[slot, chosen])
+        own = slice(slots - 1, 2 * slots - 1)
+        feature[:, own] = np.where(splits, chosen, -1).reshape(trees, slots)
+        cut[:, own] = np.where(splits, place, 0.0).reshape(trees, slots)
+        path[:, own] = (level + _expected_depth(size)).reshape(trees, slots)
         inside = splits[key]
         key, tree, node, values = key[inside], tree[inside], node[inside], values[inside]
-        node = 2 * node + (values[np.arange(len(values)), feature[key]] > cut[key])
-    return -np.power(2.0, -path.mean(axis=0) / max(float(_expected_depth(psi)), 1e-12))
+        node = 2 * node + (values[np.arange(len(values)), chosen[key]] > place[key])
+    return feature, cut, path, depth
+
+
+def forest_scores(x: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: np.ndarray, depth: int, expected: float) -> np.ndarray:
+    """Negative anomaly score per row of `x` (lower is stranger)."""
+    trees = np.arange(len(feature))[:, None]
+    node = np.zeros((len(feature), len(x)), dtype=np.int64)
+    for _ in range(depth):
+        split = feature[trees, node]
+        right = x[np.arange(len(x))[None, :], np.maximum(split, 0)] > cut[trees, node]
+        node = np.where(split >= 0, 2 * node + 1 + right, node)
+    return -np.power(2.0, -path[trees, node].mean(axis=0) / max(expected, 1e-12))
+
+
+def sampled_days(days: DataFrame, trees: int, sample_size: int, seed: int) -> DataFrame:
+    """(_k, tree, _x): of every series and tree the `sample_size` days with the least hashes.
+
+    Only hashes low enough to hold about twice as many days are looked at, so a long series is not multiplied by its trees.
+    """
+    h = F.xxhash64(F.lit(seed), F.col("tree"), F.col("_k"), F.col(DATE), F.col("_x"))
+    unit = h.cast("double") / F.lit(float(1 << 64)) + 0.5
+    drawn = days.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_h", h)
+    drawn = drawn.where(unit <= F.lit(2.0 * sample_size + 200) / F.col("_n"))
+    place = F.row_number().over(Window.partitionBy("_k", "tree").orderBy("_h", DATE, "_x"))
+    return drawn.withColumn("_place", place).where(F.col("_place") <= sample_size).select("_k", "tree", "_x")
 
 
 def isolation_flags(
@@ -72,35 +98,51 @@ def isolation_flags(
     features: Sequence[str] = ISOLATION_FEATURES,
     config: AnomalyConfig = AnomalyConfig(),
 ) -> DataFrame:
-    """Adds `isolation_score` and `anomaly_isolation_forest` (the lowest `contamination` share).
+    """Adds `isolation_score` and `anomaly_isolation_forest` (the lowest `contamination` share of a series).
 
-    Of each series the dates and feature values travel as one row; the scores meet the days on series and date (one
-    row per date). Standardising first would change nothing: splits are drawn between a node's own extremes.
+    The same rows come back: those without a date or a series are scored like others (no series being one of its own),
+    and repeated days share a score. Standardising first would change nothing: splits are drawn between a node's own
+    extremes. A feature without any value counts as 0.
     """
     features = [f for f in features if f in daily.columns]
-    trees, sample_size, seed, share = config.trees, config.sample_size, config.seed, config.contamination
-
-    @F.pandas_udf("scores array<double>, cut double")
-    def score(series: pd.Series, rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for name, values in zip(series, rows):
-            rng = np.random.default_rng([seed, zlib.crc32(str(name).encode())])
-            scores = _isolation_scores(np.array([list(v) for v in values], dtype=float), trees, sample_size, rng)
-            out.append((scores.tolist(), float(np.percentile(scores, 100 * share))))
-        return pd.DataFrame(out, columns=["scores", "cut"])
-
-    copies = [f"_x_{f}" for f in features]
-    imputed = impute_mean(daily.select(SERIES, DATE, *[F.col(f).alias(f"_x_{f}") for f in features]), copies)
-    x = F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in copies]).alias("_x")
-    whole = imputed.groupBy(SERIES).agg(F.array_sort(F.collect_list(F.struct(DATE, x))).alias("_rows"))
-    values = F.transform("_rows", lambda r: r["_x"])
-    scored = whole.withColumn("_s", score.asNondeterministic()(F.col(SERIES), values))
-    days = scored.select(SERIES, "_s.scores", "_s.cut", F.posexplode("_rows").alias("_i", "_day"))
-    day_score = F.col("scores")[F.col("_i")]
-    flags = days.select(
-        SERIES,
-        F.col("_day")[DATE].alias(DATE),
-        day_score.alias("isolation_score"),
-        (day_score < F.col("cut")).alias("anomaly_isolation_forest"),
+    trees, seed = config.trees, config.seed
+    copies = [f"_f_{f}" for f in features]
+    named = F.coalesce(F.concat(F.lit("s"), F.col(SERIES).cast("string")), F.lit("none")).alias("_k")
+    imputed = impute_mean(daily.select("*", named, *[F.col(f).cast("double").alias(f"_f_{f}") for f in features]), copies)
+    placed = imputed.withColumn("_x", F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in copies])).drop(*copies)
+    days = placed.select("_k", DATE, "_x").distinct().withColumn("_n", F.count("*").over(Window.partitionBy("_k")))
+    days = days.withColumn("_block", F.pmod(F.xxhash64(DATE, "_x"), F.ceil(F.col("_n") / BLOCK)))
+    days = materialize(days, "isolation_days")
+
+    def grow(sample: pd.DataFrame) -> pd.DataFrame:
+        name = sample["_k"].iloc[0]
+        tree, values = sample["tree"].to_numpy(), np.array(sample["_x"].tolist(), dtype=float)
+        order = np.lexsort((*values.T[::-1], tree))
+        rng = np.random.default_rng([seed, zlib.crc32(name.encode())])
+        feature, cut, path, depth = grow_forest(values[order], tree[order], trees, rng)
+        expected = float(_expected_depth(np.bincount(tree).max()))
+        return pd.DataFrame([(name, feature.tobytes(), cut.tobytes(), path.tobytes(), depth, expected)], columns=["_k", "feature", "cut", "path", "depth", "expected"])
+
+    forests = sampled_days(days, trees, config.sample_size, seed).groupBy("_k").applyInPandas(grow, _FOREST)
+    parts = days.select(F.col("_k").alias("_k2"), F.col("_block").alias("_block2")).distinct()
+    forests = forests.join(parts, F.col("_k") == F.col("_k2")).drop("_k").withColumnsRenamed({"_k2": "_k3", "_block2": "_block3"})
+
+    def score(own: pd.DataFrame, forest: pd.DataFrame) -> pd.DataFrame:
+        f = forest.iloc[0]
+        tables = (np.frombuffer(f[c], dtype=t).reshape(trees, -1) for c, t in (("feature", np.int8), ("cut", np.float64), ("path", np.float64)))
+        scores = forest_scores(np.array(own["_x"].tolist(), dtype=float), *tables, int(f["depth"]), float(f["expected"]))
+        return pd.DataFrame({"_k": own["_k"], DATE: own[DATE], "_x": own["_x"], "isolation_score": scores})
+
+    date_type = dict(daily.dtypes)[DATE]
+    scored = (
+        days.groupBy("_k", "_block")
+        .cogroup(forests.groupBy("_k3", "_block3"))
+        .applyInPandas(score, f"_k string, {DATE} {date_type}, _x array<double>, isolation_score double")
+    )
+    scored = materialize(scored, "isolation_scores")
+    cuts = scored.groupBy("_k").agg(F.percentile("isolation_score", F.lit(config.contamination)).alias("_cut"))
+    flags = scored.join(cuts, "_k").select(
+        F.col("_k").alias("_k2"), F.col(DATE).alias("_d2"), F.col("_x").alias("_x2"), "isolation_score", (F.col("isolation_score") < F.col("_cut")).alias("anomaly_isolation_forest")
     )
-    return daily.join(flags, [SERIES, DATE])
+    same = (F.col("_k") == F.col("_k2")) & F.col(DATE).eqNullSafe(F.col("_d2")) & (F.col("_x") == F.col("_x2"))
+    return placed.join(flags, same, "left").drop("_k", "_x", "_k2", "_d2", "_x2")

@@ -84,3 +84,42 @@ def test_four_way_vote_and_summary(spark, planted):
     assert counts["iqr"] == 10 and counts["isolation_forest"] == 25
     with pytest.raises(ValueError):
         anomaly.clean_days(daily)
+
+
+def test_isolation_gives_back_the_same_rows(spark):
+    """Rows without a date or a series, repeated rows and extra columns with the names used inside."""
+    rng = np.random.default_rng(4)
+    rows = [(s, DAY0 + dt.timedelta(days=d) if d != 3 else None, float(rng.normal(10, 1)) if d != 5 else None, d, "x") for s in ("a", None) for d in range(16)]
+    rows += [rows[0], rows[0]]
+    daily = spark.createDataFrame(rows, "series_id string, date date, total_daily_consumption double, tree int, _k2 string").drop("_k2")
+    got = isolation.isolation_flags(daily).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted((r[:4] for r in rows), key=str)
+    assert all(r["isolation_score"] is not None and r["anomaly_isolation_forest"] is not None for r in got)
+    assert isolation.isolation_flags(daily.limit(0)).collect() == []
+
+
+def test_forest_scores_follow_the_node_tables():
+    rng = np.random.default_rng(1)
+    values, tree = rng.normal(0, 1, (300, 3)), np.repeat(np.arange(5), 60)
+    feature, cut, path, depth = isolation.grow_forest(values, tree, 5, np.random.default_rng(2))
+    x = rng.normal(0, 2, (40, 3))
+    got = isolation.forest_scores(x, feature, cut, path, depth, 4.5)
+    for row, score in zip(x, got):
+        total = 0.0
+        for t in range(5):
+            node = 0
+            while feature[t, node] >= 0:
+                node = 2 * node + (2 if row[feature[t, node]] > cut[t, node] else 1)
+            total += path[t, node]
+        assert score == pytest.approx(-(2.0 ** -(total / 5 / 4.5)))
+    leaves = feature < 0
+    assert leaves[:, -(1 << depth) :].all() and (path[leaves] >= 0).all()
+
+
+def test_samples_hold_the_least_hashes(spark):
+    days = spark.range(5000).selectExpr("concat('s', id % 2) AS _k", "date_add(date'2000-01-01', cast(id as int)) AS date", "array(cast(id as double)) AS _x", "2500L AS _n")
+    got = isolation.sampled_days(days, 3, 64, 7)
+    counts = {(r["_k"], r["tree"]): r["count"] for r in got.groupBy("_k", "tree").count().collect()}
+    assert counts == {(k, t): 64 for k in ("s0", "s1") for t in range(3)}
+    again = isolation.sampled_days(days.repartition(5), 3, 64, 7)
+    assert sorted(map(str, got.collect())) == sorted(map(str, again.collect()))
