@@ -94,6 +94,22 @@ def test_texts_on_one_template_are_not_compared(spark, monkeypatch):
     assert sum(compared) < 20 * 1600
 
 
+def test_short_texts_around_one_passage_are_not_compared(spark, monkeypatch):
+    """400 short texts that share 50 of their 61 shingles, none a near copy: they meet on the passage, their marks tell them apart."""
+    compared, real = [], copies.similar_pairs
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return real(pairs, sets, similarity)
+
+    monkeypatch.setattr(copies, "similar_pairs", counted)
+    texts = template_texts(400, common=58, own=7)
+    groups, _ = plain_groups(texts)
+    assert sorted(set(groups)) == list(range(400))
+    assert kept_ids(spark, texts) == list(range(400))
+    assert sum(compared) < 400
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_prefixes_of_similar_sets_meet(similarity):
     """Sets at least that similar share a prefix key that the size and place bounds let pass, whatever the sketch says."""
@@ -113,6 +129,9 @@ def test_prefixes_of_similar_sets_meet(similarity):
         places = [(x.index(k), y.index(k)) for k in meeting]
         assert min(n, m) >= similarity * max(n, m) - 1e-9
         assert meeting and all(min(i, j) + min(n - i, m - j) >= least for i, j in places)
+        a, b = copies.parity_marks(pair).view(np.uint64)
+        apart = sum(int(v).bit_count() for v in a ^ b)
+        assert apart <= len(set(pair[0].tolist()) ^ set(pair[1].tolist())) <= n + m - 2 * least
 
 
 def test_clashing_row_column_is_kept(spark):
