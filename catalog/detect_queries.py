@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog import ctes, inputs
 from catalog.registry import query, sql_with
-from hourloom.config import DATE, ISOLATION_FEATURES, SERIES, TARGET, AnomalyConfig, KMeansConfig
+from hourloom.config import DATE, ISOLATION_FEATURES, SERIES, TARGET, AnomalyConfig
 from hourloom.operators import anomaly, cluster, isolation, resample
 
 DEFAULT_FLAGS = ctes.flags("fleet_days", "flagged", 2.5, 3.0)
@@ -191,39 +191,36 @@ def clean_days(spark, sf_dir):
 
 # ---------------------------------------------------------------- clusters
 
-RESTARTS = KMeansConfig(partitions=2)
+def fit_weeks(spark, sf_dir):
+    return cluster.fit_profile_clusters(inputs.weekly_profiles(spark, sf_dir), 5)
 
 
-def _fit_weeks(spark, sf_dir):
-    return cluster.fit_profile_clusters(inputs.weekly_profiles(spark, sf_dir), 5, RESTARTS)
-
-
-def _fit_vectors(spark, sf_dir):
-    return cluster.fit_profile_clusters(inputs.labelled_vectors(spark, sf_dir), 10, RESTARTS)
+def fit_vectors(spark, sf_dir):
+    return cluster.fit_profile_clusters(inputs.labelled_vectors(spark, sf_dir), 10)
 
 
 @query("cluster_profiles", "K1")
 def cluster_profiles(spark, sf_dir):
     weeks = inputs.weekly_profiles(spark, sf_dir)
-    return inputs.cached("weeks", _fit_weeks, spark, sf_dir).assign(weeks).select(SERIES, DATE, "cluster")
+    return inputs.cached("weeks", fit_weeks, spark, sf_dir).assign(weeks).select(SERIES, DATE, "cluster")
 
 
 @query("choose_cluster_count", "K2")
 def choose_cluster_count(spark, sf_dir):
-    _, table = cluster.choose_k(inputs.weekly_profiles(spark, sf_dir), 10, KMeansConfig(restarts=10, partitions=2))
+    _, table = cluster.choose_k(inputs.weekly_profiles(spark, sf_dir), 10)
     return table
 
 
 @query("cluster_silhouette", "K3")
 def cluster_silhouette(spark, sf_dir):
     weeks = inputs.weekly_profiles(spark, sf_dir)
-    score = cluster.cluster_silhouette(weeks, inputs.cached("weeks", _fit_weeks, spark, sf_dir))
+    score = cluster.cluster_silhouette(weeks, inputs.cached("weeks", fit_weeks, spark, sf_dir))
     return weeks.agg(F.count("*").alias("n_profiles")).withColumn("silhouette", F.lit(score))
 
 
 @query("cluster_centers", "K4")
 def cluster_centers(spark, sf_dir):
-    centers = inputs.cached("weeks", _fit_weeks, spark, sf_dir).centers_table(spark)
+    centers = inputs.cached("weeks", fit_weeks, spark, sf_dir).centers_table(spark)
     return centers.select("cluster", F.posexplode("center").alias("hour", "value"))
 
 
@@ -262,7 +259,7 @@ def typical_profiles(spark, sf_dir):
 @query("assign_new_profiles", "K7")
 def assign_new_profiles(spark, sf_dir):
     vectors = inputs.labelled_vectors(spark, sf_dir)
-    return inputs.cached("vectors", _fit_vectors, spark, sf_dir).assign(vectors).select(SERIES, DATE, "label", "cluster")
+    return inputs.cached("vectors", fit_vectors, spark, sf_dir).assign(vectors).select(SERIES, DATE, "label", "cluster")
 
 
 @query(

@@ -11,7 +11,7 @@ from catalog import ctes, inputs
 from catalog.data_queries import ORDER_LABELS
 from catalog.model_queries import day_requests, fitted
 from catalog.registry import query, sql_with
-from hourloom.config import DATE, SERIES, TARGET, AnomalyConfig, KMeansConfig, RunConfig
+from hourloom.config import DATE, SERIES, TARGET, AnomalyConfig, RunConfig
 from hourloom.operators import features, forecast, model, requests, resample, seasonal
 from hourloom.plans import answers, training
 from hourloom.session import work_path
@@ -344,5 +344,5 @@ def run_report(spark, sf_dir):
     rows = inputs.line_rows(spark, sf_dir, F.concat("l_returnflag", "l_linestatus"))
     daily = resample.daily_summary(rows)
     weeks = inputs.weekly_profiles(spark, sf_dir)
-    run = training.train_run(daily, weeks, RunConfig(anomaly=AnomalyConfig(profile_slots=7), kmeans=KMeansConfig(partitions=2)))
+    run = training.train_run(daily, weeks, RunConfig(anomaly=AnomalyConfig(profile_slots=7)))
     return training.run_report(run)

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from catalog import ctes, inputs
 from catalog.detect_queries import assign_new_profiles, cluster_centers, cluster_profiles, cluster_silhouette
-from catalog.detect_queries import isolation_anomalies, isolation_scores
+from catalog.detect_queries import fit_vectors, fit_weeks, isolation_anomalies, isolation_scores
 from catalog.forecast_queries import answer_requests, range_forecast, recursive_forecast, run_report, seasonal_backtest, seasonal_forecast
 from catalog.forecast_queries import seasonal_models, seasonal_order_search
 from catalog.model_queries import boosted_scores, cross_validation, fitted, forest_scores, model_roundtrip, score_dates
 from catalog.registry import query, sql_with
 from catalog.report_queries import sample_profiles
-from hourloom.config import DATE, SERIES, TARGET, KMeansConfig
+from hourloom.config import DATE, SERIES, TARGET
 from hourloom.operators import cluster, model
 from hourloom.session import work_path
 from hourloom.sources import tables
@@ -63,6 +63,45 @@ def assigned_label_range(spark, sf_dir):
     return per_series(assign_new_profiles(spark, sf_dir), F.col("cluster").between(0, 9))
 
 
+@query(
+    "cluster_center_means",
+    "K4",
+    "SELECT CAST(c.range AS INTEGER) AS cluster, CAST(h.range AS INTEGER) AS hour, true AS holds FROM range(5) c, range(7) h, (SELECT 1 FROM lineitem LIMIT 1)",
+)
+def cluster_center_means(spark, sf_dir):
+    """Every centre is the mean of the weeks that carry its number."""
+    members = cluster_profiles(spark, sf_dir).join(inputs.weekly_profiles(spark, sf_dir), [SERIES, DATE])
+    means = members.select("cluster", F.posexplode("profile").alias("hour", "v")).groupBy("cluster", "hour").agg(F.avg("v").alias("mean"))
+    both = cluster_centers(spark, sf_dir).join(means, ["cluster", "hour"], "left")
+    return both.select("cluster", "hour", (F.abs(F.col("value") - F.col("mean")) <= 1e-3 * F.abs("mean")).alias("holds"))
+
+
+def nearest_labels(labelled: DataFrame, fit: cluster.ProfileClusters) -> DataFrame:
+    """Per series, whether the centre of every row's number is the nearest of all, measured slot by slot in deviations."""
+    slots = [(c, h, v, fit.factor[h]) for c, center in enumerate(fit.centers) for h, v in enumerate(center)]
+    centers = labelled.sparkSession.createDataFrame(slots, "other int, hour int, value double, factor double")
+    cells = labelled.select(SERIES, DATE, "cluster", F.posexplode("profile").alias("hour", "v"))
+    apart = cells.join(centers, "hour").groupBy(SERIES, DATE, "cluster", "other").agg(F.sum(((F.col("v") - F.col("value")) * F.col("factor")) ** 2).alias("d"))
+    own = F.max(F.when(F.col("other") == F.col("cluster"), F.col("d")))
+    return per_series(apart.groupBy(SERIES, DATE).agg(own.alias("own"), F.min("d").alias("least")), F.col("own") <= F.col("least") + 1e-4)
+
+
+@query(
+    "nearest_week_labels",
+    "K1",
+    sql_with(ctes.WEEKS, select="SELECT series_id, count(DISTINCT date) AS n_days, true AS holds FROM weeks GROUP BY 1"),
+)
+def nearest_week_labels(spark, sf_dir):
+    fit = inputs.cached("weeks", fit_weeks, spark, sf_dir)
+    return nearest_labels(fit.assign(inputs.weekly_profiles(spark, sf_dir)), fit)
+
+
+@query("nearest_vector_labels", "K7", "SELECT 'all' AS series_id, count(*) AS n_days, true AS holds FROM embeddings")
+def nearest_vector_labels(spark, sf_dir):
+    fit = inputs.cached("vectors", fit_vectors, spark, sf_dir)
+    return nearest_labels(fit.assign(inputs.labelled_vectors(spark, sf_dir)), fit)
+
+
 TRAIN_RANGE = sql_with(ctes.ORDER_DAYS, select="SELECT series_id, true AS holds FROM order_days GROUP BY 1")
 
 
@@ -238,7 +277,7 @@ def run_report_dates(spark, sf_dir):
 )
 def cluster_count_candidates(spark, sf_dir):
     """Every candidate up to a tenth of the vectors has a cost and a silhouette, and one of them or between is chosen."""
-    _, table = cluster.choose_k(inputs.labelled_vectors(spark, sf_dir), 10, KMeansConfig(restarts=2, partitions=2))
+    _, table = cluster.choose_k(inputs.labelled_vectors(spark, sf_dir), 10)
     holds = (F.col("cost") > 0) & F.col("silhouette").between(-1, 1) & F.col("chosen_k").between(2, 10)
     return table.select("k", holds.alias("holds"))
 

@@ -92,8 +92,9 @@ class AnomalyConfig:
 class KMeansConfig:
     restarts: int = 20
     max_iter: int = 500
+    tol: float = 1e-4
     seed: int = 42
-    parallelism: int = 4
+    start_rows: int = 4096
     partitions: int | None = None
 
 

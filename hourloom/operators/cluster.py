@@ -2,97 +2,113 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from hourloom.config import DATE, SERIES, KMeansConfig
 from hourloom.functions.stats import most_frequent
 from hourloom.functions.vectors import ordered_values
+from hourloom.operators import kmeans
 from hourloom.session import gathered
 
 
 @dataclass(frozen=True)
 class ProfileClusters:
-    """Fitted scaler and K-means; clusters are numbered by rising centre mean."""
+    """Fitted scale and K-means; clusters are numbered by rising centre mean."""
 
-    model: PipelineModel
+    mean: list[float]
+    factor: list[float]
+    scaled_centers: list[list[float]]
     centers: list[list[float]]
-    labels: list[int]
     cost: float
 
+    @property
+    def labels(self) -> list[int]:
+        return list(range(len(self.centers)))
+
     def assign(self, profiles: DataFrame) -> DataFrame:
-        """Adds `cluster` to any table with a `profile` array."""
-        renumber = F.array(*[F.lit(label) for label in self.labels])
-        scored = self.model.transform(_vectors(profiles))
-        return scored.withColumn("cluster", renumber[F.col("_raw_cluster")]).drop("_vector", "_scaled", "_raw_cluster")
+        """Adds `cluster`, the nearest centre, to any table with a `profile` array.
+
+        A profile that is null, of another length or holds a null or NaN has a null cluster.
+        """
+        point = _point(F.col("profile"), self.mean, self.factor)
+        apart = [
+            F.round(F.aggregate(F.zip_with(point, _fixed(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v) * kmeans.GRID)
+            for c in self.scaled_centers
+        ]
+        least = F.transform(F.array(F.array(*apart)), lambda d: F.array_position(d, F.array_min(d)) - 1)[0]
+        return profiles.withColumn("cluster", F.when(_usable(F.col("profile"), len(self.mean)), least).cast("int"))
 
     def centers_table(self, spark) -> DataFrame:
         """Centres in original units, one row per cluster."""
         return spark.createDataFrame(list(enumerate(self.centers)), "cluster int, center array<double>")
 
 
-def _vectors(profiles: DataFrame) -> DataFrame:
-    return profiles.withColumn("_vector", array_to_vector(F.col("profile")))
+def _fixed(values: list[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
+
+
+def _usable(profile: Column, width: int) -> Column:
+    """True for arrays of `width` numbers; null or false otherwise."""
+    return (F.size(profile) == width) & ~F.exists(profile, lambda v: v.isNull() | F.isnan(v))
 
 
-def _scaler() -> StandardScaler:
-    return StandardScaler(inputCol="_vector", outputCol="_scaled", withMean=True, withStd=True)
+def _point(profile: Column, mean: list[float], factor: list[float]) -> Column:
+    """The profile in deviations, on the grid of the fit."""
+    scale = F.arrays_zip(_fixed(mean).alias("mean"), _fixed(factor).alias("factor"))
+    return F.zip_with(profile, scale, lambda v, s: F.rint((v - s["mean"]) * s["factor"] * kmeans.GRID) / kmeans.GRID)
 
 
-def _best_kmeans(scaled: DataFrame, k: int, config: KMeansConfig):
-    """Lowest-cost fit over several seeds; the fits are separate jobs that share the cluster."""
+def _scale(profiles: DataFrame) -> tuple[list[float], list[float]]:
+    """Mean and 1 / deviation of every slot (0 where it does not vary), to ten digits so that no partition order shows.
+
+    The length of a profile is the most frequent one, the shorter at a tie.
+    """
+    sized = profiles.where("size(profile) > 0").groupBy(F.size("profile").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if sized is None:
+        raise ValueError("no profile to cluster")
+    rows = profiles.where(_usable(F.col("profile"), sized["n"]))
+    slots = [F.col("profile")[i] for i in range(sized["n"])]
+    found = rows.agg(*[F.avg(c) for c in slots], *[F.stddev_samp(c) for c in slots]).first()
+    if found[0] is None:
+        raise ValueError("no profile to cluster")
+    digits = lambda v: float(f"{v or 0.0:.10g}")
+    spread = [digits(v) for v in found[sized["n"] :]]
+    return [digits(v) for v in found[: sized["n"]]], [1 / s if s else 0.0 for s in spread]
 
-    def fit(restart: int):
-        kmeans = KMeans(
-            k=k, seed=config.seed + restart, maxIter=config.max_iter, featuresCol="_scaled", predictionCol="_raw_cluster"
-        )
-        model = kmeans.fit(scaled)
-        return model.summary.trainingCost, restart, model
 
-    with ThreadPoolExecutor(config.parallelism) as pool:
-        return min(pool.map(inheritable_thread_target(scaled.sparkSession)(fit), range(config.restarts)), key=lambda f: f[:2])
+def _points(profiles: DataFrame, scale: tuple[list[float], list[float]], config: KMeansConfig) -> DataFrame:
+    usable = profiles.where(_usable(F.col("profile"), len(scale[0])))
+    return gathered(usable.select(_point(F.col("profile"), *scale).alias("point")), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def fit_profile_clusters(profiles: DataFrame, k: int, config: KMeansConfig = KMeansConfig()) -> ProfileClusters:
     """`k` clusters, or as many as there are different profiles."""
-    vectors = _vectors(profiles).select("_vector")
-    scaler = _scaler().fit(vectors)
-    scaled = gathered(scaler.transform(vectors).select("_scaled"), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    scale = _scale(profiles)
+    points = _points(profiles, scale, config)
     try:
-        k = min(k, scaled.distinct().limit(k).count())
-        cost, _, kmeans = _best_kmeans(scaled, k, config)
+        best = kmeans.fit_runs(points, [k], config)[k]
     finally:
-        scaled.unpersist()
-    std, mean = np.array(scaler.std.toArray()), np.array(scaler.mean.toArray())
-    centers = np.array(kmeans.clusterCenters()) * std + mean
+        points.unpersist()
+    mean, factor = scale
+    spread = np.array([1 / f if f else 0.0 for f in factor])
+    centers = best.centers * spread + np.array(mean)
     order = np.argsort(centers.mean(axis=1), kind="stable")
-    labels = np.empty(len(order), dtype=int)
-    labels[order] = np.arange(len(order))
-    return ProfileClusters(
-        PipelineModel([scaler, kmeans]), centers[order].tolist(), [int(v) for v in labels], float(cost)
-    )
-
-
-def silhouette(scored: DataFrame) -> float:
-    """Mean silhouette by squared Euclidean distance, which needs one pass instead of all pairs."""
-    evaluator = ClusteringEvaluator(featuresCol="_scaled", predictionCol="_raw_cluster")
-    return evaluator.evaluate(scored)
+    return ProfileClusters(mean, factor, best.centers[order].tolist(), centers[order].tolist(), best.cost)
 
 
 def cluster_silhouette(profiles: DataFrame, clusters: ProfileClusters) -> float:
-    return silhouette(clusters.model.transform(_vectors(profiles)))
+    """Mean silhouette by squared Euclidean distance, which needs one pass instead of all pairs."""
+    scored = clusters.assign(profiles).where("cluster IS NOT NULL")
+    vectors = scored.select(array_to_vector(_point(F.col("profile"), clusters.mean, clusters.factor)).alias("point"), F.col("cluster").cast("double"))
+    return ClusteringEvaluator(featuresCol="point", predictionCol="cluster").evaluate(vectors)
 
 
 def choose_k(
@@ -100,23 +116,19 @@ def choose_k(
 ) -> tuple[int, DataFrame]:
     """Mean of the elbow pick and the best silhouette, with the table of candidates.
 
-    `compat` reads the elbow one place too far to the right, as the studied code does.
+    All candidates move through the same passes. `compat` reads the elbow one place too far to the right, as the
+    studied code does.
     """
-    vectors = _vectors(profiles).select("_vector")
-    scaled = gathered(_scaler().fit(vectors).transform(vectors).select("_scaled"), config.partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    points = _points(profiles, _scale(profiles), config)
     try:
-        candidates = list(range(2, min(max_k + 1, scaled.count() // 10)))
+        candidates = list(range(2, min(max_k + 1, points.count() // 10)))
         if not candidates:
             raise ValueError("choosing k needs at least 30 profiles")
-        costs, scores = [], []
-        for k in candidates:
-            cost, _, fit = _best_kmeans(scaled, k, config)
-            costs.append(float(cost))
-            labelled = fit.transform(scaled)
-            distinct = labelled.select("_raw_cluster").distinct().count()
-            scores.append(float(silhouette(labelled)) if distinct > 1 else 0.0)
+        fits = kmeans.fit_runs(points, candidates, config)
+        costs = [fits[k].cost for k in candidates]
+        scores = kmeans.silhouettes(points, [fits[k] for k in candidates])
     finally:
-        scaled.unpersist()
+        points.unpersist()
     best_silhouette = candidates[int(np.argmax(scores))]
     chosen = (_elbow(candidates, costs, compat) + best_silhouette) // 2
     table = profiles.sparkSession.createDataFrame(
