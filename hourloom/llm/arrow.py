@@ -1,7 +1,10 @@
-"""Arrow batches inside tasks: bounded slices of text, and passing whole rows through."""
+"""Arrow batches inside tasks: bounded slices of text, passing whole rows through, and giving memory back after a task."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -34,8 +37,36 @@ def utf8(batch: pa.RecordBatch, column: str | int) -> list[bytes]:
     return [t or b"" for t in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
+def worker_memory() -> dict:
+    """What outlives a task in its worker process. Task functions bring their own copies of modules, so it has a module of its own."""
+    return sys.modules.setdefault("hourloom_worker", types.ModuleType("hourloom_worker")).__dict__
+
+
+def lean(run: Callable, keeps: str = "") -> Callable:
+    """`run` for a worker that serves many stages in turn: what other operators left there is dropped before a task, unless
+    its key begins with `keeps`, and freed memory goes back to the system after it instead of adding up from stage to stage."""
+
+    def task(batches):
+        held = worker_memory()
+        for key in [k for k in held if k.startswith("held ") and not (keeps and k.startswith(keeps))]:
+            del held[key]
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+    return task
+
+
 def map_texts(
-    df: DataFrame, keep: list[str], text: str, schema: str | T.StructType, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]
+    df: DataFrame,
+    keep: list[str],
+    text: str,
+    schema: str | T.StructType,
+    make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
+    keeps: str = "",
 ) -> DataFrame:
     """`make()` runs once per task and returns a function over bounded slices of `keep` + `text` (the last column)."""
 
@@ -44,7 +75,7 @@ def map_texts(
         for piece in bounded(batches, len(keep)):
             yield apply(piece)
 
-    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(run, schema)
+    return df.select(*[df[c] for c in keep], df[text]).mapInArrow(lean(run, keeps), schema)
 
 
 def filter_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.RecordBatch], np.ndarray]]) -> DataFrame:
@@ -56,4 +87,4 @@ def filter_rows(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Record
         for piece in bounded(batches, place):
             yield piece.filter(pa.array(apply(piece)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -19,8 +19,6 @@ from __future__ import annotations
 
 import codecs
 import heapq
-import sys
-import types
 from itertools import chain
 
 import ahocorasick
@@ -29,7 +27,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from hourloom.llm.arrow import map_texts, texts
+from hourloom.llm.arrow import map_texts, texts, worker_memory
 
 MARK = "▁"
 MEMORY = 400_000
@@ -270,12 +268,9 @@ class MergeTokenizer:
 
 
 def tokenizer(model_file: str, memory: int = MEMORY) -> MergeTokenizer:
-    """One tokenizer per worker process; what it remembers serves the next task.
-
-    Task functions bring their own copy of this module, so what outlives a task is kept in a module of the process.
-    """
-    held = sys.modules.setdefault("hourloom_worker", types.ModuleType("hourloom_worker")).__dict__
-    key = f"tokenizer {memory} {model_file}"
+    """One tokenizer per worker process; what it remembers serves the next task, until another operator's task comes."""
+    held = worker_memory()
+    key = f"held tokenizer {memory} {model_file}"
     if key not in held:
         held[key] = MergeTokenizer(model_file, memory)
     return held[key]
@@ -303,4 +298,4 @@ def encode_texts(docs: DataFrame, model_file: str, memory: int = MEMORY, doc_id:
 
         return apply
 
-    return map_texts(docs, [doc_id], text, ENCODED, make)
+    return map_texts(docs, [doc_id], text, ENCODED, make, keeps="held tokenizer")
