@@ -66,10 +66,15 @@ def assigned_label_range(spark, sf_dir):
 @query(
     "cluster_center_means",
     "K4",
-    "SELECT CAST(c.range AS INTEGER) AS cluster, CAST(h.range AS INTEGER) AS hour, true AS holds FROM range(5) c, range(7) h, (SELECT 1 FROM lineitem LIMIT 1)",
+    sql_with(
+        ctes.WEEKS,
+        "profiles AS (SELECT list(v ORDER BY slot) AS p FROM weeks GROUP BY series_id, date)",
+        "sizes AS (SELECT unnest(range(least(5, count(DISTINCT p)))) AS cluster FROM profiles)",
+        select="SELECT CAST(cluster AS INTEGER) AS cluster, CAST(slot AS INTEGER) AS hour, true AS holds FROM sizes, (SELECT DISTINCT slot FROM weeks)",
+    ),
 )
 def cluster_center_means(spark, sf_dir):
-    """Every centre is the mean of the weeks that carry its number."""
+    """Five centres, or one per different week; every centre is the mean of the weeks that carry its number."""
     members = cluster_profiles(spark, sf_dir).join(inputs.weekly_profiles(spark, sf_dir), [SERIES, DATE])
     means = members.select("cluster", F.posexplode("profile").alias("hour", "v")).groupBy("cluster", "hour").agg(F.avg("v").alias("mean"))
     both = cluster_centers(spark, sf_dir).join(means, ["cluster", "hour"], "left")
