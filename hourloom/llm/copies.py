@@ -1,19 +1,24 @@
-"""Near copies by exact similarity: MinHash bands find texts with partners, a prefix join pairs them, shingle sets decide.
+"""Near copies by SimHash and BK-trees over shards, decided by their shingle sets; groups by alternating stars.
 
 Two texts are near copies if the sets of their 5-word shingles (A-Z lower-cased) have a Jaccard similarity of at least
 0.8; groups are chains of such pairs. A text is known by its shingle set, so texts with equal sets are one node at once.
 
-1. Bands: a node stays in play if it shares one of `BANDS` keys, each made of `ROWS` least values under as many hash orders,
-   with another node. A pair at similarity s shares none with probability (1 - s ** 4) ** 30: 2.4e-12 at 0.9, 2.3e-7 at 0.8.
-2. Prefixes: all shingles are ordered by how often they occur among these nodes, rarest first. Two sets of similarity 0.8
-   share a shingle among the first n - ceil(0.8 n) + 1 of each, whatever the order, so these are the keys on which nodes
-   meet. Rarest first, texts that only share a template or a common passage do not meet. How often is read off a sketch of
-   a fixed number of counters; a coarse count only makes keys less rare.
-3. Pairs of a key are left out if their sizes, their places in both orders or their parity marks rule out 0.8; all others
-   are decided by their sets. A mark has `64 * MARKS` bits, each the parity of the shingles that fall on it, so two marks
-   never differ in more bits than their sets differ in shingles: nothing similar is left out, and short texts around one
-   common passage, which meet on it, are told apart beside the join without their sets. A round compares every member of a key with one centre of that key, and what is linked already is not compared
-   again; the last round compares all remaining pairs of a key, so no link is lost.
+1. Fingerprints: a node has the SimHash of its set. A pair at 0.8 differs in 9.7 of 64 bits on average and in more than
+   `RADIUS` with probability 1e-8 (1e-6 for four shingles against five, the worst case).
+2. Shards: that radius leaves blocks of two bits, which split nothing, so shards are dealt by `BANDS` MinHash keys, each made
+   of `ROWS` least values under as many hash orders. A pair at similarity s shares none with probability
+   (1 - s ** 4) ** 30: 2.4e-12 at 0.9, 2.3e-7 at 0.8. Members of a shard over `SHARD_LIMIT` are dealt on: two sets of
+   similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in whatever common order, so they go to the
+   shards of their rarest shingles, by a sketch of a fixed number of counters; a coarse count only makes keys less rare.
+   Texts that only share a template or a common passage no longer meet there.
+3. BK-trees: each shard is a tree over its fingerprints in one task and finds the pairs within the radius. At this width it
+   prunes little, so pairs are also left out if their sizes or their parity marks rule out 0.8. A mark has `64 * MARKS`
+   bits, each the parity of the shingles that fall on it, so two marks never differ in more bits than their sets differ in
+   shingles: nothing similar is left out.
+4. Sets decide all pairs found that wider marks do not rule out. A shard of many members passes on links that span its
+   groups; if all of them are similar, no other link can matter. Otherwise it is searched again, in the end for all its
+   pairs, so no link is lost.
+5. Alternating stars make the groups.
 
 Defined cases: fewer than five words make one shingle; texts without a word have no shingle and are one group among
 the rows with an id and one among those without; sets and shingles are compared by 64-bit hashes.
@@ -21,14 +26,17 @@ the rows with an id and one among those without; sets and shingles are compared
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourloom.llm.arrow import bounded, lean, map_texts
 from hourloom.llm.components import connected_components
+from hourloom.llm.hamming import BKTree, Groups, majority_bits, tree_pairs
 from hourloom.llm.words import mixed, shingle_hashes, split_words
 from hourloom.session import materialize
 
@@ -38,6 +46,11 @@ BANDS = 30
 ROWS = 4
 STAR_ROUNDS = 2
 PAIRS_PER_MEMBER = 4
+RADIUS = 28
+SHARD_LIMIT = 2048
+FEW = 32
+PARTNERS = 256
+WIDE = 64
 COUNTERS = 1 << 21
 MARKS = 4
 PAGE = 1 << 16
@@ -75,8 +88,23 @@ def node_of(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+_MARKED = [f"mark{i}" for i in range(MARKS)]
+_MEMBER = ["node", "n", "fp", *_MARKED]
+
+
+def _longs(names: list[str]) -> str:
+    return ", ".join(f"{c} bigint" for c in names)
+
+
+def traits(sets: list[np.ndarray]) -> np.ndarray:
+    """(set, column): size, fingerprint and parity marks of non-empty sets."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    fingerprints = majority_bits(mixed(np.concatenate(sets)), sizes)
+    return np.column_stack([sizes, fingerprints.view(np.int64), parity_marks(sets)])
+
+
 def marked_rows(docs: DataFrame, own: list[str], text: str) -> DataFrame:
-    """`own` columns of every row, the node of its text (null without a word) and the node's keys."""
+    """`own` columns of every row, the node of its text (null without a word), its traits and the node's keys."""
     schema = ", ".join(f"`{c}` {dict(docs.dtypes)[c]}" for c in own)
 
     def make():
@@ -84,14 +112,18 @@ def marked_rows(docs: DataFrame, own: list[str], text: str) -> DataFrame:
             sets = shingle_sets(piece.column(len(own)))
             full = [i for i, s in enumerate(sets) if len(s)]
             keys, nodes = [[] for _ in sets], [None] * len(sets)
+            known = np.zeros((len(sets), len(_MEMBER) - 1), dtype=np.int64)
             for i, k in zip(full, band_keys([sets[i] for i in full]).tolist() if full else []):
                 nodes[i], keys[i] = node_of(sets[i]), k
-            columns = [piece.column(i) for i in range(len(own))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[*own, "node", "keys"])
+            if full:
+                known[full] = traits([sets[i] for i in full])
+            columns = [*(piece.column(i) for i in range(len(own))), pa.array(nodes, pa.int64())]
+            columns += [pa.array(np.ascontiguousarray(c)) for c in known.T]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(keys, pa.list_(pa.int64()))], names=[*own, *_MEMBER, "keys"])
 
         return apply
 
-    return map_texts(docs, own, text, f"{schema}, node bigint, keys array<bigint>", make)
+    return map_texts(docs, own, text, f"{schema}, {_longs(_MEMBER)}, keys array<bigint>", make)
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -140,37 +172,29 @@ def prefix_keys(shingles: np.ndarray, sketch: np.ndarray, similarity: float) ->
     return shingles[np.lexsort((shingles, counts))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
-def parity_marks(sets: list[np.ndarray]) -> np.ndarray:
+def parity_marks(sets: list[np.ndarray], marks: int = MARKS) -> np.ndarray:
     """(set, word): bits that are set where an odd number of shingles falls, for non-empty sets."""
     flat = np.concatenate(sets)
-    place = (flat >> np.uint64(40)) % np.uint64(64 * MARKS)
-    bits = np.zeros((len(flat), MARKS), dtype=np.uint64)
-    bits[np.arange(len(flat)), (place >> np.uint64(6)).astype(np.int64)] = np.uint64(1) << (place & np.uint64(63))
-    return np.bitwise_xor.reduceat(bits, np.cumsum([0, *map(len, sets[:-1])]), axis=0).view(np.int64)
-
-
-_MARKED = [f"mark{i}" for i in range(MARKS)]
-_MEMBER = ["node", "n", "at", *_MARKED]
+    place = (flat >> np.uint64(40)) % np.uint64(64 * marks)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = np.bincount(owner * (64 * marks) + place.astype(np.int64), minlength=len(sets) * 64 * marks) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(len(sets), -1), axis=1, bitorder="little").view(np.int64)
 
 
 def prefix_members(sets: DataFrame, sketch: np.ndarray, similarity: float) -> DataFrame:
-    """Every node under its prefix shingles: the size n of its set, the key's place `at` in its order, its parity marks."""
+    """Every node with its root and traits under its prefix shingles."""
     shipped = sets.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches):
-        for batch in bounded(batches, 1):
-            own = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist()]
+        for batch in bounded(batches, 2):
+            own = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(2).to_pylist()]
             found = [prefix_keys(s, shipped.value, similarity) for s in own]
             lengths = np.array([len(f) for f in found], dtype=np.int64)
-            sizes = np.array([len(s) for s in own], dtype=np.int64)
-            nodes = np.repeat(batch.column(0).to_numpy(), lengths)
-            at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            keys = np.concatenate(found).view(np.int64)
-            marks = np.repeat(parity_marks(own), lengths, axis=0)
-            columns = [keys, nodes, np.repeat(sizes, lengths), at, *marks.T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", *_MEMBER])
+            known = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy(), traits(own)])
+            columns = [np.concatenate(found).view(np.int64), *np.repeat(known, lengths, axis=0).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "root", *_MEMBER])
 
-    return sets.select("node", "shingles").mapInArrow(lean(run), ", ".join(f"{c} bigint" for c in ["key", *_MEMBER]))
+    return sets.select("root", "node", "shingles").mapInArrow(lean(run), _longs(["key", "root", *_MEMBER]))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -178,82 +202,184 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least that similar.
+def pairs_that(pairs: DataFrame, held: DataFrame, decide: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) for which `decide` says true of what `held` (node, value) holds of both.
 
-    The set of `a` travels once for every part of its partners, followed by their sets.
+    The value of `a` travels once for every part of its partners, followed by their values.
     """
 
     def run(batches):
         head, at = None, None
         for batch in batches:
             found = [], []
-            for a, part, b, shingles in zip(*(batch.column(n).to_pylist() for n in ("a", "part", "b", "shingles"))):
-                own = np.frombuffer(shingles, dtype=np.uint64)
+            for a, part, b, value in zip(*(batch.column(n).to_pylist() for n in ("a", "part", "b", "value"))):
                 if b is None:
-                    head, at = own, (a, part)
-                elif at == (a, part) and jaccard(head, own) >= similarity:
+                    head, at = value, (a, part)
+                elif at == (a, part) and decide(head, value):
                     found[0].append(a)
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=["a", "b"])
 
-    parted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(64)).alias("part"))
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    held = materialize(sets.join(asked, "node", "left_semi"), "asked_sets")
-    heads = parted.select("a", "part").distinct().join(held.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "shingles")
-    tails = parted.join(held.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "shingles")
-    ordered = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+    partners = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("parts"))
+    parted = pairs.join(partners, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    heads = parted.select("a", F.lit(None).cast("bigint").alias("b"), "part", F.col("a").alias("node")).distinct()
+    both = heads.unionByName(parted.withColumn("node", F.col("b"))).join(held, "node")
+    ordered = both.select("a", "part", "b", "value").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     return ordered.mapInArrow(lean(run), "a bigint, b bigint")
 
 
-def may_be_similar(left: str, right: str, similarity: float) -> Column:
-    """False if sizes n, places `at` in the common order or parity marks rule out the similarity."""
-    n, m, i, j = (F.col(f"{side}{c}") for c in ("n", "at") for side in (left, right))
-    shared = F.lit(similarity / (1 + similarity)) * (n + m) - F.lit(1e-6)
-    differing = sum((F.bit_count(F.col(f"{left}{c}").bitwiseXOR(F.col(f"{right}{c}"))) for c in _MARKED), F.lit(0))
-    return (
-        (F.least(n, m) >= F.lit(similarity) * F.greatest(n, m))
-        & (F.least(i, j) + F.least(n - i, m - j) >= shared)
-        & (differing <= n + m - 2 * shared)
-    )
-
-
-def node_links(members: DataFrame, sets: DataFrame, similarity: float, star_rounds: int, pairs_per_member: int) -> DataFrame:
-    """(node, root) of the components that all similar pairs within a key make; `members` as from `prefix_members`."""
-    links, roots = None, None
-    for number in range(star_rounds + 1):
-        if roots is None:
-            rooted = members.withColumn("root", F.col("node"))
-        else:
-            joined = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            rooted = materialize(joined, "rooted_members")
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        spread = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        spread = materialize(spread.where("parts > 1"), "open_keys")
-        total = spread.agg(F.sum("n").alias("rows"), (F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-        if not total["rows"]:
-            break
-        still = materialize(rooted.join(spread.select("key"), "key", "left_semi").select("key", "root", *_MEMBER), "open_members")
-        members = still.drop("root")  # a key that holds one group only stays so
-        last = number == star_rounds or total["pairs"] <= pairs_per_member * total["rows"]
-        mine = still.select("key", *[F.col(c).alias(f"a_{c}") for c in ("root", *_MEMBER)])
-        if last:
-            ahead = mine
-        else:
-            rank = F.struct(F.xxhash64("a_node", F.lit(number)).alias("h"), *[c for c in mine.columns if c != "key"])
-            ahead = mine.groupBy("key").agg(F.min(rank).alias("c")).select("key", "c.*").drop("h")
-        theirs = still.select("key", *[F.col(c).alias(f"b_{c}") for c in ("root", *_MEMBER)])
-        apart = (F.col("a_root") != F.col("b_root")) & ((F.col("a_node") < F.col("b_node")) if last else F.lit(True))
-        pairs = ahead.join(theirs, "key").where(apart & may_be_similar("a_", "b_", similarity))
-        pairs = materialize(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
-        found = materialize(similar_pairs(pairs, sets, similarity), "similar")
-        links = found if links is None else links.unionByName(found)
+def wide_marks(sets: DataFrame) -> DataFrame:
+    """(node, value): the size of every set and `64 * WIDE` parity bits, as bytes; they tell long texts apart as well."""
+
+    def run(batches):
+        for batch in bounded(batches, 1):
+            own = [np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist()]
+            values = [np.append(len(s), parity_marks([s], WIDE)[0]).tobytes() for s in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["node", "value"])
+
+    return sets.select("node", "shingles").mapInArrow(lean(run), "node bigint, value binary")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are at least that similar; sets travel only for pairs that wide marks do not rule out."""
+
+    def may_be(a, b):
+        a, b = (np.frombuffer(v, dtype=np.int64) for v in (a, b))
+        differing = int(np.bitwise_count((a[1:] ^ b[1:]).view(np.uint64)).sum())
+        return differing <= (a[0] + b[0]) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+
+    def are(a, b):
+        return jaccard(*(np.frombuffer(v, dtype=np.uint64) for v in (a, b))) >= similarity
+
+    left = materialize(pairs_that(pairs, wide_marks(sets), may_be), "pairs")
+    return pairs_that(left, sets.withColumnRenamed("shingles", "value"), are)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """False where the sizes or the parity marks of members rule out the similarity; rows and columns as in `traits`."""
+    n, m = a[:, 0], b[:, 0]
+    shared = similarity / (1 + similarity) * (n + m) - 1e-6
+    differing = np.bitwise_count(a[:, 2:].view(np.uint64) ^ b[:, 2:].view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differing <= n + m - 2 * shared)
+
+
+def tree_links(known: np.ndarray, roots: np.ndarray, similarity: float, pairs_per_member: int | None) -> tuple[list, list, bool]:
+    """Pairs (places i, j) of one shard that its BK-tree finds and whose traits may be similar, between different roots.
+
+    All of them if they can be no more than `pairs_per_member` (None: without bound) per member; else links that span
+    the groups which all of them would make. Says whether some were left out.
+    """
+    size = len(known)
+    whole = pairs_per_member is None or size * (size - 1) <= 2 * pairs_per_member * size
+    values, groups = np.ascontiguousarray(known[:, 1]).view(np.uint64), Groups(roots)
+    out = [], []
+    for i, j in tree_pairs(values, RADIUS, groups.label):
+        good = may_be_similar(known[i], known[j], similarity)
+        i, j = i[good], j[good]
+        if not whole and len(i):
+            kept = groups.spanning(i, j)
+            i, j = i[kept], j[kept]
+        out[0].extend(i.tolist())
+        out[1].extend(j.tolist())
+    return *out, not whole
+
+
+def small_tree_links(known: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs of `tree_links` for a shard of few members."""
+    tree, places, found = BKTree(), {}, []
+    for j, value in enumerate(known[:, 1].view(np.uint64).tolist()):
+        found += [(i, j) for near in tree.near(value, RADIUS) for i in places[near] if roots[i] != roots[j]]
+        places.setdefault(value, []).append(j)
+        tree.add(value)
+    if found:
+        i, j = np.array(found).T
+        found = [pair for pair, good in zip(found, may_be_similar(known[i], known[j], similarity)) if good]
+    return found
+
+
+def shard_links(members: DataFrame, similarity: float, pairs_per_member: int | None, number: int = 0, shard_limit: int | None = None) -> DataFrame:
+    """(key, a, b, partial): pairs that the BK-trees of the shards (equal `key`) find; see `tree_links`.
+
+    Each member of a shard over `shard_limit` comes back alone, with b null. `number` varies which links span a shard.
+    """
+
+    def of_shards(table):
+        table = table[np.flatnonzero(_shared(table[:, 0]))]
+        cuts = np.flatnonzero(np.diff(table[:, 0])) + 1
+        out = [], [], [], []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(table)]):
+            nodes, roots, known = table[a:b, 2], table[a:b, 1], np.ascontiguousarray(table[a:b, 3:])
+            if shard_limit is not None and b - a > shard_limit:
+                i, right, partial = np.arange(b - a), [None] * (b - a), False
+            else:
+                if b - a <= FEW and (pairs_per_member is None or b - a - 1 <= 2 * pairs_per_member):
+                    pairs, partial = small_tree_links(known, roots, similarity), False
+                    i, j = [p[0] for p in pairs], [p[1] for p in pairs]
+                else:
+                    i, j, partial = tree_links(known, roots, similarity, pairs_per_member)
+                right = nodes[j].tolist() if len(j) else []
+            if not len(i):
+                continue
+            left = nodes[i].tolist()
+            out[0].extend([int(table[a, 0])] * len(left))
+            out[1].extend(left if right[0] is None else map(min, left, right))
+            out[2].extend(right if right[0] is None else map(max, left, right))
+            out[3].extend([partial] * len(left))
+        types = [pa.int64()] * 3 + [pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["key", "a", "b", "partial"])
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.column_stack([c.to_numpy() for c in batch.columns])
+            goes_on = held and table[-1, 0] == held[0][0, 0]
+            held.append(table)
+            if not goes_on:
+                table = np.concatenate(held)
+                last = np.searchsorted(table[:, 0], table[-1, 0])
+                held = [table[last:]]
+                yield of_shards(table[:last])
+        if held:
+            yield of_shards(np.concatenate(held))
+
+    # The number is given, so that few rows are not gathered in one task.
+    partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = members.select("key", "root", *_MEMBER).repartition(partitions, "key")
+    ordered = dealt.sortWithinPartitions("key", F.xxhash64("node", F.lit(number)), "node")
+    return ordered.mapInArrow(lean(run), "key bigint, a bigint, b bigint, partial boolean")
+
+
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys occur more than once."""
+    same = np.zeros(len(keys) + 1, dtype=bool)
+    same[1:-1] = keys[1:] == keys[:-1]
+    return same[1:] | same[:-1]
+
+
+def node_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, similarity: float, star_rounds: int, pairs_per_member: int) -> DataFrame:
+    """(node, root) of the components that all similar pairs make; `found` as from `shard_links` for all shards.
+
+    A shard whose spanning links all turned out similar is done. The others are searched again with the groups that are
+    known by then, and after `star_rounds` rounds for all their pairs between different groups.
+    """
+    links, members, number = None, None, 0
+    while True:
+        pairs = materialize(found.select("a", "b").distinct(), "pairs")
+        similar = materialize(similar_pairs(pairs, sets, similarity), "similar")
+        links = similar if links is None else links.unionByName(similar)
+        partial = found.where("partial")
+        unlike = partial.join(similar, ["a", "b"], "left_anti").select("key").distinct()
+        if members is None:  # nothing was one group yet, so the links of a shard hold all its members that may have partners
+            members = partial.select("key", F.explode(F.array("a", "b")).alias("node")).distinct()
+        members = materialize(members.join(unlike, "key", "left_semi"), "open_members")
         roots = connected_components(links, "a", "b")
-        if last:
-            break
-    if roots is None:
-        return members.sparkSession.createDataFrame([], "node bigint, root bigint")
-    return roots
+        if members.isEmpty():
+            return roots
+        number += 1
+        rooted = members.join(nodes.select(*_MEMBER), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        found = materialize(shard_links(rooted, similarity, pairs_per_member if number < star_rounds else None, number), "links")
 
 
 def least_rows(
@@ -263,23 +389,28 @@ def least_rows(
     similarity: float = SIMILARITY,
     star_rounds: int = STAR_ROUNDS,
     pairs_per_member: int = PAIRS_PER_MEMBER,
+    shard_limit: int = SHARD_LIMIT,
 ) -> DataFrame:
     """`own` columns of the least row of every group of near copies; `own` tells rows apart, its nulls come last."""
     marked = marked_rows(docs, own, text)
     wordless = F.when(F.col(own[0]).isNull(), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
     marked = marked.withColumn("node", F.coalesce("node", wordless))
     rank = F.struct(*[f(c) for c in own for f in (lambda c: F.col(c).isNull().alias(f"{c}_null"), F.col)])
-    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("low"), F.first("keys").alias("keys")), "nodes")
-    postings = nodes.select(F.explode("keys").alias("key"), "node")
-    shared = postings.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    partnered = materialize(postings.join(shared, "key", "left_semi").select("node").distinct(), "partnered")
-    asked = nodes.join(partnered, "node", "left_semi").select(*[F.col(f"low.{c}").alias(f"__{c}") for c in own])
+    same_for_all = [F.first(c).alias(c) for c in (*_MEMBER[1:], "keys")]
+    nodes = materialize(marked.groupBy("node").agg(F.min(rank).alias("low"), *same_for_all), "nodes")
+    at_once = pairs_per_member if star_rounds > 0 else None
+    postings = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("root"), *_MEMBER)
+    found = materialize(shard_links(postings, similarity, at_once, shard_limit=shard_limit), "links")
+    met = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    asked = nodes.join(met, "node", "left_semi").select(*[F.col(f"low.{c}").alias(f"__{c}") for c in own])
     same = [docs[c].eqNullSafe(asked[f"__{c}"]) for c in own]
     texts = docs.join(asked, same, "left_semi").dropDuplicates(own).select(text)
     sets = materialize(sets_of(texts), "sets")
-    sketch = shingle_sketch(sets)
-    # Keys of one node only are left to the first round, which drops them.
-    members = materialize(prefix_members(sets, sketch, similarity), "members")
-    groups = node_links(members, sets, similarity, star_rounds, pairs_per_member)
+    crowded = materialize(found.where("b is null").select(F.col("a").alias("node"), F.col("a").alias("root")).distinct(), "crowded")
+    if not crowded.isEmpty():
+        own_sets = materialize(sets.join(crowded, "node"), "sets")
+        members = prefix_members(own_sets, shingle_sketch(own_sets), similarity)
+        found = found.where("b is not null").unionByName(materialize(shard_links(members, similarity, at_once), "links"))
+    groups = node_links(nodes, found, sets, similarity, star_rounds, pairs_per_member)
     rooted = nodes.select("node", "low").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rooted.groupBy("root").agg(F.min("low").alias("low")).select(*[f"low.{c}" for c in own])

@@ -31,13 +31,13 @@ from hourloom.llm import copies
 from hourloom.llm.arrow import map_texts, utf8
 from hourloom.llm.components import connected_components
 from hourloom.llm.copies import SIMILARITY
+from hourloom.llm.hamming import BKTree, majority_bits
 from hourloom.session import materialize
 
 RADIUS = 3
 SHINGLE = 3
 SEED = 42
 SHARD_LIMIT = 2048
-_LANES = np.uint64(0x0101010101010101)
 
 
 # --- fingerprints ---------------------------------------------------------------------------------------------------
@@ -57,28 +57,6 @@ def shingle_xxh64(text: bytes, size: int = SHINGLE, seed: int = SEED) -> list[in
     return [digest(joined[a:b], seed) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Fingerprint per text from the concatenated hashes of all texts; zero for texts without any.
-
-    Bits are summed in byte lanes over runs of at most 255 hashes, then over the runs of a text.
-    """
-    out = np.zeros(len(counts), dtype=np.uint64)
-    full = np.flatnonzero(counts)
-    if not len(full):
-        return out
-    n = counts[full]
-    first = np.cumsum(n) - n
-    runs = -(-n // 255)
-    run_first = np.cumsum(runs) - runs
-    starts = np.repeat(first - 255 * run_first, runs) + 255 * np.arange(runs.sum())
-    for low in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(low)) & _LANES, starts)
-        sums = np.add.reduceat(lanes.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), run_first, axis=0)
-        for byte in range(8):
-            out[full] |= (2 * sums[:, byte] > n).astype(np.uint64) << np.uint64(8 * byte + low)
-    return out
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every whole text as a signed 64-bit number."""
 
@@ -111,39 +89,6 @@ def shard_masks() -> list[list[int]]:
     ]
 
 
-class BKTree:
-    """Children keyed by their Hamming distance to the parent."""
-
-    def __init__(self):
-        self.root = None
-
-    def near(self, value: int, radius: int) -> list[int]:
-        found, todo = [], [self.root] if self.root else []
-        while todo:
-            other, children = todo.pop()
-            d = (value ^ other).bit_count()
-            if d <= radius:
-                found.append(other)
-            for edge in range(d - radius, d + radius + 1):
-                if edge in children:
-                    todo.append(children[edge])
-        return found
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = (value, {})
-            return
-        node = self.root
-        while True:
-            d = (value ^ node[0]).bit_count()
-            if d == 0:
-                return
-            if d not in node[1]:
-                node[1][d] = (value, {})
-                return
-            node = node[1][d]
-
-
 def shard_links(values: list[int], radius: int) -> Iterator[tuple[int, int]]:
     """Links that span the groups of a shard: a link is passed on only if it joins two groups."""
     tree, parent = BKTree(), {}

@@ -138,3 +138,42 @@ def test_clashing_row_column_is_kept(spark):
     docs = documents(spark, ["same text here", "SAME text here", "other"]).selectExpr("*", "doc_id * 10 as __row", "'x' as __row_")
     kept = near_dup.keep_one_per_group(docs)
     assert sorted((r["doc_id"], r["__row"], r["__row_"]) for r in kept.collect()) == [(0, 0, "x"), (2, 20, "x")]
+
+
+def test_all_pairs_come_from_trees_over_fingerprints(spark, monkeypatch):
+    """Every pair that is decided was found within the radius by a BK-tree; without trees there is no pair."""
+    monkeypatch.setattr(copies, "RADIUS", -1)
+    texts = edited_copies(3, 5, 4)
+    different = {frozenset(plain_set(t)) for t in texts}
+    assert len(kept_ids(spark, texts)) == len(different)
+
+
+def test_shards_over_the_limit_are_dealt_on(spark):
+    texts = edited_copies(5, 12, 8) + template_texts(60)
+    groups, _ = plain_groups(texts)
+    assert kept_ids(spark, texts, shard_limit=3) == sorted(set(groups))
+    assert kept_ids(spark, texts, shard_limit=3, pairs_per_member=0, star_rounds=3) == sorted(set(groups))
+
+
+@pytest.mark.parametrize("leaf", [1, 3, 256])
+def test_batch_trees_find_all_pairs_and_span_their_groups(leaf):
+    import numpy as np
+
+    from hourloom.llm import hamming
+
+    rng = np.random.default_rng(leaf)
+    for _ in range(60):
+        values = rng.integers(0, 1 << 62, 4).astype(np.uint64)[rng.integers(0, 4, rng.integers(2, 60))]
+        for bit in range(6):
+            values ^= np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64)
+        radius = int(rng.integers(0, 12))
+        want = [(i, j) for j in range(len(values)) for i in range(j) if int(values[i] ^ values[j]).bit_count() <= radius]
+        blocks = hamming.tree_pairs(values, radius, np.arange(len(values)), leaf)
+        assert sorted((int(a), int(b)) for i, j in blocks for a, b in zip(i, j)) == sorted(want)
+        groups, top = hamming.Groups(np.arange(len(values))), list(range(len(values)))
+        links = [groups.spanning(i, j).size for i, j in hamming.tree_pairs(values, radius, groups.label, leaf)]
+        for _ in values:
+            for i, j in want:
+                top[i] = top[j] = min(top[i], top[j])
+        assert sum(links) == len(values) - len(set(top))
+        assert len(set(zip(top, groups.label.tolist()))) == len(set(top)) == len(set(groups.label.tolist()))
