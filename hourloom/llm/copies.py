@@ -14,7 +14,8 @@ Two texts are near copies if the sets of their 5-word shingles (A-Z lower-cased)
 3. BK-trees: each shard is a tree over its fingerprints in one task and finds the pairs within the radius. At this width it
    prunes little, so pairs are also left out if their sizes or their parity marks rule out 0.8. A mark has `64 * MARKS`
    bits, each the parity of the shingles that fall on it, so two marks never differ in more bits than their sets differ in
-   shingles: nothing similar is left out.
+   shingles: nothing similar is left out. When a shard is searched again, its members bring `64 * WIDE` bits as well, which tell long
+   texts apart too, so that its links are nearly only similar pairs and not all pairs of texts that share a good part.
 4. Sets decide all pairs found that wider marks do not rule out. A shard of many members passes on links that span its
    groups; if all of them are similar, no other link can matter. Otherwise it is searched again, in the end for all its
    pairs, so no link is lost.
@@ -88,6 +89,7 @@ def node_of(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+WIDE_BLOCK = 1 << 13
 _MARKED = [f"mark{i}" for i in range(MARKS)]
 _MEMBER = ["node", "n", "fp", *_MARKED]
 
@@ -263,7 +265,17 @@ def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarra
     return (np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-9) & (differing <= n + m - 2 * shared)
 
 
-def tree_links(known: np.ndarray, roots: np.ndarray, similarity: float, pairs_per_member: int | None) -> tuple[list, list, bool]:
+def may_be_by_wide_marks(sizes: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (places i, j) the wide marks of members do not rule out; all of them if members bring none."""
+    good = np.ones(len(i), dtype=bool)
+    for low in range(0, len(i) if wide.shape[1] else 0, WIDE_BLOCK):
+        a, b = i[low : low + WIDE_BLOCK], j[low : low + WIDE_BLOCK]
+        differing = np.bitwise_count(wide[a] ^ wide[b]).sum(axis=1, dtype=np.int64)
+        good[low : low + WIDE_BLOCK] = differing <= (sizes[a] + sizes[b]) * (1 - 2 * similarity / (1 + similarity)) + 1e-6
+    return good
+
+
+def tree_links(known: np.ndarray, wide: np.ndarray, roots: np.ndarray, similarity: float, pairs_per_member: int | None) -> tuple[list, list, bool]:
     """Pairs (places i, j) of one shard that its BK-tree finds and whose traits may be similar, between different roots.
 
     All of them if they can be no more than `pairs_per_member` (None: without bound) per member; else links that span
@@ -276,6 +288,8 @@ def tree_links(known: np.ndarray, roots: np.ndarray, similarity: float, pairs_pe
     for i, j in tree_pairs(values, RADIUS, groups.label):
         good = may_be_similar(known[i], known[j], similarity)
         i, j = i[good], j[good]
+        good = may_be_by_wide_marks(known[:, 0], wide, i, j, similarity)
+        i, j = i[good], j[good]
         if not whole and len(i):
             kept = groups.spanning(i, j)
             i, j = i[kept], j[kept]
@@ -284,7 +298,7 @@ def tree_links(known: np.ndarray, roots: np.ndarray, similarity: float, pairs_pe
     return *out, not whole
 
 
-def small_tree_links(known: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def small_tree_links(known: np.ndarray, wide: np.ndarray, roots: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """All pairs of `tree_links` for a shard of few members."""
     tree, places, found = BKTree(), {}, []
     for j, value in enumerate(known[:, 1].view(np.uint64).tolist()):
@@ -293,7 +307,8 @@ def small_tree_links(known: np.ndarray, roots: np.ndarray, similarity: float) ->
         tree.add(value)
     if found:
         i, j = np.array(found).T
-        found = [pair for pair, good in zip(found, may_be_similar(known[i], known[j], similarity)) if good]
+        may_be = may_be_similar(known[i], known[j], similarity) & may_be_by_wide_marks(known[:, 0], wide, i, j, similarity)
+        found = [pair for pair, good in zip(found, may_be) if good]
     return found
 
 
@@ -301,22 +316,25 @@ def shard_links(members: DataFrame, similarity: float, pairs_per_member: int | N
     """(key, a, b, partial): pairs that the BK-trees of the shards (equal `key`) find; see `tree_links`.
 
     Each member of a shard over `shard_limit` comes back alone, with b null. `number` varies which links span a shard.
+    Members may bring their wide marks in a column `value` (see `wide_marks`).
     """
+    own = ["key", "root", *_MEMBER]
 
     def of_shards(table):
         table = table[np.flatnonzero(_shared(table[:, 0]))]
         cuts = np.flatnonzero(np.diff(table[:, 0])) + 1
         out = [], [], [], []
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(table)]):
-            nodes, roots, known = table[a:b, 2], table[a:b, 1], np.ascontiguousarray(table[a:b, 3:])
+            nodes, roots, known = table[a:b, 2], table[a:b, 1], np.ascontiguousarray(table[a:b, 3 : len(own)])
+            wide = table[a:b, len(own) :].view(np.uint64)
             if shard_limit is not None and b - a > shard_limit:
                 i, right, partial = np.arange(b - a), [None] * (b - a), False
             else:
                 if b - a <= FEW and (pairs_per_member is None or b - a - 1 <= 2 * pairs_per_member):
-                    pairs, partial = small_tree_links(known, roots, similarity), False
+                    pairs, partial = small_tree_links(known, wide, roots, similarity), False
                     i, j = [p[0] for p in pairs], [p[1] for p in pairs]
                 else:
-                    i, j, partial = tree_links(known, roots, similarity, pairs_per_member)
+                    i, j, partial = tree_links(known, wide, roots, similarity, pairs_per_member)
                 right = nodes[j].tolist() if len(j) else []
             if not len(i):
                 continue
@@ -333,7 +351,10 @@ def shard_links(members: DataFrame, similarity: float, pairs_per_member: int | N
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.column_stack([c.to_numpy() for c in batch.columns])
+            table = np.column_stack([c.to_numpy() for c in batch.columns[: len(own)]])
+            if batch.num_columns > len(own):  # the size, then the words of the marks
+                wide = np.frombuffer(b"".join(batch.column(len(own)).to_pylist()), dtype=np.int64)
+                table = np.hstack([table, wide.reshape(len(table), -1)[:, 1:]])
             goes_on = held and table[-1, 0] == held[0][0, 0]
             held.append(table)
             if not goes_on:
@@ -346,7 +367,7 @@ def shard_links(members: DataFrame, similarity: float, pairs_per_member: int | N
 
     # The number is given, so that few rows are not gathered in one task.
     partitions = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("key", "root", *_MEMBER).repartition(partitions, "key")
+    dealt = members.select(*own, *(c for c in members.columns if c == "value")).repartition(partitions, "key")
     ordered = dealt.sortWithinPartitions("key", F.xxhash64("node", F.lit(number)), "node")
     return ordered.mapInArrow(lean(run), "key bigint, a bigint, b bigint, partial boolean")
 
@@ -364,7 +385,7 @@ def node_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, similarity:
     A shard whose spanning links all turned out similar is done. The others are searched again with the groups that are
     known by then, and after `star_rounds` rounds for all their pairs between different groups.
     """
-    links, members, number = None, None, 0
+    links, members, number, wide = None, None, 0, None
     while True:
         pairs = materialize(found.select("a", "b").distinct(), "pairs")
         similar = materialize(similar_pairs(pairs, sets, similarity), "similar")
@@ -378,7 +399,10 @@ def node_links(nodes: DataFrame, found: DataFrame, sets: DataFrame, similarity:
         if members.isEmpty():
             return roots
         number += 1
-        rooted = members.join(nodes.select(*_MEMBER), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if wide is None:
+            wide = materialize(wide_marks(sets.join(members.select("node").distinct(), "node", "left_semi")), "marks")
+        marked = members.join(nodes.select(*_MEMBER), "node").join(wide, "node")
+        rooted = marked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         found = materialize(shard_links(rooted, similarity, pairs_per_member if number < star_rounds else None, number), "links")
 
 

@@ -110,6 +110,44 @@ def test_short_texts_around_one_passage_are_not_compared(spark, monkeypatch):
     assert sum(compared) < 400
 
 
+def test_long_texts_that_share_much_give_no_links_in_later_rounds(spark, monkeypatch):
+    """120 long texts at about 0.7, none a near copy: their shards stay open, but their wide marks leave no pair over."""
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(1200)]
+    texts = []
+    for n in range(120):
+        own = list(base)
+        for place in rng.sample(range(len(own)), 22):
+            own[place] = f"own{n}x{place}"
+        texts.append(" ".join(own))
+    assert len(set(plain_groups(texts)[0])) == len(texts)
+    rows, real = [], copies.shard_links
+
+    def counted(*args, **bounds):
+        found = real(*args, **bounds)
+        rows.append(found.count())
+        return found
+
+    monkeypatch.setattr(copies, "shard_links", counted)
+    assert kept_ids(spark, texts) == list(range(len(texts)))
+    assert len(rows) > 1 and sum(rows[1:]) < len(texts)
+
+
+def test_wide_marks_keep_every_similar_pair_of_a_shard():
+    """With wide marks a shard passes on all pairs at 0.8 that it passes on without them, by both kinds of tree."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 62, 900, dtype=np.uint64)
+    sets = [np.unique(np.where(rng.random(900) < 1 - rng.choice([0.03, 0.1, 0.2]), base, rng.integers(0, 1 << 62, 900, dtype=np.uint64))) for _ in range(60)]
+    known, roots = copies.traits(sets), np.arange(len(sets))
+    wide, none = copies.parity_marks(sets, copies.WIDE).view(np.uint64), np.zeros((len(sets), 0), dtype=np.uint64)
+    similar = {(i, j) for j in range(60) for i in range(j) if copies.jaccard(sets[i], sets[j]) >= 0.8}
+    for links in (lambda w: zip(*copies.tree_links(known, w, roots, 0.8, None)[:2]), lambda w: copies.small_tree_links(known, w, roots, 0.8)):
+        every, left = ({tuple(map(int, p)) for p in links(w)} for w in (none, wide))
+        assert similar and similar & every <= left < every
+
+
 @pytest.mark.parametrize("similarity", [0.5, 0.8, 0.95])
 def test_prefixes_of_similar_sets_meet(similarity):
     """Sets at least that similar share a prefix key that the size and place bounds let pass, whatever the sketch says."""
