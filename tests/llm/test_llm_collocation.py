@@ -99,3 +99,59 @@ def test_products_beyond_64_bits(spark):
     rows = [("en", "", 0, big), ("en", "a", 1, big), ("en", "b", 1, big - 1), ("en", "a b", 2, big - 2)]
     counts = spark.createDataFrame(rows, "lang string, phrase string, words int, n long")
     assert [tuple(r) for r in collocation.collocations(counts).collect()] == [("en", 1, "a b", big - 2, big, big - 1, big, 2_000_000 * (big - 2) // (2 * big - 1))]
+
+
+def slice_batch(texts):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+
+
+def test_a_slice_is_counted_in_little_memory():
+    """4 MB of text with all phrases active: batches stay small and arrays far below what a number per letter would take."""
+    import tracemalloc
+
+    rng = random.Random(2)
+    batch = slice_batch([" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(2000)])
+    assert batch.nbytes > 4_000_000
+    tracemalloc.start()
+    rows = [b.num_rows for b in collocation._count([batch], {size: None for size in (1, 2, 3, 4)})]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(rows) > 2_000_000 and max(rows) <= collocation.BATCH_PHRASES
+    assert peak < 150e6
+
+
+def test_words_are_the_same_in_any_block(monkeypatch):
+    rng = random.Random(3)
+    column = slice_batch(["".join(rng.choice("aB é\t.,\n") for _ in range(rng.randrange(90))) for _ in range(300)] + [None, "x" * 5000]).column(1)
+    whole = collocation.Pieces(column)
+    monkeypatch.setattr(collocation, "HASH_BYTES", 64)
+    assert (whole.hashes() == collocation.Pieces(column).hashes()).all() and len(set(whole.hashes().tolist())) > 100
+
+
+@pytest.mark.parametrize("counters", [1, 64, 1 << 24])
+def test_pair_bounds_lose_nothing(spark, counters):
+    """Few counters that have all filled up, and more: the same phrases as by plain counting."""
+    rows = random_rows(12, 300)
+    assert found(spark, rows, 8, 50, counters=counters) == plain_collocations(rows, 8, 50)
+    assert found(spark, rows, 300, 50, counters=counters) == plain_collocations(rows, 300, 50)
+
+
+def test_rare_pairs_of_frequent_words_are_not_passed_on(spark):
+    """Random pairs of 200 frequent words, nearly all rare: after the first step hardly any of them is written."""
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"w{rng.randrange(200)}" for _ in range(60))) for _ in range(400)] + [("en", "w1 w2")] * 40
+    written, real = [], collocation.materialize
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "counted":
+            written.append(out.where("words = 2").count())
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(collocation, "materialize", counted)
+        got = found(spark, rows, 30)
+    assert got == plain_collocations(rows, 30, 2000) and [r[2] for r in got] == ["w1 w2"]
+    assert max(written) < 2000
