@@ -1,8 +1,8 @@
 """K-means with all restarts, and all numbers of clusters, in one pass per step.
 
-The centres of every run still moving go to the tasks together; a task labels its rows for all runs with one matrix product
-and returns one partial sum per centre, so a step is one small aggregation however many runs there are. A run whose centres
-rest takes no further part.
+The centres of every run still moving go to the tasks together; a task labels its rows for all runs with one matrix product,
+adds them up by centre with another and returns one partial sum, so a step is one small job however many runs there are. A
+run whose centres rest takes no further part. The points are packed once into matrices, which every step reads as they are.
 
 Points lie on a grid of 2 ** -20 and sums are whole numbers, so neither the partitions nor their order change a centre.
 Distances are compared on a grid as well: a point between two centres goes to the first. Starts are drawn by squared
@@ -15,9 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ from hourloom.config import KMeansConfig
 
 GRID = float(1 << 20)
 ROWS_AT_ONCE = 4096  # whole sums of so many grid points are exact in doubles up to 2 ** 21 deviations
+ROWS_IN_CACHE = 512  # points whose distances to all centres are held at once
+SUMS_AT_ONCE = 32  # partial sums that the driver adds itself
 
 
 @dataclass
@@ -67,56 +72,96 @@ def nearest(points: np.ndarray, centers: np.ndarray, starts: list[int]) -> tuple
     return labels, np.take_along_axis(d, labels, axis=1)
 
 
-def _sums(points: DataFrame, runs: list[Run], width: int) -> dict[int, tuple]:
-    """By place of the centre: points, whole sums of their coordinates, sum of squared norms, sum of squared distances."""
-    centers, starts = np.concatenate([r.centers for r in runs]), starts_of(runs)
-    total = len(centers)
-    names = [f"s{i}" for i in range(width)]
+def packed(points: DataFrame) -> RDD:
+    """The points as matrices of a bounded number of rows, in whole steps of the grid: four bytes each where they fit."""
 
-    def partial(batches):
-        counts, sums = np.zeros(total, dtype=np.int64), np.zeros((total, width), dtype=np.int64)
-        squares, costs = np.zeros(total), np.zeros(total)
+    def pack(batches):
         for x in blocks(batches):
-            labels, least = nearest(x, centers, starts)
-            member = np.zeros((len(x), total))
-            np.put_along_axis(member, labels, 1.0, axis=1)
-            counts += member.sum(axis=0).astype(np.int64)
-            sums += (member.T @ (x * GRID)).astype(np.int64)
-            squares += member.T @ (x**2).sum(axis=1)
-            costs += np.bincount(labels.ravel(), least.ravel(), minlength=total)
-        seen = np.flatnonzero(counts)
-        columns = [seen, counts[seen], *sums[seen].T, squares[seen], costs[seen]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["place", "n", *names, "squares", "cost"])
-
-    schema = ", ".join(["place bigint", "n bigint", *[f"{s} bigint" for s in names], "squares double", "cost double"])
-    wholes = [F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ["n", *names]]
-    found = points.mapInArrow(partial, schema).groupBy("place").agg(*wholes, F.sum("squares").alias("squares"), F.sum("cost").alias("cost"))
-    return {int(r["place"]): (int(r["n"]), [int(r[s]) for s in names], r["squares"], r["cost"]) for r in found.collect()}
-
-
-def _step(points: DataFrame, runs: list[Run], tol: float) -> None:
+            whole = x * GRID
+            narrow = bool((np.rint(whole) == whole).all() and (np.abs(whole) < 1 << 31).all())
+            held = whole.astype(np.int32) if narrow else whole
+            yield pa.RecordBatch.from_arrays([pa.array([held.tobytes()], pa.binary()), pa.array([len(x)]), pa.array([narrow])], names=["held", "n", "narrow"])
+
+    rows = points.mapInArrow(pack, "held binary, n bigint, narrow boolean").rdd
+    return rows.map(lambda r: np.frombuffer(r["held"], np.int32 if r["narrow"] else np.float64).reshape(r["n"], -1))
+
+
+def members(points: np.ndarray, centers: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(centre, point): 1 at the nearest centre of every run, the first at a tie; (run, point): its squared distance.
+
+    `points` has their coordinates, a 1 and their squared norm; `sizes` has the number of centres of each run.
+    """
+    terms = np.column_stack([centers * (-2 * GRID), (centers**2).sum(axis=1) * GRID, np.full(len(centers), GRID)])
+    d = terms @ points.T
+    np.maximum(np.rint(d, out=d), 0, out=d)
+    member, least, at, run = np.empty_like(d), np.empty((len(sizes), len(points))), 0, 0
+    for k, same in groupby(sizes):
+        n = len(list(same))
+        apart, own = (m[at : at + n * k].reshape(n, k, -1) for m in (d, member))
+        best, place = apart[:, 0].copy(), np.zeros((n, len(points)), dtype=np.int16)
+        for c in range(1, k):
+            np.copyto(place, c, where=apart[:, c] < best)
+            np.minimum(best, apart[:, c], out=best)
+        for c in range(k):
+            np.equal(place, c, out=own[:, c])
+        least[run : run + n] = best / GRID
+        at, run = at + n * k, run + n
+    return member, least
+
+
+def _added(parts: RDD) -> list[np.ndarray]:
+    """The sums over all partitions; of more than `SUMS_AT_ONCE`, tasks add them up to so many first."""
+
+    def plus(a, b):
+        return [x + y for x, y in zip(a, b)]
+
+    if parts.getNumPartitions() > SUMS_AT_ONCE:
+        parts = parts.mapPartitionsWithIndex(lambda i, own: ((i % SUMS_AT_ONCE, x) for x in own)).reduceByKey(plus, SUMS_AT_ONCE).values()
+    return reduce(plus, parts.collect())
+
+
+def _sums(held: RDD, runs: list[Run]) -> list[np.ndarray]:
+    """By centre: points, whole sums of their coordinates, sum of squared norms; by run: sum of squared distances."""
+    centers, sizes = np.concatenate([r.centers for r in runs]), [r.k for r in runs]
+    total, width = centers.shape
+
+    def partial(pieces):
+        counts, sums = np.zeros(total, dtype=np.int64), np.zeros((total, width), dtype=np.int64)
+        squares, costs = np.zeros(total), np.zeros(len(sizes))
+        for piece in pieces:
+            x = piece / GRID
+            x = np.column_stack([x, np.ones(len(x)), (x**2).sum(axis=1)])
+            for start in range(0, len(x), ROWS_IN_CACHE):
+                some = x[start : start + ROWS_IN_CACHE]
+                member, least = members(some, centers, sizes)
+                added = member @ some
+                counts += added[:, width].astype(np.int64)
+                sums += (added[:, :width] * GRID).astype(np.int64)
+                squares += added[:, width + 1]
+                costs += least.sum(axis=1)
+        yield [counts, sums, squares, costs]
+
+    return _added(held.mapPartitions(partial))
+
+
+def _step(held: RDD, runs: list[Run], tol: float) -> None:
     """Moves the centres of `runs` to their points' means; a centre without points stays."""
-    width = runs[0].centers.shape[1]
-    found = _sums(points, runs, width)
-    for run, start in zip(runs, starts_of(runs)):
-        moved = run.centers.copy()
-        for c in range(run.k):
-            if start + c in found:
-                n, sums, *_ = found[start + c]
-                moved[c] = np.array([s / n for s in sums]) / GRID
+    counts, sums, *_ = _sums(held, runs)
+    for run, a, b in zip(runs, starts_of(runs), starts_of(runs)[1:]):
+        n = counts[a:b, None]
+        moved = np.where(n > 0, sums[a:b] / np.maximum(n, 1) / GRID, run.centers)
         run.moving = bool((((moved - run.centers) ** 2).sum(axis=1) > tol**2).any())
         run.centers = moved
 
 
-def _close(points: DataFrame, runs: list[Run]) -> None:
+def _close(held: RDD, runs: list[Run]) -> None:
     """Costs and sizes by the final centres."""
-    found = _sums(points, runs, runs[0].centers.shape[1])
-    for run, start in zip(runs, starts_of(runs)):
-        rows = [found.get(start + c, (0, None, 0.0, 0.0)) for c in range(run.k)]
-        run.counts = np.array([r[0] for r in rows], dtype=np.float64)
-        run.squares = np.array([r[2] for r in rows])
-        run.means = np.array([[s / r[0] / GRID for s in r[1]] if r[0] else run.centers[c] for c, r in enumerate(rows)])
-        run.cost = float(f"{sum(r[3] for r in rows):.10g}")
+    counts, sums, squares, costs = _sums(held, runs)
+    for run, a, b, cost in zip(runs, starts_of(runs), starts_of(runs)[1:], costs):
+        n = counts[a:b, None]
+        run.counts, run.squares = counts[a:b].astype(np.float64), squares[a:b]
+        run.means = np.where(n > 0, sums[a:b] / np.maximum(n, 1) / GRID, run.centers)
+        run.cost = float(f"{cost:.10g}")
 
 
 def start_points(points: DataFrame, rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +216,7 @@ def first_centers(points: DataFrame, sample: np.ndarray, weights: np.ndarray, wa
 def fit_runs(points: DataFrame, sizes: list[int], config: KMeansConfig) -> dict[int, Run]:
     """The cheapest of `config.restarts` runs for each number of clusters in `sizes`, at most one per different point.
 
-    `points` holds one array column `point` on the grid, kept by the caller for repeated reads.
+    `points` holds one array column `point` on the grid, kept by the caller for its few reads; steps read it packed.
     A tie goes to the earlier restart. An empty table has no fit and raises a ValueError.
     """
     sample, weights = start_points(points, config.start_rows, config.seed)
@@ -179,12 +224,16 @@ def fit_runs(points: DataFrame, sizes: list[int], config: KMeansConfig) -> dict[
         raise ValueError("no profile to cluster")
     wanted = [(min(k, len(sample)), restart) for k in sizes for restart in range(config.restarts)]
     runs = [Run(*w, c) for w, c in zip(wanted, first_centers(points, sample, weights, wanted, config))]
-    for _ in range(config.max_iter):
-        moving = [r for r in runs if r.moving]
-        if not moving:
-            break
-        _step(points, moving, config.tol)
-    _close(points, runs)
+    held = packed(points).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(config.max_iter):
+            moving = [r for r in runs if r.moving]
+            if not moving:
+                break
+            _step(held, moving, config.tol)
+        _close(held, runs)
+    finally:
+        held.unpersist()
     per_size = [runs[i : i + config.restarts] for i in range(0, len(runs), config.restarts)]
     return {k: min(tried, key=lambda r: (r.cost, r.restart)) for k, tried in zip(sizes, per_size)}
 

@@ -90,3 +90,47 @@ def test_repeated_profiles_give_fewer_clusters_and_broken_ones_none(spark):
     assert constant.centers == [[2.0, 3.0]]
     with pytest.raises(ValueError):
         cluster.fit_profile_clusters(nulls, 2)
+
+
+def test_a_step_is_one_job(spark, cloud):
+    held = kmeans.packed(grid_points(spark, cloud, 3)).persist()
+    assert held.count() == 3
+    runs = [kmeans.Run(k, 0, cloud[:k]) for k in (3, 6)]
+    spark.sparkContext.setJobGroup("steps", "k-means steps")
+    for _ in range(4):
+        kmeans._step(held, runs, 0.0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    held.unpersist()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("steps")) == 4
+
+
+def test_members_are_the_nearest_centres_of_every_run_and_ties_go_to_the_first():
+    rng = np.random.default_rng(2)
+    points = rng.integers(-3, 4, (700, 3)).astype(float)
+    centers = rng.integers(-3, 4, (11, 3)) / 2  # many ties
+    centers[4] = centers[2]
+    sizes = [2, 3, 3, 1, 2]
+    starts = [0, 2, 5, 8, 9, 11]
+    member, least = kmeans.members(np.column_stack([points, np.ones(700), (points**2).sum(axis=1)]), centers, sizes)
+    for run, (a, b) in enumerate(zip(starts, starts[1:])):
+        apart = ((points[:, None] - centers[a:b]) ** 2).sum(axis=2)
+        np.testing.assert_array_equal(member[a:b].T, np.eye(b - a)[apart.argmin(axis=1)])
+        np.testing.assert_array_equal(least[run], apart.min(axis=1))
+
+
+def test_packed_points_and_sums_of_many_partitions_lose_nothing(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(0, 1, (90, 4)), *rng.normal(0, 3000, (30, 4))]  # the far ones do not fit four bytes
+    points = grid_points(spark, values, 3 * kmeans.SUMS_AT_ONCE)
+    exact = np.array([r["point"] for r in points.collect()])
+    held = kmeans.packed(points)
+    assert {m.dtype.itemsize for m in held.collect()} == {4, 8}
+    assert sorted(map(tuple, np.concatenate([m / kmeans.GRID for m in held.collect()]))) == sorted(map(tuple, exact))
+    runs = [kmeans.Run(k, 0, exact[:k].copy()) for k in (2, 5)]
+    counts, sums, _, costs = kmeans._sums(held, runs)
+    for run, cost, a in zip(runs, costs, (0, 2)):
+        apart = ((exact[:, None] - run.centers) ** 2).sum(axis=2)
+        own = np.eye(run.k)[apart.argmin(axis=1)]
+        np.testing.assert_array_equal(counts[a : a + run.k], own.sum(axis=0))
+        np.testing.assert_array_equal(sums[a : a + run.k], own.T @ (exact * kmeans.GRID))
+        assert cost == pytest.approx(apart.min(axis=1).sum())
