@@ -135,3 +135,64 @@ def test_sample_has_its_size_whatever_the_ids(spark, ids):
 def test_sample_of_equal_rows_has_its_size(spark):
     rows = spark.range(5000).selectExpr("1 as id", "'same' as t")
     assert training.first_by_hash(rows, 600).count() == 600
+
+
+def test_long_labelled_documents_are_fitted(spark):
+    rng = random.Random(4)
+    words = prose(rng, 6000)
+    assert len(words) > 33_000
+    rows = [(i, words + " vexo" if i % 2 else prose(rng, 40), i % 2) for i in range(60)]
+    docs = documents(spark, [r[1] for r in rows], ids=[r[0] for r in rows])
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    assert model.net is not None
+    low, high = model.scores(pa.array([prose(rng, 40), words + " vexo"]))
+    assert low < 0.5 < high
+
+
+def test_shards_hold_every_labelled_document(spark, labelled):
+    docs, labels = tables(spark, labelled)
+    more = spark.createDataFrame([(None, 1, 1), (5, None, None), (7, 9, 9), (0, 0, 0), (9_999, 1, 1), (3, 1, 0), (3, 1, 0)], "doc_id bigint, quality int, toxic int")
+    marked = training.marked_labels(labels.unionByName(more), "toxic")
+    rows = [r for r in training.labelled_shards(docs, marked, 7).collect()]
+    home = [(r["id"], r["class"], r["t"]) for r in rows if r["home"]]
+    assert sorted(home) == sorted({(i, t, text) for i, text, t, _ in labelled if i < 400} | {(0, 0, labelled[0][1])})
+    assert all(len({r["shard"] for r in rows if r["class"] == c}) == 7 for c in (0, 1))
+    assert len({(r["id"], r["class"], r["shard"]) for r in rows}) == len(rows)
+    assert 60 < sum(r["held"] and r["home"] for r in rows) < 140
+
+
+def test_toxicity_over_shards(spark, labelled):
+    docs, labels = tables(spark, labelled)
+    config = toxicity.NetConfig(shard=100)  # 320 labels of class 0: four shards
+    model = toxicity.train(docs, labels, config)
+    column = pa.array([text for _, text, _, _ in labelled], pa.large_string())
+    scores = model.scores(column)
+    assert sum((s >= 0.3) != t for s, (i, _, t, _) in zip(scores, labelled) if i >= 400) <= 8
+    again = toxicity.train(docs.repartition(5), labels.repartition(3), config)
+    np.testing.assert_array_equal(again.scores(column), scores)
+    none = toxicity.train(docs.where("doc_id % 5 <> 0"), labels, config)  # no text of class 1
+    assert none.net is None and none.offset == 0.2
+
+
+def test_every_document_to_be_fitted_is_in_a_batch():
+    classes = np.array([1] * 10 + [0] * 900)
+    net = toxicity.TextNet(np.arange(3), toxicity.NetConfig())
+    for due in (np.arange(910), np.arange(0, 910, 7)):
+        drawn = list(net.batches(classes, 5, np.random.default_rng(0), due))
+        assert set(due) <= set(np.concatenate(drawn))
+        assert all(len(own) == 32 and classes[own].sum() == 16 for own in drawn)
+
+
+def test_the_best_threshold_equals_trying_all():
+    rng = np.random.default_rng(8)
+    for n in (2, 5, 60, 300):
+        classes = np.concatenate([[0, 1], rng.integers(0, 2, n - 2)])
+        scores, weights = np.round(rng.beta(2 + classes, 3), 2), class_weights(classes, 0.2)
+        options = np.unique(np.concatenate([[0.3], (np.unique(scores)[1:] + np.unique(scores)[:-1]) / 2]))
+
+        def f1(t):
+            hit = scores >= t
+            return 2 * weights[hit & (classes == 1)].sum() / (weights[hit].sum() + weights[classes == 1].sum())
+
+        assert toxicity.best_threshold(scores, classes, weights, 0.3) == max(options, key=lambda t: (round(f1(t), 9), -abs(t - 0.3)))
