@@ -196,3 +196,11 @@ def test_the_best_threshold_equals_trying_all():
             return 2 * weights[hit & (classes == 1)].sum() / (weights[hit].sum() + weights[classes == 1].sum())
 
         assert toxicity.best_threshold(scores, classes, weights, 0.3) == max(options, key=lambda t: (round(f1(t), 9), -abs(t - 0.3)))
+
+
+def test_the_filter_of_ids_drops_no_marked_row_and_most_others(spark):
+    marked = spark.range(0, 4000, 2).selectExpr("id - 1000 as id", "1 as class")
+    source = spark.range(-2000, 6000).selectExpr("if(id = 77, null, id) as id", "'text' as t", "'en' as l")
+    kept = {r["id"] for r in training.perhaps_marked(source, marked).collect()}
+    wanted = {r["id"] for r in marked.collect()}
+    assert wanted <= kept and None not in kept and len(kept - wanted) < 20
